@@ -1,0 +1,243 @@
+"""The operators that run Python, against brute force, exact round trips, SQL or held-out labels."""
+
+import hashlib
+import zlib
+
+import duckdb
+import numpy as np
+from pyspark.sql import functions as F
+
+from facetgraph.llm import ann, linear, mixing, packing, passages, queries, warc
+from facetgraph.llm._common import tokenizer_path
+
+SF = "/root/testdata/sf0.001"
+ODD = [
+    (1001, None), (1002, ""), (1003, " \t\n"), (1004, "one two"), (1005, "One  TWO"), (1005, "One  TWO"), (None, "one two"),
+    (1006, "é \x1c x　y"), (1007, "w " * 30000), (1008, " ".join(f"a{i}" for i in range(9000))), (1009, " ".join(f"a{i}" for i in range(8000))),
+]
+
+
+def docs_of(spark, tmp_path, rows, clash="word"):
+    full = [(d, t, None if d is None else f"s{d % 3}", "en", len(t or ""), 1) for d, t in rows]
+    df = spark.createDataFrame(full, f"doc_id long, text string, source string, lang string, n_chars long, {clash} int")
+    df.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(d, int((d or 0) % 2), 0) for d, _ in rows[:20]] + [(None, 1, 1), (5, None, None), (5, 1, 1)], "doc_id long, quality int, toxic int")
+    labels.write.mode("overwrite").parquet(f"{tmp_path}/labels.parquet")
+    return str(tmp_path)
+
+
+def base_rows(spark):
+    return [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+
+
+def near_rows():
+    """A large group of near copies: a base, copies with one or two words changed, and copies with many changed."""
+    rng = np.random.default_rng(5)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        for j in rng.integers(0, 150, size=int(rng.integers(0, 8))):
+            w[j] = f"x{i}_{j}"
+        rows.append((2000 + i, " ".join(w)))
+    return rows
+
+
+def brute_components(rows):
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set())
+    up = list(range(len(rows)))
+
+    def find(i):
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if a and b and rows[i][0] is not None and rows[j][0] is not None and min(len(a), len(b)) * 100 >= 85 * max(len(a), len(b)):
+                both = len(a & b)
+                if 100 * both >= 85 * (len(a) + len(b) - both):
+                    up[find(i)] = find(j)
+    low = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            low[find(i)] = min(low.get(find(i), d), d)
+    return sorted((str(d), len(sets[i]), str(None if d is None else low[find(i)])) for i, (d, _) in enumerate(rows))
+
+
+def test_jaccard_join(spark, tmp_path):
+    rows = base_rows(spark) + ODD + near_rows()
+    got = queries.op2_ngram_jaccard_join(spark, docs_of(spark, tmp_path, rows, "digest")).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_components(rows)
+
+
+def test_jaccard_join_of_nothing(spark, tmp_path):
+    assert queries.op2_ngram_jaccard_join(spark, docs_of(spark, tmp_path, [])).count() == 0
+
+
+def test_compact_windows_cover_all_subsequences():
+    v = np.random.default_rng(1).integers(0, 40, 60).astype(np.uint64)
+    w = passages.windows(v, 7)
+    for i in range(60):
+        for j in range(i + 6, 60):
+            inside = [(lo, c, hi) for lo, c, hi in w if lo <= i <= c <= j <= hi]
+            assert len(inside) == 1 and v[inside[0][1]] == v[i : j + 1].min()
+
+
+def test_repeated_passages(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    passage, rows = word(60), []
+    for i in range(40):  # a passage in many documents, and documents that share nothing
+        rows.append((i, " ".join(word(200) + (passage if i % 2 else []) + word(150))))
+    near = list(passage)
+    near[30] = "changed"
+    rows += [(100, " ".join(word(90) + near)), (101, "x " * 500), (102, "x " * 500), (103, None), (104, ""), (None, " ".join(passage))]
+    got = queries.op4_substring_dedup(spark, docs_of(spark, tmp_path, rows, "key")).collect()
+    met = {x for r in got for x in (r.doc_id, r.other_id)}
+    assert met == {i for i in range(40) if i % 2} | {100, 101, 102}
+    for r in got:
+        assert r.similarity >= 0.8
+        if r.doc_id < 40:
+            assert r.start <= 205 and r.end >= 255 and r.end - r.start < 80
+    assert queries.op4_substring_dedup(spark, docs_of(spark, tmp_path, [])).count() == 0
+
+
+def test_nearest_neighbours(spark, tmp_path):
+    path = "/root/testdata/sf0.1/embeddings.parquet"
+    x = spark.read.parquet(path).select("vec_id", "embedding").toPandas().sort_values("vec_id")
+    ids, v = x.vec_id.to_numpy(), np.stack(x.embedding.to_numpy()).astype(np.float64)
+    rows = spark.read.parquet(path).withColumn("id", F.lit(1))
+    got = ann.search(rows, F.col("vec_id") % 20 == 0).collect()
+    hits = total = 0
+    for i in np.flatnonzero(ids % 20 == 0):
+        s = v @ v[i]
+        s[i] = -np.inf
+        best = set(ids[np.lexsort((ids, -s))[:20]].tolist())
+        mine = sorted((r for r in got if r.query_id == ids[i]), key=lambda r: r["rank"])
+        assert [r["rank"] for r in mine] == list(range(1, 21))
+        assert all(a.score > b.score or (a.score == b.score and a.vec_id < b.vec_id) for a, b in zip(mine, mine[1:], strict=False))
+        assert all(abs(r.score - float(v[np.searchsorted(ids, r.vec_id)] @ v[i])) < 1e-12 for r in mine)
+        hits += len(best & {r.vec_id for r in mine})
+        total += 20
+    assert hits / total >= 0.95
+
+
+def test_nearest_neighbours_odd(spark, tmp_path):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [0.5, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, [-3.0, 1.0]), (20, [2.0, 2.0]), (40, []), (None, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.search(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 20, 2.0), (0, 2, 1, 0.5), (0, 3, 2, 0.5), (0, 4, 8, -3.0), (20, 1, 0, 2.0), (20, 2, 1, 1.0), (20, 3, 2, 1.0), (20, 4, 8, -4.0)]
+    assert ann.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_mixing_equals_sql(spark, tmp_path):
+    rows = base_rows(spark) + ODD
+    for path in (SF, docs_of(spark, tmp_path, rows)):
+        got = sorted(tuple(map(str, r)) for r in queries.op7_source_mixing(spark, path).select("doc_id", "size", "source_size", "target", "taken").collect())
+        con = duckdb.connect()
+        for t in ("documents", "labels"):
+            con.execute(f"create view {t} as select * from read_parquet('{path}/{t}.parquet{'' if path == SF else '/*.parquet'}')")
+        want = sorted(tuple(map(str, r)) for r in con.execute(queries.MIX_SQL.format(docs="documents")).fetchall())
+        assert got == want
+    df = queries.op7_source_mixing(spark, SF).toPandas()
+    assert (df.taken <= 2 * df["size"]).all() and abs(df.taken.sum() - 1.5 * df["size"].sum()) < 0.1 * df["size"].sum()
+    assert queries.op7_source_mixing(spark, docs_of(spark, tmp_path, [])).count() == 0
+
+
+def test_mixing_targets(spark):
+    s = spark.createDataFrame([("a", 3.0, 100, 1), ("b", 1.0, 1000, 2), ("c", 2.0, 10, 3)], "source string, weight double, source_size long, rank int")
+    got = {r.source: r.target for r in mixing.targets(s).collect()}
+    assert got["a"] == 200 and got["c"] == 20 and abs(got["b"] - (1.5 * 1110 - 220)) < 1e-9
+
+
+def test_packing_round_trip(spark, tmp_path):
+    rows = base_rows(spark) + ODD
+    tok = packing.Tokens(tokenizer_path()).tok
+    got = queries.op8_packing(spark, docs_of(spark, tmp_path, rows, "start")).toPandas()
+    fill = got.groupby("sequence_id").length.sum()
+    assert (fill <= 4096).all() and (((fill == 4096) | ((fill & (fill - 1)) == 0)).all())
+    for _, g in got.groupby("sequence_id"):
+        g = g.sort_values("offset")
+        assert g.offset.tolist() == [0, *g.length.cumsum().tolist()[:-1]] and (g.length > 0).all()
+    for d, t in rows:
+        ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], dtype="<u4")
+        g = got[got.doc_id.isna() if d is None else got.doc_id == d].sort_values("start")
+        assert (g.doc_tokens == len(ids)).all() and g.length.sum() == len(ids) * (2 if d == 1005 else 1)
+        assert all(zlib.crc32(ids[s : s + n].tobytes()) == c for s, n, c in zip(g.start, g.length, g.ids_crc32, strict=True))
+    assert queries.op8_packing(spark, docs_of(spark, tmp_path, [])).count() == 0
+
+
+def test_sum_of_squares_choice():
+    p = packing.Packer(0, 16)
+    rng = np.random.default_rng(2)
+    for i, s in enumerate(rng.integers(1, 16, 400)):
+        n = p.count.copy()
+
+        def after(h, s=int(s), n=n):
+            m = n.copy()
+            if h:
+                m[h] -= 1
+            if h + s < 16:
+                m[h + s] += 1
+            return int((m[1:16] ** 2).sum())
+
+        options = [h for h in range(16) if h + s <= 16 and (h == 0 or n[h] > 0)]
+        assert after(p.level(int(s))) == min(map(after, options))
+        p.add(i, np.arange(s, dtype="<u4"))
+
+
+def test_warc_equals_sql_and_round_trips(spark, tmp_path):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    odd = [(9001, "http://a b\r\nc", None), (9002, None, ""), (9003, "u", "é" * 60), (9004, "u", "é" * 60), (9004, "u", "é" * 60), (9005, "v", "x" * 99), (9006, "v", "x" * 99), (9000, "w", "\0\r\n\r\nWARC/1.1" + "y" * 300000)]
+    both = pages.unionByName(spark.createDataFrame(odd, "page_id long, url string, html string"))
+    both.withColumn("digest", F.lit("d")).repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(tuple(map(str, r)) for r in queries.op9_warc(spark, str(tmp_path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect())
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert got == sorted(tuple(map(str, r)) for r in con.execute(queries.WARC_SQL).fetchall())
+    assert warc.archive(spark, both.limit(0)).count() == 0
+    null = warc.archive(spark, spark.createDataFrame([(None, "u", "z" * 200), (7, "u", "z" * 200)], "page_id long, url string, html string")).collect()
+    assert {(r.page_id, r.record_type) for r in null} == {(None, "response"), (7, "response")}
+
+
+def test_archive_frames():
+    import io
+    import struct
+
+    records = [warc.record(i, f"http://x/{i}", b"<p>%d</p>" % i * 50, hashlib.sha256(b"<p>%d</p>" % i * 50).hexdigest(), None) for i in range(500)]
+    data = b"".join(warc.frames(iter(records), sample=20_000))
+    assert struct.unpack("<I", data[:4])[0] == 0x184D2A5D and len(data) < sum(map(len, records)) / 2
+    assert list(warc.read_frames(io.BytesIO(data), block=777)) == records
+
+
+def test_toxicity_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.1"
+    got = queries.op10_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").toPandas()
+    y, p = got.toxic == 1, got.predicted == 1
+    assert (p & y).sum() / y.sum() > 0.8 and (p & y).sum() / p.sum() > 0.95
+
+
+def test_quality_on_unseen_rows(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = linear.quality_model(docs, labels.where("doc_id % 3 != 0"))
+    got = linear.quality(docs.where("doc_id % 3 = 0"), model, ["doc_id"]).join(labels, "doc_id").toPandas()
+    assert ((got.p1 >= queries.KEEP) == (got.quality == 1)).mean() > 0.97
+    assert (got.p1 >= got.p2).all() and np.allclose(got.expected, got.p1 + got.p2)
+
+
+def test_classifiers_of_odd_rows(spark, tmp_path):
+    path = docs_of(spark, tmp_path, ODD, "score")
+    for q in (queries.op6_quality_classifier, queries.op10_toxicity):
+        assert q(spark, path).count() == len(ODD)
+    path = docs_of(spark, tmp_path, [], "score")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(f"{path}/labels.parquet")
+    for q in (queries.op6_quality_classifier, queries.op10_toxicity):
+        assert q(spark, path).count() == 0
