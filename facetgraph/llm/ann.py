@@ -29,7 +29,7 @@ BLOCK = 16
 #: Confidence of the hypothesis test: a candidate is abandoned if its scaled partial distance exceeds the k-th best
 #: by the factor (1 + EPSILON / sqrt(dimensions seen))^2.
 EPSILON = 2.1
-PROBES = 0.7
+PROBES = 0.8
 MOST_LISTS = 2048
 SEED = 7
 

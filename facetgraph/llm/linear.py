@@ -83,7 +83,7 @@ class NGrams:
     """Distinct hashed unigrams, bigrams and skip-grams (one word left out) of a text, each 1; unigrams also as stems,
     the word's first bytes, since inflected words are each too rare to learn from."""
 
-    STEMS = (4, 6)
+    STEMS = (5, 7)
 
     def __init__(self):
         self.hash = WordHash()
