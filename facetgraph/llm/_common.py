@@ -117,6 +117,66 @@ def texts_of(column) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
 
 
+_BASE = 0x5851F42D4C957F2D
+_LOW = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], dtype=np.uint8)
+_SPACE = np.array([c == 32 or 9 <= c <= 13 for c in range(256)])
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if not _POWERS or len(_POWERS[0]) < n:
+        n = max(n, 1 << 16)
+        _POWERS[:] = [np.multiply.accumulate(np.full(n, b, dtype=np.uint64)) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+    return _POWERS[0], _POWERS[1]
+
+
+def _hashed(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the words in data; first: places where a text begins."""
+    solid = ~_SPACE[data]
+    starts, ends = solid.copy(), solid.copy()
+    starts[1:] &= ~solid[:-1]
+    ends[:-1] &= ~solid[1:]
+    inner = first[(first > 0) & (first < len(data))]
+    starts[inner] = solid[inner]
+    ends[inner - 1] = solid[inner - 1]
+    s, e = np.flatnonzero(starts), np.flatnonzero(ends)
+    up, down = _powers(len(data))
+    total = np.cumsum(_LOW[data].astype(np.uint64) * up[: len(data)])
+    h = (total[e] - total[s] + _LOW[data[s]] * up[s]) * down[s]
+    return s, mixed(h + (e - s + 1).astype(np.uint64) * _ODD)
+
+
+def word_hashes(column, chunk: int = 1 << 20) -> list[np.ndarray]:
+    """Hashes of the words ``[^\\x20\\x09-\\x0D]+``, A-Z in lower case, of each text of an Arrow string column: a
+    polynomial over the bytes, computed for about ``chunk`` bytes at a time. Null is empty."""
+    import pyarrow as pa
+
+    a = column.cast(pa.large_binary()).fill_null(b"")
+    if not len(a):
+        return []
+    offsets = np.frombuffer(a.buffers()[1], dtype=np.int64)[a.offset : a.offset + len(a) + 1]
+    data = np.frombuffer(a.buffers()[2] or b"", dtype=np.uint8)
+    out, row = [], 0
+    while row < len(a):
+        to = max(row + 1, int(np.searchsorted(offsets, offsets[row] + chunk, "right")) - 1)
+        part, first = data[offsets[row] : offsets[to]], offsets[row : to + 1] - offsets[row]
+        if len(part) > 4 * chunk:  # one long text, in pieces that end at white space
+            blanks, cut, pieces = np.flatnonzero(_SPACE[part]), 0, []
+            while cut < len(part):
+                i = int(np.searchsorted(blanks, cut + chunk))
+                end = int(blanks[i]) if i < len(blanks) else len(part)
+                pieces.append(_hashed(part[cut:end], np.zeros(0, dtype=np.int64))[1])
+                cut = end + 1
+            out.append(np.concatenate(pieces))
+        elif len(part):
+            s, h = _hashed(part, first)
+            out += np.split(h, np.searchsorted(s, first[1:-1]))
+        else:
+            out += [np.zeros(0, dtype=np.uint64)] * (to - row)
+        row = to
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WordHash, bitmap, in_bitmap, salted_left_join, shingles, stored, texts_of, words_of
+from ._common import bitmap, in_bitmap, salted_left_join, shingles, stored, word_hashes
 
 K, PERCENT = 4, 85
 FREQUENT = 1 << 19
@@ -35,13 +35,8 @@ LEAST_FREQUENT = 6
 BITS = 20
 
 
-def _sets(k: int):
-    words = WordHash()
-
-    def make(text: bytes) -> np.ndarray:
-        return np.unique(shingles(words.of(words_of(text)), k))
-
-    return make
+def sets_of(column, k: int) -> list[np.ndarray]:
+    return [np.unique(shingles(h, k)) for h in word_hashes(column)]
 
 
 def frequent(df: DataFrame, text: str, k: int = K, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
@@ -51,9 +46,8 @@ def frequent(df: DataFrame, text: str, k: int = K, most: int = FREQUENT) -> tupl
     def run(batches):
         import pyarrow as pa
 
-        make = _sets(k)
         for b in batches:
-            s, c = np.unique(np.concatenate([make(t) for t in texts_of(b.column(0))] or [np.zeros(0, np.uint64)]), return_counts=True)
+            s, c = np.unique(np.concatenate(sets_of(b.column(0), k) or [np.zeros(0, np.uint64)]), return_counts=True)
             s, c = s[c > 2], c[c > 2]
             yield pa.RecordBatch.from_pydict({"s": s.view(np.int64), "c": c.astype(np.int64)})
 
@@ -84,11 +78,9 @@ def profiles(df: DataFrame, id_col: str, text: str, common: np.ndarray, count: n
     def run(batches):
         import pyarrow as pa
 
-        make = _sets(k)
         for b in batches:
             rows = {"n": [], "digest": [], "gkey": [], "prefix": []}
-            for t in texts_of(b.column(1)):
-                x = make(t)
+            for x in sets_of(b.column(1), k):
                 p = ordered(x, common, count)[: prefix_length(len(x), percent)] if len(x) else x
                 rows["n"].append(len(x))
                 rows["digest"].append(xxhash.xxh3_128_hexdigest(x.tobytes()))
@@ -105,9 +97,8 @@ def whole_sets(df: DataFrame, id_col: str, text: str, ids: DataFrame, k: int) ->
     def run(batches):
         import pyarrow as pa
 
-        make = _sets(k)
         for b in batches:
-            yield pa.RecordBatch.from_pydict({"doc": b.column(0), "set": pa.array([make(t).view(np.int64) for t in texts_of(b.column(1))], pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"doc": b.column(0), "set": pa.array([x.view(np.int64) for x in sets_of(b.column(1), k)], pa.list_(pa.int64()))})
 
     d = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text")).withColumn("_bm", bitmap(ids.select("doc"), BITS).scalar())
     d = d.where(in_bitmap(F.col("_bm"), F.col("doc"), BITS)).select("doc", "text").join(ids, "doc", "left_semi").dropDuplicates(["doc"])
@@ -147,7 +138,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = K,
     groups = some.groupBy("gkey").agg(F.min(F.struct("doc", "n", "prefix")).alias("x")).select(F.col("x.doc").alias("g"), "gkey", F.col("x.n").alias("n"), F.col("x.prefix").alias("prefix"))
     lists = groups.select("g", "n", F.posexplode("prefix").alias("pos", "s"))
     shared = lists.groupBy("s").agg(F.count("*").alias("c"), F.min(F.struct("pos", "n", "g")).alias("hub"), F.min("n").alias("least")).where("c > 1")
-    lists = stored(lists.join(shared, "s").select("s", "g", "n", "pos", F.col("hub.g").alias("h"), F.col("hub.n").alias("hn"), F.col("hub.pos").alias("hpos"), "least"), "lists")
+    lists = stored(lists.join(shared, "s").select("s", "g", "n", "pos", "c", F.col("hub.g").alias("h"), F.col("hub.n").alias("hn"), F.col("hub.pos").alias("hpos"), "least"), "lists")
 
     def need(a, b):  # least number of shared shingles
         return F.ceil((a + b) * percent / (100 + percent) - 1e-9)
@@ -161,12 +152,13 @@ def join(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = K,
     star = lists.where((c("g") != c("h")) & may(c("n"), c("pos"), c("hn"), c("hpos"))).select(F.least("g", "h").alias("a"), F.greatest("g", "h").alias("b"))
     inner = members.where(c("m") != c("g")).select(c("g").alias("a"), c("m").alias("b"))
     star = stored(star.union(inner).distinct(), "star")
-    # every document that may be verified: those of lists, and all members of their groups
-    listed = lists.select("g").union(inner.select(c("a").alias("g"))).distinct()
-    ids = members.join(listed, "g", "left_semi").select(c("m").alias("doc")).union(listed.select(c("g").alias("doc"))).distinct()
+    ids = star.select(c("a").alias("doc")).union(star.select(c("b").alias("doc"))).distinct()
     sets = stored(whole_sets(df, id_col, text, stored(ids, "ids"), k), "sets")
     first = stored(verified(star, sets, percent), "links")
     part = components(first).withColumnRenamed("component", "part")
+    # a list of two is settled by its star; so is a group of one that no longer list holds
+    lists = lists.where("c > 2")
+    listed = lists.select("g").union(inner.select(c("a").alias("g"))).distinct()
     labelled = members.join(listed, "g", "left_semi").join(part, members["m"] == part["v"], "left").select("g", "m", F.coalesce("part", "m").alias("part"))
     labelled = stored(labelled, "members")
     # a group as a whole: its part if all members have one part, else null
@@ -182,8 +174,12 @@ def join(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = K,
     more = more.select(F.least("g1", "g2").alias("g1"), F.greatest("g1", "g2").alias("g2")).union(whole.where("gp is null").select(c("g").alias("g1"), c("g").alias("g2"))).distinct()
     m1, m2 = labelled.select(c("g").alias("g1"), c("m").alias("a"), c("part").alias("q1")), labelled.select(c("g").alias("g2"), c("m").alias("b"), c("part").alias("q2"))
     pairs = more.join(m1, "g1").join(m2, "g2").where((c("q1") != c("q2")) & (c("a") != c("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = pairs.join(star, ["a", "b"], "left_anti")
-    links = stored(first.union(verified(pairs, sets, percent)), "links")
+    pairs = stored(pairs.join(star, ["a", "b"], "left_anti"), "pairs")
+    links = first
+    if not pairs.isEmpty():
+        ids = pairs.select(c("a").alias("doc")).union(pairs.select(c("b").alias("doc"))).distinct()
+        sets = stored(whole_sets(df, id_col, text, stored(ids, "ids"), k), "sets")
+        links = stored(first.union(verified(pairs, sets, percent)), "links")
     comp = components(links)
     degree = links.select(c("a").alias("v")).union(links.select(c("b").alias("v"))).groupBy("v").agg(F.count("*").alias("links"))
     cls = reps.select("digest", c("doc").alias("v")).join(comp, "v", "left").join(degree, "v", "left").select("digest", c("v").alias("class_id"), F.coalesce("component", "v").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))

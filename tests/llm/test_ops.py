@@ -241,3 +241,21 @@ def test_classifiers_of_odd_rows(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(f"{path}/labels.parquet")
     for q in (queries.op6_quality_classifier, queries.op10_toxicity):
         assert q(spark, path).count() == 0
+
+
+def test_word_hashes():
+    import pyarrow as pa
+
+    from facetgraph.llm._common import word_hashes, words_of
+
+    rng = np.random.default_rng(0)
+    texts = ["", None, " a", "b ", "A", "a\x1cb é\tE x\x0b", "ab" * 50] + ["".join(rng.choice(list("aAbB é\n"), 60)) for _ in range(300)]
+    texts += ["long " * 2000 + "w" * 500, "q" * 9000]
+    seen: dict = {}
+    for chunk in (64, 1000, 1 << 20):
+        for t, h in zip(texts, word_hashes(pa.array(texts), chunk), strict=True):
+            w = words_of((t or "").encode())
+            assert len(w) == len(h)
+            for x, y in zip(w, h.tolist(), strict=True):
+                assert seen.setdefault(x, y) == y
+    assert len(set(seen.values())) == len(seen)
