@@ -117,6 +117,13 @@ def texts_of(column) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
 
 
+def sliced(batches, rows: int = 2048):
+    """Arrow batches in slices, so that a task's working memory doesn't follow the batch size."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 _BASE = 0x5851F42D4C957F2D
 _LOW = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], dtype=np.uint8)
 _SPACE = np.array([c == 32 or 9 <= c <= 13 for c in range(256)])

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bitmap, in_bitmap, salted_left_join, shingles, stored, word_hashes
+from ._common import bitmap, in_bitmap, salted_left_join, shingles, sliced, stored, word_hashes
 
 K, PERCENT = 4, 85
 FREQUENT = 1 << 19
@@ -41,14 +41,14 @@ def sets_of(column, k: int) -> list[np.ndarray]:
 
 def frequent(df: DataFrame, text: str, k: int = K, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
     """At most ``most`` frequent shingles, ascending, and their ranks by frequency. Every document is counted; within
-    a batch shingles seen once or twice are let go, so a count may be short by 2 a batch."""
+    a slice of a batch shingles seen once are let go, so a count may be short by 1 a slice."""
 
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in sliced(batches):
             s, c = np.unique(np.concatenate(sets_of(b.column(0), k) or [np.zeros(0, np.uint64)]), return_counts=True)
-            s, c = s[c > 2], c[c > 2]
+            s, c = s[c > 1], c[c > 1]
             yield pa.RecordBatch.from_pydict({"s": s.view(np.int64), "c": c.astype(np.int64)})
 
     counts = df.select(text).mapInArrow(run, "s long, c long").groupBy("s").agg(F.sum("c").alias("c")).where(F.col("c") >= LEAST_FREQUENT)
@@ -78,7 +78,7 @@ def profiles(df: DataFrame, id_col: str, text: str, common: np.ndarray, count: n
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in sliced(batches):
             rows = {"n": [], "digest": [], "gkey": [], "prefix": []}
             for x in sets_of(b.column(1), k):
                 p = ordered(x, common, count)[: prefix_length(len(x), percent)] if len(x) else x
@@ -97,7 +97,7 @@ def whole_sets(df: DataFrame, id_col: str, text: str, ids: DataFrame, k: int) ->
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in sliced(batches):
             yield pa.RecordBatch.from_pydict({"doc": b.column(0), "set": pa.array([x.view(np.int64) for x in sets_of(b.column(1), k)], pa.list_(pa.int64()))})
 
     d = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text")).withColumn("_bm", bitmap(ids.select("doc"), BITS).scalar())

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WordHash, mixed, shingles, texts_of
+from ._common import WordHash, mixed, shingles, sliced, texts_of
 
 MAX_TRAIN = 12_000
 BITS = 20
@@ -38,7 +38,7 @@ def fitted(rows: DataFrame, features, fit) -> dict:
         import pyarrow as pa
 
         make = features()
-        for b in batches:
+        for b in sliced(batches):
             x = [make(t) for t in texts_of(b.column(1))]
             yield pa.RecordBatch.from_pydict({"h": b.column(0), "y": b.column(2), "i": pa.array([a.astype("<u4").tobytes() for a, _ in x], pa.binary()), "v": pa.array([v.astype("<f4").tobytes() for _, v in x], pa.binary())})
 
@@ -65,7 +65,7 @@ def scored(df: DataFrame, id_cols: list[str], text: str, model: dict, features,
 
         make, w = features(), np.zeros(1 << BITS)
         w[model["i"]] = model["w"]
-        for b in batches:
+        for b in sliced(batches):
             out = [score(w, model["x"], *make(t, w)) for t in texts_of(b.column(b.num_columns - 1))]
             cols = [b.column(i) for i in range(len(id_cols))] + [pa.array(c, pa.float64()) for c in zip(*out, strict=True)]
             if out:

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 
-from ._common import texts_of
+from ._common import sliced, texts_of
 
 WINDOW = 4096
 END = 2
@@ -209,7 +209,7 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "tex
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
 
         out = []
-        for batch in batches:
+        for batch in sliced(batches):
             ids = batch.column(0).to_pylist()
             for doc, t in zip(ids, tokens.of([x.decode() for x in texts_of(batch.column(1))]), strict=True):
                 out += packer.add(doc, np.append(t, np.uint32(end)).astype("<u4"))
