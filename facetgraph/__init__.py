@@ -1,0 +1,6 @@
+"""JSON-pattern queries over object graphs, compiled to Spark DataFrames."""
+
+from .catalog import Catalog, Entity
+from .engine import query
+
+__all__ = ["Catalog", "Entity", "query"]
