@@ -30,7 +30,7 @@ END = 2
 MAX_OPEN = 2048
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Words remembered by a worker.
-_CACHE = 1 << 20
+_CACHE = 1 << 21
 _MARKS = ".,!?%&#$*|;:"
 #: str.split() takes these for white space, the tokenizer doesn't.
 _APART = "\x1c\x1d\x1e\x1f"
@@ -51,7 +51,7 @@ class Tokens:
         self.known: dict[str, bytes] = {}
 
     def _encoded(self, words: list[str]) -> dict[str, bytes]:
-        return {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(words, self.tok.encode_batch(words, add_special_tokens=False), strict=True)}
+        return {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(words, self.tok.encode_batch_fast(words, add_special_tokens=False), strict=True)}
 
     def _learn(self, words: set[str]) -> dict[str, bytes]:
         """Bytes of ids of words, kept in ``known`` while there is room."""
@@ -69,7 +69,7 @@ class Tokens:
             self.known.update(out)
         return out
 
-    def of(self, texts: list[str], chunk: int = 256) -> Iterator[np.ndarray]:
+    def of(self, texts: list[str], chunk: int = 1024) -> Iterator[np.ndarray]:
         find = self.known.get
         for at in range(0, len(texts), chunk):
             split = [None if any(c in t for c in _APART) else t.split() for t in texts[at : at + chunk]]
