@@ -528,7 +528,7 @@ def multi_frame(plan: Plan, v: Label) -> DataFrame:
     for p in sorted(v.absent):
         out = out.where(F.size(plan.at(n, p)) == 0)
     for p, conds in shown.items():
-        out = out.withColumn(f"{n}${p}", F.array_distinct(F.concat(*[matches(plan, plan.at(n, p), c, "filter") for c in conds])))
+        out = out.withColumn(f"{n}${p}", F.array_sort(F.array_distinct(F.concat(*[matches(plan, plan.at(n, p), c, "filter") for c in conds]))))
     return out
 
 
