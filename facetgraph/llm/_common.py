@@ -75,7 +75,7 @@ def _shl(s: Column) -> Column:
 class WordHash(dict):
     """64-bit hashes of words (bytes), remembered up to a bound."""
 
-    LIMIT = 1 << 20
+    LIMIT = 1 << 18
 
     def __missing__(self, w: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -153,7 +153,7 @@ def _hashed(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return s, mixed(h + (e - s + 1).astype(np.uint64) * _ODD)
 
 
-def word_hashes(column, chunk: int = 1 << 20) -> list[np.ndarray]:
+def word_hashes(column, chunk: int = 1 << 18) -> list[np.ndarray]:
     """Hashes of the words ``[^\\x20\\x09-\\x0D]+``, A-Z in lower case, of each text of an Arrow string column: a
     polynomial over the bytes, computed for about ``chunk`` bytes at a time. Null is empty."""
     import pyarrow as pa

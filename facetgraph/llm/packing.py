@@ -41,9 +41,11 @@ class Tokens:
     once and remembered as bytes, up to a bound; a word of letters with ASCII marks behind it by its two parts,
     as the tokenizer splits there too."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remember: int = _CACHE):
         import os
 
+        self.remember = remember
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -64,7 +66,7 @@ class Tokens:
         new = self._encoded(list(need))
         get = lambda x: (new.get(x) or self.known.get(x) or b"") if x else b""
         out = {w: get(a) + get(b) for w, (a, b) in parts.items()}
-        if len(self.known) < _CACHE:
+        if len(self.known) < self.remember:
             self.known.update(new)
             self.known.update(out)
         return out
@@ -89,9 +91,10 @@ class Tokens:
 _TOKENS: dict[str, Tokens] = {}
 
 
-def tokens_of(path: str) -> Tokens:
+def tokens_of(path: str, remember: int = _CACHE) -> Tokens:
     if path not in _TOKENS:
         _TOKENS[path] = Tokens(path)
+    _TOKENS[path].remember = remember
     return _TOKENS[path]
 
 
@@ -193,15 +196,16 @@ class Packer:
         return out
 
 
-def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", size: int = WINDOW, end: int = END) -> DataFrame:
+def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", size: int = WINDOW, end: int = END, remember: int = _CACHE) -> DataFrame:
     """A row per piece. Sequence ids: the task's partition, then a running number. ``tokenizer``: a file's path,
-    there on every machine."""
+    there on every machine; remember: words that a
+    worker keeps, about 200 bytes each."""
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        tokens, packer = tokens_of(tokenizer), Packer(TaskContext.get().partitionId() << 40, size)
+        tokens, packer = tokens_of(tokenizer, remember), Packer(TaskContext.get().partitionId() << 40, size)
         names = [x.split()[0] for x in SCHEMA.split(", ")]
 
         def rows(out):
