@@ -136,9 +136,12 @@ def join(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = K,
     reps = some.groupBy("digest").agg(F.min("doc").alias("doc"), F.first("gkey").alias("gkey"), F.first("n").alias("n"))
     reps = stored(reps, "reps")  # one document per distinct set
     groups = some.groupBy("gkey").agg(F.min(F.struct("doc", "n", "prefix")).alias("x")).select(F.col("x.doc").alias("g"), "gkey", F.col("x.n").alias("n"), F.col("x.prefix").alias("prefix"))
-    lists = groups.select("g", "n", F.posexplode("prefix").alias("pos", "s"))
-    shared = lists.groupBy("s").agg(F.count("*").alias("c"), F.min(F.struct("pos", "n", "g")).alias("hub"), F.min("n").alias("least")).where("c > 1")
-    lists = stored(lists.join(shared, "s").select("s", "g", "n", "pos", "c", F.col("hub.g").alias("h"), F.col("hub.n").alias("hn"), F.col("hub.pos").alias("hpos"), "least"), "lists")
+    # most shingles stand in one prefix only: they are counted and dropped before anything else is known of them
+    lists = groups.select("g", "n", F.posexplode("prefix").alias("pos", "s")).select("s", "g", (F.shiftleft("n", 32) + F.col("pos")).alias("np"))
+    shared = lists.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
+    lists = stored(lists.join(shared, "s").select("s", "g", F.shiftright("np", 32).alias("n"), F.col("np").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"), "c"), "shared")
+    hubs = lists.groupBy("s").agg(F.min(F.struct("pos", "n", "g")).alias("hub"), F.min("n").alias("least"))
+    lists = stored(lists.join(hubs, "s").select("s", "g", "n", "pos", "c", F.col("hub.g").alias("h"), F.col("hub.n").alias("hn"), F.col("hub.pos").alias("hpos"), "least"), "lists")
 
     def need(a, b):  # least number of shared shingles
         return F.ceil((a + b) * percent / (100 + percent) - 1e-9)
