@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from facetgraph.llm import jaccard, linear, mixing, packing, queries, secrets
 from facetgraph.llm._common import stored, table, tokenizer_path
 
-#: SQL can't express the trained and hashed stages; tests compare them with brute-force versions.
+#: SQL can't express the trained and hashed stages; the operators behind them have brute-force tests.
 ORACLE_SQL = None
 #: The dedup stage's words of a shingle and least likeness in hundredths.
 WORDS, PERCENT = 5, 80
