@@ -10,7 +10,9 @@ most frequent shingles go to tasks. Any order that all agree on gives the same r
    groups that share a shingle is first linked as a star: each member with the list's hub, the one in whose prefix
    the shingle stands first. Only members that this leaves in another part than the hub then meet the whole list.
    So n near copies cost about n comparisons, and no link between parts is lost.
-3. Groups are expanded to members and every pair is verified on the whole sets: 100 * shared >= percent * union.
+3. Groups are expanded to members. A pair whose parity maps differ in more bits than two alike sets can is no link:
+   each element of one set alone flips one bit, so the maps differ in at most as many bits as the sets in elements.
+   Every other pair is verified on the whole sets: 100 * shared >= percent * union.
 
 Links between documents already known to be in one component are not needed for components and are not searched for;
 ``links`` counts the verified links of a document's set, an own count and not that of all pairs.
@@ -33,6 +35,8 @@ K, PERCENT = 4, 85
 FREQUENT = 1 << 19
 LEAST_FREQUENT = 6
 BITS = 20
+#: Bits of a parity map.
+LEAST_BITS, MOST_BITS = 256, 1 << 16
 
 
 def sets_of(column, k: int) -> list[np.ndarray]:
@@ -72,23 +76,55 @@ def ordered(x: np.ndarray, common: np.ndarray, count: np.ndarray) -> np.ndarray:
     return x[np.lexsort((x, c))]
 
 
+def parity(x: np.ndarray) -> bytes:
+    """A bit map of the set: bit i is the parity of the elements that fall on i. It has the least power of two of
+    bits, LEAST_BITS at least and MOST_BITS at most, that is twice the set's size or more. A half folded onto the
+    other by exclusive or is the map of half the bits."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (2 * len(x) - 1).bit_length()))
+    return np.packbits(np.bincount((x & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def may_link(na: int, pa: bytes, nb: int, pb: bytes, percent: int) -> bool:
+    """False only if sets of these sizes and parity maps are surely less alike."""
+    u, v = np.frombuffer(pa, np.uint8), np.frombuffer(pb, np.uint8)
+    n = min(len(u), len(v))
+    u, v = np.bitwise_xor.reduce(u.reshape(-1, n), axis=0), np.bitwise_xor.reduce(v.reshape(-1, n), axis=0)
+    return int(np.bitwise_count(u ^ v).sum()) * (100 + percent) <= (na + nb) * (100 - percent)
+
+
+def plausible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their parity maps don't rule out."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in sliced(batches):
+            rows = zip(*(b.column(x).to_pylist() for x in ("na", "ma", "nb", "mb")), strict=True)
+            yield b.select(["a", "b"]).filter(pa.array([may_link(*r, percent) for r in rows], pa.bool_()))
+
+    c = F.col
+    x = pairs.join(reps.select(c("doc").alias("a"), c("n").alias("na"), c("map").alias("ma")), "a").join(reps.select(c("doc").alias("b"), c("n").alias("nb"), c("map").alias("mb")), "b")
+    return x.mapInArrow(run, "a long, b long").distinct()
+
+
 def profiles(df: DataFrame, id_col: str, text: str, common: np.ndarray, count: np.ndarray, k: int, percent: int) -> DataFrame:
-    """doc, n, digest (of the set), gkey (of prefix and size), prefix."""
+    """doc, n, digest (of the set), gkey (of prefix and size), map (of parities), prefix."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in sliced(batches):
-            rows = {"n": [], "digest": [], "gkey": [], "prefix": []}
+            rows = {"n": [], "digest": [], "gkey": [], "map": [], "prefix": []}
             for x in sets_of(b.column(1), k):
                 p = ordered(x, common, count)[: prefix_length(len(x), percent)] if len(x) else x
                 rows["n"].append(len(x))
                 rows["digest"].append(xxhash.xxh3_128_hexdigest(x.tobytes()))
                 rows["gkey"].append(xxhash.xxh3_128_hexdigest(p.tobytes() + len(x).to_bytes(8, "little")))
+                rows["map"].append(parity(x))
                 rows["prefix"].append(p.view(np.int64))
-            yield pa.RecordBatch.from_pydict({"doc": b.column(0), "n": pa.array(rows["n"], pa.int64()), "digest": rows["digest"], "gkey": rows["gkey"], "prefix": pa.array(rows["prefix"], pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"doc": b.column(0), "n": pa.array(rows["n"], pa.int64()), "digest": rows["digest"], "gkey": rows["gkey"], "map": pa.array(rows["map"], pa.binary()), "prefix": pa.array(rows["prefix"], pa.list_(pa.int64()))})
 
-    return df.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text")).mapInArrow(run, "doc long, n long, digest string, gkey string, prefix array<long>")
+    return df.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text")).mapInArrow(run, "doc long, n long, digest string, gkey string, map binary, prefix array<long>")
 
 
 def whole_sets(df: DataFrame, id_col: str, text: str, ids: DataFrame, k: int) -> DataFrame:
@@ -133,7 +169,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = K,
     common, count = frequent(df, text, k)
     p = stored(profiles(df, id_col, text, common, count, k, percent), "profiles")
     some = p.where("n > 0 and doc is not null")
-    reps = some.groupBy("digest").agg(F.min("doc").alias("doc"), F.first("gkey").alias("gkey"), F.first("n").alias("n"))
+    reps = some.groupBy("digest").agg(F.min("doc").alias("doc"), F.first("gkey").alias("gkey"), F.first("n").alias("n"), F.first("map").alias("map"))
     reps = stored(reps, "reps")  # one document per distinct set
     groups = some.groupBy("gkey").agg(F.min(F.struct("doc", "n", "prefix")).alias("x")).select(F.col("x.doc").alias("g"), "gkey", F.col("x.n").alias("n"), F.col("x.prefix").alias("prefix"))
     # most shingles stand in one prefix only: they are counted and dropped before anything else is known of them
@@ -155,9 +191,10 @@ def join(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = K,
     star = lists.where((c("g") != c("h")) & may(c("n"), c("pos"), c("hn"), c("hpos"))).select(F.least("g", "h").alias("a"), F.greatest("g", "h").alias("b"))
     inner = members.where(c("m") != c("g")).select(c("g").alias("a"), c("m").alias("b"))
     star = stored(star.union(inner).distinct(), "star")
-    ids = star.select(c("a").alias("doc")).union(star.select(c("b").alias("doc"))).distinct()
+    likely = stored(plausible(star, reps, percent), "likely")
+    ids = likely.select(c("a").alias("doc")).union(likely.select(c("b").alias("doc"))).distinct()
     sets = stored(whole_sets(df, id_col, text, stored(ids, "ids"), k), "sets")
-    first = stored(verified(star, sets, percent), "links")
+    first = stored(verified(likely, sets, percent), "links")
     part = components(first).withColumnRenamed("component", "part")
     # a list of two is settled by its star; so is a group of one that no longer list holds
     lists = lists.where("c > 2")
@@ -177,7 +214,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = K,
     more = more.select(F.least("g1", "g2").alias("g1"), F.greatest("g1", "g2").alias("g2")).union(whole.where("gp is null").select(c("g").alias("g1"), c("g").alias("g2"))).distinct()
     m1, m2 = labelled.select(c("g").alias("g1"), c("m").alias("a"), c("part").alias("q1")), labelled.select(c("g").alias("g2"), c("m").alias("b"), c("part").alias("q2"))
     pairs = more.join(m1, "g1").join(m2, "g2").where((c("q1") != c("q2")) & (c("a") != c("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = stored(pairs.join(star, ["a", "b"], "left_anti"), "pairs")
+    pairs = stored(plausible(pairs.join(star, ["a", "b"], "left_anti"), reps, percent), "pairs")
     links = first
     if not pairs.isEmpty():
         ids = pairs.select(c("a").alias("doc")).union(pairs.select(c("b").alias("doc"))).distinct()
