@@ -49,7 +49,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, tokenizer_path(), remember=1 << 20)
+    return packing.pack(docs, tokenizer_path(), remember=1 << 17)
 
 
 STAGES = [("quality", quality), ("dedup", dedup), ("secrets", mask), ("mix", mix), ("pack", pack)]

@@ -149,16 +149,20 @@ GRADES = 3
 class Shapes:
     """Words and word shapes by their share of the text, and the text's own traits, hashed."""
 
+    #: Words that a worker keeps.
+    REMEMBER = 1 << 16
+
     def __init__(self):
         self.known: dict[bytes, tuple[int, int]] = {}
         self.hash = WordHash()
+        self.hash.LIMIT = self.REMEMBER
 
     def _of(self, word: bytes) -> tuple[int, int]:
         tail = word[len(word.rstrip(b".,!?%&#$*|;:\"'")) :]
         core = word[: len(word) - len(tail)]
         shape = b"\x00" + (b"U" if core.isupper() and len(core) > 1 else b"T" if core[:1].isupper() else b"d" if core[:1].isdigit() else b"l") + tail[:3]
         x = (self.hash[core.lower()], self.hash[shape])
-        if len(self.known) < WordHash.LIMIT:
+        if len(self.known) < self.REMEMBER:
             self.known[word] = x
         return x
 
