@@ -33,6 +33,18 @@ def stored(df: DataFrame, name: str = "t") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_in_small_batches(df: DataFrame, name: str, rows: int = 256) -> DataFrame:
+    """stored(), with Arrow batches of at most ``rows`` rows, for Python steps whose rows may be as long as the longest
+    texts. The session's own setting is put back."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = conf.get(key)
+    conf.set(key, rows)
+    try:
+        return stored(df, name)
+    finally:
+        conf.set(key, was)
+
+
 def salt(key: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
 
