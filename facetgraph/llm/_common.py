@@ -60,24 +60,24 @@ def salted_left_join(big: DataFrame, small: DataFrame, key: str, by: str, n: int
 BITS = 20
 
 
-def slot(x: Column, bits: int = BITS) -> Column:
-    return F.pmod(F.xxhash64(x), F.lit(1 << bits))
+def slot(x: Column, bits: int = BITS, hashed: bool = False) -> Column:
+    """The place of x among 2**bits; hashed: x is a hash already, whose low bits are the place."""
+    return x.bitwiseAND(F.lit((1 << bits) - 1)) if hashed else F.pmod(F.xxhash64(x), F.lit(1 << bits))
 
 
-def bitmap(keys: DataFrame, bits: int = BITS) -> DataFrame:
+def bitmap(keys: DataFrame, bits: int = BITS, hashed: bool = False) -> DataFrame:
     """One row, ``bm`` array<bigint> of fixed size 2**bits / 64: bit slot(key) is set for each value of the
     only column. Its size does not depend on the input, so it may be sent to every task."""
-    c = F.col(keys.columns[0])
-    s = slot(c, bits)
-    words = keys.select(F.shiftright(s, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{keys.columns[0]}`), {1 << bits}) & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    s = slot(F.col(keys.columns[0]), bits, hashed)
+    words = keys.select(F.shiftright(s, 6).alias("w"), _shl(s).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
     whole = keys.sparkSession.range((1 << bits) >> 6).withColumnRenamed("id", "w").join(words, "w", "left")
     return whole.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", F.coalesce("b", F.lit(0)).alias("b")))), lambda x: x["b"]).alias("bm"))
 
 
-def in_bitmap(bm: Column, x: Column, bits: int = BITS) -> Column:
+def in_bitmap(bm: Column, x: Column, bits: int = BITS, hashed: bool = False) -> Column:
     """Whether x's bit is set; other values may share the bit."""
-    s = slot(x, bits)
-    return (F.shiftright(F.get(bm, F.shiftright(s, 6).cast("int")), 0).bitwiseAND(_shl(s))) != 0
+    s = slot(x, bits, hashed)
+    return F.get(bm, F.shiftright(s, 6).cast("int")).bitwiseAND(_shl(s)) != 0
 
 
 def _shl(s: Column) -> Column:

@@ -5,7 +5,9 @@ is the terms whose share of documents lies within a band. A share of at least ``
 (mean distinct terms per document) / lo whatever the corpus' size; it is sent to tasks as a fixed 2**18-bit map.
 A document keeps its terms in the band, sorted and distinct, and hashes them once for each of ``SUBSETS``
 randomised lexicons: LEVELS rates 2**-level, CELLS lexicons each, so that short and long documents both have
-lexicons of the size at which a changed term need not change the hash.
+lexicons of the size at which a changed term need not change the hash. A lexicon is a range of the terms' random
+hashes: those of the first level tile all of them, those of the others follow one another, so that a term is in two
+lexicons at most and a lexicon's terms are one slice of a document's sorted terms.
 
 Defined results: null text counts as empty; a document with fewer than LEAST terms in the band is fingerprinted
 from all its terms; an empty hash is written as dashes and never counts as a match unless both texts are without
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import bitmap, in_bitmap
+from ._common import bitmap, in_bitmap, stored
 
 LO, HI = 0.0005, 0.1
 MAP_BITS = 18
@@ -39,42 +41,49 @@ def lexicon(df: DataFrame, text: str = "text", lo: float = LO, hi: float = HI) -
     total = df.agg(F.count("*").alias("docs"))
     n = total.scalar()
     band = freq.where((F.col("n") >= F.greatest(F.lit(2.0), lo * n)) & ((F.col("n") <= hi * n) | (n < 50)))
-    return bitmap(band.select("h"), MAP_BITS)
+    return bitmap(band.select("h"), MAP_BITS, hashed=True)
 
 
 def fingerprints(df: DataFrame, text: str, lex: DataFrame, out: str) -> DataFrame:
     """df with the fingerprint of its column text under the lexicon. The map is a column first: Spark takes no
     subquery inside a lambda; it is dropped again before any shuffle."""
     df = df.withColumn("_bm", lex.scalar()).withColumn("_terms", F.transform(terms(F.col(text)), lambda x: F.xxhash64(x)))
-    df = df.withColumn("_in", F.filter("_terms", lambda x: in_bitmap(F.col("_bm"), x, MAP_BITS)))
-    df = df.withColumn("_kept", F.sort_array(F.when(F.size("_in") >= LEAST, F.col("_in")).otherwise(F.col("_terms")))).drop("_bm", "_in", "_terms")
-    return df.withColumn(out, fingerprint(F.col("_kept"))).drop("_kept")
+    df = df.withColumn("_in", F.filter("_terms", lambda x: in_bitmap(F.col("_bm"), x, MAP_BITS, hashed=True)))
+    marked = F.concat(F.when(F.size("_in") >= LEAST, F.col("_in")).otherwise(F.col("_terms")), F.array(*[F.lit(x) for x in MARKS]))
+    df = df.withColumn("_kept", F.sort_array(marked)).drop("_bm", "_in", "_terms")
+    # each step is a projection of its own, so that nothing is computed twice
+    df = df.withColumn("_at", F.filter(F.transform("_kept", lambda x, i: F.when(x.isin(*MARKS), i + 1)), lambda i: i.isNotNull()))
+    return df.withColumn(out, fingerprint(F.col("_kept"), F.col("_at"))).drop("_kept", "_at")
 
 
-def fingerprint(kept: Column) -> Column:
-    """SUBSETS hashes of WIDTH hex digits each. A term's cell at a level is
-    level bits of its hash, others at each level."""
+def _lexicons() -> tuple[list[int], list[tuple[int, int]]]:
+    """The marks at which lexicons begin or end, as signed 64-bit hashes in order, and each lexicon's two marks."""
+    ranges, at = [], 0.0
+    for level in LEVELS:
+        ranges += [(at + i / (1 << level), at + (i + 1) / (1 << level)) for i in range(CELLS)]
+        at = 0.0 if level == LEVELS[0] else at + CELLS / (1 << level)
+    ends = sorted({x for r in ranges for x in r})
+    marks = [min(int(x * 2**64) - 2**63, 2**63 - 1) for x in ends]
+    return marks, [(ends.index(a), ends.index(b)) for a, b in ranges]
 
-    def hashed(a: Column) -> Column:
-        h = F.lower(F.hex(F.xxhash64(a)))
-        return F.when(F.size(a) == 0, F.lit(EMPTY)).otherwise(F.lpad(F.right(h, F.lit(WIDTH)), WIDTH, "0"))
 
-    def cell(level: int):
-        return lambda x: F.shiftright(x, 6 * (level - 3)).bitwiseAND(F.lit((1 << level) - 1))
+MARKS, LEXICONS = _lexicons()
 
-    def within(a: Column, level: int, i: int) -> Column:
-        return F.filter(a, lambda x: cell(level)(x) == i)
 
-    parts = []
-    for level in LEVELS:
-        n = min(CELLS, 1 << level)
-        near = _below(kept, cell(level), n) if n < 1 << level else kept
-        parts.append(F.array_join(F.transform(F.array(*[within(near, level, i) for i in range(n)]), hashed), ""))
-    return F.concat(*parts)
+def fingerprint(kept: Column, at: Column) -> Column:
+    """SUBSETS hashes of WIDTH hex digits each. kept: sorted hashes of terms and the MARKS among them; at: the places of
+    the MARKS, from 1. A lexicon's marks are hashed with its terms, which changes nothing."""
 
+    def hashed(x: Column) -> Column:
+        first = F.get(at, x["a"])
+        n = F.get(at, x["b"]) - first
+        h = F.xxhash64(F.slice(kept, first, n))
+        digits = F.right(F.hex(h.bitwiseAND(F.lit(2 ** (4 * WIDTH) - 1)).bitwiseOR(F.lit(2 ** (4 * WIDTH)))), F.lit(WIDTH))
+        return F.when(n == x["b"] - x["a"], F.lit(EMPTY)).otherwise(F.lower(digits))
 
-def _below(a: Column, at, n: int) -> Column:
-    return F.filter(a, lambda x: at(x) < n)
+    # a loop over the lexicons, not 48 expressions: a method that long would not be compiled to machine code
+    lexicons = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in LEXICONS])
+    return F.array_join(F.transform(lexicons, hashed), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -86,28 +95,31 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 #: Documents of a block: ids are whole numbers, so a block of this many ids has no more documents.
-BLOCK = 4096
-
-
-def with_next(df: DataFrame, key: str, value: str) -> DataFrame:
-    """df(key, value) with ``next``: the value of the next row by key (ties by value), after the last the first.
-
-    One shuffle by blocks of BLOCK ids. The first row of each block is also dealt to the block before it, so
-    that no window spans blocks; only the list of blocks (1 row for BLOCK ids) is ordered as a whole. Rows of
-    a null key are nobody's next, and the first row is theirs."""
-    block = F.floor(F.col(key) / BLOCK)
-    d = df.where(F.col(key).isNotNull()).withColumn("_b", block).withColumn("_guest", F.lit(False))
-    firsts = df.where(F.col(key).isNotNull()).groupBy(block.alias("_b")).agg(F.min(F.struct(key, value)).alias("x"))
-    ids = df.where(F.col(key).isNotNull()).select(block.alias("_b")).distinct()
-    w = Window.orderBy("_b")
-    before = ids.select("_b", F.coalesce(F.lag("_b").over(w), F.max("_b").over(Window.partitionBy())).alias("_to"))
-    guests = firsts.join(before, "_b").select(F.col("x")[key].alias(key), F.col("x")[value].alias(value), F.col("_to").alias("_b"), F.lit(True).alias("_guest"))
-    both = d.unionByName(guests)
-    w = Window.partitionBy("_b").orderBy("_guest", key, value)
-    out = both.withColumn("next", F.lead(value).over(w)).where(~F.col("_guest")).drop("_b", "_guest")
-    lost = df.where(F.col(key).isNull())
-    first = df.where(F.col(key).isNotNull()).agg(F.min_by(value, F.struct(key, value)).alias("v"))
-    return out.unionByName(lost.withColumn("next", first.scalar()))
+BLOCK = 1024
+
+
+def with_next(df: DataFrame, key: str, derive) -> DataFrame:
+    """derive(df), whose columns are key and others, with ``next``: a struct of the next row's other columns by key (ties
+    by these columns), after the last the first.
+
+    One shuffle by blocks of BLOCK ids. The first row of each block is also dealt to the block before it, so that no
+    window spans blocks; only the list of blocks (1 row for BLOCK ids) is ordered as a whole. First rows are found by
+    their ids alone, and derive() runs over them once more. Rows of a null key are nobody's next, and the first row is
+    theirs."""
+    block, known = F.floor(F.col(key) / BLOCK), F.col(key).isNotNull()
+    all_rows = Window.partitionBy()
+    firsts = df.where(known).groupBy(block.alias("_b")).agg(F.min(key).alias(key))
+    to = firsts.select(key, F.coalesce(F.lag("_b").over(Window.orderBy("_b")), F.max("_b").over(all_rows)).alias("_b"))
+    own = derive(df)
+    value = F.struct(*[c for c in own.columns if c != key])
+    guests = derive(df.where(known).join(to.select(key), key, "left_semi")).select(key, value.alias("_v")).groupBy(key).agg(F.min("_v").alias("_v")).join(to, key)
+    guests = stored(guests.select(key, "_v", "_b"), "firsts")
+    both = own.select(key, value.alias("_v"), block.alias("_b"), F.lit(False).alias("_guest"))
+    both = both.where(known).unionByName(guests.withColumn("_guest", F.lit(True)))
+    w = Window.partitionBy("_b").orderBy("_guest", key, "_v")
+    out = both.withColumn("next", F.lead("_v").over(w)).where(~F.col("_guest")).select(key, "_v.*", "next")
+    lost = own.where(F.col(key).isNull())
+    return out.unionByName(lost.withColumn("next", guests.agg(F.min_by("_v", key).alias("v")).scalar()))
 
 
 def edited(text: Column, other: Column) -> Column:
@@ -120,9 +132,8 @@ def edited(text: Column, other: Column) -> Column:
 def compare_neighbours(df: DataFrame, id_col: str = "doc_id", text: str = "text", lo: float = LO, hi: float = HI) -> DataFrame:
     """id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each row."""
     docs = df.select(F.col(id_col).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
-    lex = lexicon(docs, "text", lo, hi)
-    own = fingerprints(docs, "text", lex, "f").select("id", F.struct("text", "f").alias("v"))
-    x = with_next(own, "id", "v").select("id", F.col("v.text").alias("text"), F.col("v.f").alias("f"), F.col("next.text").alias("other"), F.col("next.f").alias("g"))
+    lex = stored(lexicon(docs, "text", lo, hi), "lexicon")  # one row, counted once for all its uses
+    x = with_next(docs, "id", lambda d: fingerprints(d, "text", lex, "f")).select("id", "text", "f", F.col("next.text").alias("other"), F.col("next.f").alias("g"))
     x = x.select("id", "f", "g", F.length("text").cast("long").alias("n_chars"), edited(F.col("text"), F.col("other")).alias("e"))
     x = fingerprints(x.withColumn("sha", F.sha2("e", 256)), "e", lex, "ef")
     return x.select(
