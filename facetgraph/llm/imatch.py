@@ -110,6 +110,7 @@ def with_next(df: DataFrame, key: str, derive) -> DataFrame:
     all_rows = Window.partitionBy()
     firsts = df.where(known).groupBy(block.alias("_b")).agg(F.min(key).alias(key))
     to = firsts.select(key, F.coalesce(F.lag("_b").over(Window.orderBy("_b")), F.max("_b").over(all_rows)).alias("_b"))
+    to = stored(to, "starts")  # a table of known size: joined by broadcast as long as it is small
     own = derive(df)
     value = F.struct(*[c for c in own.columns if c != key])
     guests = derive(df.where(known).join(to.select(key), key, "left_semi")).select(key, value.alias("_v")).groupBy(key).agg(F.min("_v").alias("_v")).join(to, key)
