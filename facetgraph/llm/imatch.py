@@ -89,9 +89,14 @@ def fingerprint(kept: Column, at: Column) -> Column:
 def likeness(a: Column, b: Column) -> Column:
     """Share of equal hashes among the lexicons that either fingerprint meets; 1 for equal fingerprints."""
     at = lambda s, i: F.substring(s, i * WIDTH + 1, WIDTH)
-    some = F.filter(F.transform(F.sequence(F.lit(0), (F.length(a) / WIDTH).cast("int") - 1), lambda i: F.struct(at(a, i).alias("x"), at(b, i).alias("y"))), lambda p: (p["x"] != EMPTY) | (p["y"] != EMPTY))
-    same = F.filter(some, lambda p: p["x"] == p["y"])
-    return F.when(a == b, 1.0).when(F.size(some) == 0, 0.0).otherwise(F.size(same) / F.size(some))
+    tally = lambda same, some: F.struct(same.cast("int").alias("same"), some.cast("int").alias("some"))
+
+    def counted(t: Column, i: Column) -> Column:
+        unlike, none = at(a, i) != at(b, i), at(a, i) == EMPTY
+        return F.when(unlike, tally(t["same"], t["some"] + 1)).when(none, t).otherwise(tally(t["same"] + 1, t["some"] + 1))
+
+    share = F.aggregate(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), tally(F.lit(0), F.lit(0)), counted, lambda t: F.when(t["some"] == 0, 0.0).otherwise(t["same"] / t["some"]))
+    return F.when(a == b, 1.0).otherwise(share)
 
 
 #: Documents of a block: ids are whole numbers, so a block of this many ids has no more documents.
