@@ -171,13 +171,14 @@ def join(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = K,
     some = p.where("n > 0 and doc is not null")
     reps = some.groupBy("digest").agg(F.min("doc").alias("doc"), F.first("gkey").alias("gkey"), F.first("n").alias("n"), F.first("map").alias("map"))
     reps = stored(reps, "reps")  # one document per distinct set
-    groups = some.groupBy("gkey").agg(F.min(F.struct("doc", "n", "prefix")).alias("x")).select(F.col("x.doc").alias("g"), "gkey", F.col("x.n").alias("n"), F.col("x.prefix").alias("prefix"))
+    groups = some.groupBy("gkey").agg(F.min(F.struct("doc", "n", "prefix")).alias("x"), (F.min("digest") != F.max("digest")).cast("long").alias("many"))
+    groups = groups.select(F.col("x.doc").alias("g"), "gkey", F.col("x.n").alias("n"), F.col("x.prefix").alias("prefix"), "many")
     # most shingles stand in one prefix only: they are counted and dropped before anything else is known of them
-    lists = groups.select("g", "n", F.posexplode("prefix").alias("pos", "s")).select("s", "g", (F.shiftleft("n", 32) + F.col("pos")).alias("np"))
+    lists = groups.select("g", "n", "many", F.posexplode("prefix").alias("pos", "s")).select("s", "g", (F.shiftleft("n", 32) + F.shiftleft("pos", 1) + F.col("many")).alias("np"))
     shared = lists.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
-    lists = stored(lists.join(shared, "s").select("s", "g", F.shiftright("np", 32).alias("n"), F.col("np").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"), "c"), "shared")
-    hubs = lists.groupBy("s").agg(F.min(F.struct("pos", "n", "g")).alias("hub"), F.min("n").alias("least"))
-    lists = stored(lists.join(hubs, "s").select("s", "g", "n", "pos", "c", F.col("hub.g").alias("h"), F.col("hub.n").alias("hn"), F.col("hub.pos").alias("hpos"), "least"), "lists")
+    lists = stored(lists.join(shared, "s").select("s", "g", F.shiftright("np", 32).alias("n"), F.shiftright(F.col("np").bitwiseAND(F.lit((1 << 32) - 1)), 1).alias("pos"), F.col("np").bitwiseAND(F.lit(1)).alias("many"), "c"), "shared")
+    hubs = lists.groupBy("s").agg(F.min(F.struct("pos", "n", "g")).alias("hub"), F.min("n").alias("least"), F.max("many").alias("many"))
+    lists = stored(lists.drop("many").join(hubs, "s").select("s", "g", "n", "pos", "c", "many", F.col("hub.g").alias("h"), F.col("hub.n").alias("hn"), F.col("hub.pos").alias("hpos"), "least"), "lists")
 
     def need(a, b):  # least number of shared shingles
         return F.ceil((a + b) * percent / (100 + percent) - 1e-9)
@@ -196,8 +197,8 @@ def join(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = K,
     sets = stored(whole_sets(df, id_col, text, stored(ids, "ids"), k), "sets")
     first = stored(verified(likely, sets, percent), "links")
     part = components(first).withColumnRenamed("component", "part")
-    # a list of two is settled by its star; so is a group of one that no longer list holds
-    lists = lists.where("c > 2")
+    # a list of two groups of one set each is settled by its star; so is a group of one that no other list holds
+    lists = lists.where("c > 2 or many > 0")
     listed = lists.select("g").union(inner.select(c("a").alias("g"))).distinct()
     labelled = members.join(listed, "g", "left_semi").join(part, members["m"] == part["v"], "left").select("g", "m", F.coalesce("part", "m").alias("part"))
     labelled = stored(labelled, "members")

@@ -76,6 +76,18 @@ def test_jaccard_join(spark, tmp_path):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_components(rows)
 
 
+def test_jaccard_join_of_two_groups(spark, tmp_path):
+    """Triples A, B with a word changed, C with another: some link only through a member that isn't its group's least."""
+    rng, rows = np.random.default_rng(11), []
+    for i in range(150):
+        a = [f"t{i}_{j}" for j in range(23)]
+        b, c = list(a), list(a)
+        b[-1 if i % 2 else int(rng.integers(23))] = c[0 if i % 2 else int(rng.integers(23))] = f"y{i}"
+        rows += [(5000 + 3 * i + int(o), " ".join(w)) for o, w in zip(rng.permutation(3), (b, a, c), strict=True)]
+    got = queries.op2_ngram_jaccard_join(spark, docs_of(spark, tmp_path, rows)).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_components(rows)
+
+
 def test_jaccard_join_of_nothing(spark, tmp_path):
     assert queries.op2_ngram_jaccard_join(spark, docs_of(spark, tmp_path, [])).count() == 0
 
