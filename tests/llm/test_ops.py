@@ -120,6 +120,18 @@ def test_repeated_passages(spark, tmp_path):
     assert queries.op4_substring_dedup(spark, docs_of(spark, tmp_path, [])).count() == 0
 
 
+def test_repeated_passages_on_one_diagonal(spark, tmp_path):
+    """Four passages at the same places of two documents, the text between them rewritten."""
+    rng = np.random.default_rng(8)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    rows, shared = [], [word(70) for _ in range(4)]
+    for d in range(2):
+        rows.append((d, " ".join(sum((word(130) + p for p in shared), word(0)))))
+    got = queries.op4_substring_dedup(spark, docs_of(spark, tmp_path, rows)).collect()
+    assert sorted((r.start // 200, r.other_start // 200) for r in got) == [(i, i) for i in range(4)]
+    assert all(r.start % 200 == 130 and r.end % 200 == 0 for r in got)
+
+
 def test_nearest_neighbours(spark, tmp_path):
     path = "/root/testdata/sf0.1/embeddings.parquet"
     x = spark.read.parquet(path).select("vec_id", "embedding").toPandas().sort_values("vec_id")
