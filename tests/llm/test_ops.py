@@ -120,6 +120,29 @@ def test_repeated_passages(spark, tmp_path):
     assert queries.op4_substring_dedup(spark, docs_of(spark, tmp_path, [])).count() == 0
 
 
+def test_repeated_passages_beside_another_representative(spark, tmp_path):
+    """Of each triple the least document, which holds every key first, is less alike to the others than they are."""
+    import pyarrow as pa
+
+    from facetgraph.llm._common import shingles, word_hashes
+
+    rng, rows, want = np.random.default_rng(4), [], set()
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    for i in range(60):
+        p = word(60)
+        a, b = list(p), list(p)
+        a[20], a[40], b[int(rng.integers(60))] = word(3)
+        three = [(3 * i + j, " ".join(word(50) + x + word(50))) for j, x in enumerate((a, p, b))]
+        rows += three
+        t1, t2 = (shingles(h, 5) for h in word_hashes(pa.array([x for _, x in three[1:]])))
+        k1, k2 = (dict(zip(*(z.tolist() for z in passages.keyed(t)[:2]), strict=True)) for t in (t1, t2))
+        if any(passages.alike(t2, k2[k], t1, k1[k]) for k in k1.keys() & k2.keys()):
+            want.add((3 * i + 2, 3 * i + 1))
+    got = queries.op4_substring_dedup(spark, docs_of(spark, tmp_path, rows)).collect()
+    assert len(want) > 30 and want <= {(r.doc_id, r.other_id) for r in got}
+    assert all(r.similarity >= 0.8 for r in got)
+
+
 def test_repeated_passages_on_one_diagonal(spark, tmp_path):
     """Four passages at the same places of two documents, the text between them rewritten."""
     rng = np.random.default_rng(8)
