@@ -43,9 +43,10 @@ def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    sized = queries.weighted_sizes(docs, table(spark, sf_dir, "labels"))
-    copies = mixing.mix(sized).where("copies > 0 and doc_id is not null").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    return docs.join(copies, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(docs.columns)
+    # whole rows go through the mix, so that rows of a null id stay what was counted
+    whole = docs.withColumn("_row", F.struct(*docs.columns))
+    mixed = mixing.mix(queries.weighted_sizes(whole, table(spark, sf_dir, "labels"), ("_row",)), keep=("_row",)).where("copies > 0")
+    return mixed.select("_row", F.explode(F.sequence(F.lit(1), "copies"))).select("_row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,8 +55,8 @@ def targets(sources: DataFrame, budget: float = BUDGET, max_epochs: int = MAX_EP
     return s.withColumn("target", F.when(F.col("_at").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("weight") * F.col("_at")))).drop("cap", "ratio", "_capped", "_weight", "_total", "_level", "_at")
 
 
-def mix(df: DataFrame, sources: DataFrame | None = None, id_col: str = "doc_id", budget: float = BUDGET, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """df(id, source, size, weight) -> id, source, size, source_size, target, copies, taken.
+def mix(df: DataFrame, sources: DataFrame | None = None, id_col: str = "doc_id", budget: float = BUDGET, max_epochs: int = MAX_EPOCHS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """df(id, source, size, weight) -> id, source, size, source_size, target, copies, taken, key and the columns ``keep``.
 
     ``sources``(source, weight) gives target weights; without it WEIGHTS repeat over the sources by code point,
     null last."""
@@ -84,4 +84,4 @@ def mix(df: DataFrame, sources: DataFrame | None = None, id_col: str = "doc_id",
     # taken if it ends within the rest, or if it crosses the rest's end and lands nearer to it than leaving it does
     more = (F.col("rest") - start >= F.col("size") / 2) & (F.col("size") > 0) & (F.col("rest") > 0) & (F.col("epochs") < max_epochs)
     docs = docs.withColumn("copies", (F.col("epochs") + more.cast("int")).cast("int"))
-    return docs.select(F.col(id_col), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "key")
+    return docs.select(F.col(id_col), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "key", *keep)

@@ -42,11 +42,11 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 KEEP = 0.3
 
 
-def weighted_sizes(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, source, size and the quality weight: 2 for rated good, 0.5 for rated poor, 1 for unrated."""
+def weighted_sizes(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, the columns ``keep`` and the quality weight: 2 for rated good, 0.5 for rated poor, 1 for unrated."""
     rated = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("_q"))
-    sized = docs.select("doc_id", "source", mixing.words(F.col("text")).alias("size"))
-    return sized.join(rated, "doc_id", "left").select("doc_id", "source", "size", F.coalesce(F.when(F.col("_q") > 0, 2.0).when(F.col("_q") == 0, 0.5), F.lit(1.0)).alias("weight"))
+    sized = docs.select("doc_id", "source", mixing.words(F.col("text")).alias("size"), *keep)
+    return sized.join(rated, "doc_id", "left").select("doc_id", "source", "size", F.coalesce(F.when(F.col("_q") > 0, 2.0).when(F.col("_q") == 0, 0.5), F.lit(1.0)).alias("weight"), *keep)
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -198,6 +198,20 @@ def test_mixing_equals_sql(spark, tmp_path):
     assert queries.op7_source_mixing(spark, docs_of(spark, tmp_path, [])).count() == 0
 
 
+def test_pipeline_keeps_rows_of_a_null_id(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = docs.unionByName(docs.where("doc_id % 3 = 0").withColumn("doc_id", F.lit(None).cast(docs.schema["doc_id"].dataType))).cache()
+    for name, stage in corpus_pipeline.STAGES:
+        if name == "mix":
+            sized = queries.weighted_sizes(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+            want = mixing.mix(sized).where("doc_id is null").agg(F.sum("copies")).first()[0]
+        docs = stage(spark, docs, SF).cache()
+        n = docs.where("doc_id is null").count()
+        assert n > 0 and (name != "mix" or n == want), name
+
+
 def test_mixing_targets(spark):
     s = spark.createDataFrame([("a", 3.0, 100, 1), ("b", 1.0, 1000, 2), ("c", 2.0, 10, 3)], "source string, weight double, source_size long, rank int")
     got = {r.source: r.target for r in mixing.targets(s).collect()}
