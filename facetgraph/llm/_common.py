@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import xxhash
@@ -26,23 +27,59 @@ def work_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/facetgraph-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str = "t") -> DataFrame:
+#: Rows and bytes of an Arrow batch to and from Python workers, at most (a row alone may be larger).
+BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS):
+    """Bounded Arrow batches for the jobs within; the session's own settings are put back."""
+    want = {"maxRecordsPerBatch": rows, "maxBytesPerBatch": BATCH_BYTES}
+    keys = {f"spark.sql.execution.arrow.{k}": v for k, v in want.items()}
+    was = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def stored(df: DataFrame, name: str = "t", rows: int = BATCH_ROWS) -> DataFrame:
     """df, written once to the shared folder and read again: cuts lineage and survives lost executors."""
     path = f"{work_dir(df.sparkSession)}/{name}"
-    df.write.parquet(path)
+    with small_batches(df.sparkSession, rows):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def stored_in_small_batches(df: DataFrame, name: str, rows: int = 256) -> DataFrame:
-    """stored(), with Arrow batches of at most ``rows`` rows, for Python steps whose rows may be as long as the longest
-    texts. The session's own setting is put back."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    was = conf.get(key)
-    conf.set(key, rows)
-    try:
-        return stored(df, name)
-    finally:
-        conf.set(key, was)
+    """stored(), for Python steps each of whose rows may be as long as the longest texts."""
+    return stored(df, name, rows)
+
+
+def release() -> None:
+    """Gives memory that a task has freed back to the machine, as the worker process lives on."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def mapped(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow(run, schema), whose tasks release their memory at the end."""
+
+    def whole(batches):
+        yield from run(batches)
+        release()
+
+    return df.mapInArrow(whole, schema)
 
 
 def salt(key: Column, n: int) -> Column:
@@ -57,6 +94,22 @@ def salted_left_join(big: DataFrame, small: DataFrame, key: str, by: str, n: int
     return b.join(s, [key, "_salt"], "left").drop("_salt")
 
 
+#: Keys that hold more than this part of a table's rows are hot: there are fewer of them than its inverse.
+HOT = 4096
+
+
+def split_join(big: DataFrame, small: DataFrame, key: str, by: str, n: int = 16) -> DataFrame:
+    """big join small on key, small unique by key: big's rows of hot keys are dealt by ``by`` to n salts, for each of which
+    small's rows of these keys are repeated. big is read twice."""
+    count = big.groupBy(key).agg(F.count("*").alias("_n"))
+    hot = count.where(F.col("_n") * HOT >= F.greatest(big.agg(F.count("*").alias("all")).scalar(), F.lit(HOT * 256))).select(key, F.lit(True).alias("_hot"))
+    hot = F.broadcast(stored(hot, "hot"))  # fewer than HOT rows
+    b = big.join(hot, key, "left").withColumn("_salt", F.when(F.col("_hot"), salt(F.col(by), n)).otherwise(F.lit(0))).drop("_hot")
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0)))
+    s = small.join(hot, key, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    return b.join(s, [key, "_salt"]).drop("_salt")
+
+
 BITS = 20
 
 
@@ -129,11 +182,17 @@ def texts_of(column) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
 
 
-def sliced(batches, rows: int = 2048):
-    """Arrow batches in slices, so that a task's working memory doesn't follow the batch size."""
+def sliced(batches, rows: int = 1024, most: int = 4 << 20):
+    """Arrow batches in slices of so many rows and bytes at most (a row alone may be larger), so that a task's working
+    memory doesn't follow the batch size."""
     for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+        todo = [b.slice(at, rows) for at in range(0, b.num_rows, rows)][::-1]
+        while todo:
+            x = todo.pop()
+            if x.num_rows > 1 and x.nbytes > most:
+                todo += [x.slice(x.num_rows // 2), x.slice(0, x.num_rows // 2)]
+            else:
+                yield x
 
 
 _BASE = 0x5851F42D4C957F2D

@@ -14,8 +14,9 @@ most frequent shingles go to tasks. Any order that all agree on gives the same r
    each element of one set alone flips one bit, so the maps differ in at most as many bits as the sets in elements.
    Every other pair is verified on the whole sets: 100 * shared >= percent * union.
 
-Links between documents already known to be in one component are not needed for components and are not searched for;
-``links`` counts the verified links of a document's set, an own count and not that of all pairs.
+Sets are vertices: rows of one id with different texts are apart, and linked only by what their texts share. Links between
+documents already known to be in one component are not needed for components and are not searched for: ``links_seen``
+counts the links that were verified, which in a group of many near copies are fewer than all.
 
 Defined results: null and empty texts, and texts without words, have no shingles and link with nothing; texts of fewer
 than k words are one shingle; rows that repeat an id are rows each, with that id's component; a null id has a null
@@ -26,10 +27,10 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bitmap, in_bitmap, salted_left_join, shingles, sliced, stored, word_hashes
+from ._common import bitmap, in_bitmap, mapped, salted_left_join, shingles, sliced, small_batches, stored, word_hashes
 
 K, PERCENT = 4, 85
 FREQUENT = 1 << 19
@@ -55,13 +56,18 @@ def frequent(df: DataFrame, text: str, k: int = K, most: int = FREQUENT) -> tupl
             s, c = s[c > 1], c[c > 1]
             yield pa.RecordBatch.from_pydict({"s": s.view(np.int64), "c": c.astype(np.int64)})
 
-    counts = df.select(text).mapInArrow(run, "s long, c long").groupBy("s").agg(F.sum("c").alias("c")).where(F.col("c") >= LEAST_FREQUENT)
-    top = counts.orderBy(F.desc("c"), "s").limit(most).toArrow()  # bounded by ``most``
+    counts = mapped(df.select(text), run, "s long, c long").groupBy("s").agg(F.sum("c").alias("c")).where(F.col("c") >= LEAST_FREQUENT)
+    with small_batches(df.sparkSession):
+        top = counts.orderBy(F.desc("c"), "s").limit(most).toArrow()  # bounded by ``most``
     s, c = np.array(top.column("s")).view(np.uint64), np.array(top.column("c"))
     o = np.argsort(s)
     return s[o], c[o].astype(np.int64)
 
 
+def digest(x: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(x.tobytes())
+
+
 def prefix_length(n: int, percent: int) -> int:
     """The first shingles of which one is shared by any set of enough likeness."""
     return n - (-(-percent * n // 100)) + 1
@@ -102,9 +108,8 @@ def plausible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
             rows = zip(*(b.column(x).to_pylist() for x in ("na", "ma", "nb", "mb")), strict=True)
             yield b.select(["a", "b"]).filter(pa.array([may_link(*r, percent) for r in rows], pa.bool_()))
 
-    c = F.col
-    x = pairs.join(reps.select(c("doc").alias("a"), c("n").alias("na"), c("map").alias("ma")), "a").join(reps.select(c("doc").alias("b"), c("n").alias("nb"), c("map").alias("mb")), "b")
-    return x.mapInArrow(run, "a long, b long").distinct()
+    side = lambda x: reps.select(F.col("v").alias(x), F.col("n").alias(f"n{x}"), F.col("map").alias(f"m{x}"))
+    return mapped(pairs.join(side("a"), "a").join(side("b"), "b"), run, "a long, b long").distinct()
 
 
 def profiles(df: DataFrame, id_col: str, text: str, common: np.ndarray, count: np.ndarray, k: int, percent: int) -> DataFrame:
@@ -118,42 +123,48 @@ def profiles(df: DataFrame, id_col: str, text: str, common: np.ndarray, count: n
             for x in sets_of(b.column(1), k):
                 p = ordered(x, common, count)[: prefix_length(len(x), percent)] if len(x) else x
                 rows["n"].append(len(x))
-                rows["digest"].append(xxhash.xxh3_128_hexdigest(x.tobytes()))
-                rows["gkey"].append(xxhash.xxh3_128_hexdigest(p.tobytes() + len(x).to_bytes(8, "little")))
+                rows["digest"].append(digest(x))
+                rows["gkey"].append(xxhash.xxh3_128_digest(p.tobytes() + len(x).to_bytes(8, "little")))
                 rows["map"].append(parity(x))
                 rows["prefix"].append(p.view(np.int64))
-            yield pa.RecordBatch.from_pydict({"doc": b.column(0), "n": pa.array(rows["n"], pa.int64()), "digest": rows["digest"], "gkey": rows["gkey"], "map": pa.array(rows["map"], pa.binary()), "prefix": pa.array(rows["prefix"], pa.list_(pa.int64()))})
+            some = {x: pa.array(rows[x], pa.binary()) for x in ("digest", "gkey", "map")}
+            yield pa.RecordBatch.from_pydict({"doc": b.column(0), "n": pa.array(rows["n"], pa.int64()), **some, "prefix": pa.array(rows["prefix"], pa.list_(pa.int64()))})
 
-    return df.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text")).mapInArrow(run, "doc long, n long, digest string, gkey string, map binary, prefix array<long>")
+    texts = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text"))
+    return mapped(texts, run, "doc long, n long, digest binary, gkey binary, map binary, prefix array<long>")
 
 
 def whole_sets(df: DataFrame, id_col: str, text: str, ids: DataFrame, k: int) -> DataFrame:
-    """doc and its set, for the ids asked for. A bit map of fixed size lets most other texts go before the shuffle."""
+    """v and its set, for ids(v, doc, digest): an id may have several texts, of which the digest tells v's. A bit map of
+    fixed size lets most other texts go before the shuffle."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in sliced(batches):
-            yield pa.RecordBatch.from_pydict({"doc": b.column(0), "set": pa.array([x.view(np.int64) for x in sets_of(b.column(1), k)], pa.list_(pa.int64()))})
+            sets = sets_of(b.column(2), k)
+            own = [digest(x) == d for x, d in zip(sets, b.column(1).to_pylist(), strict=True)]
+            sets = pa.array([x.view(np.int64) for x, o in zip(sets, own, strict=True) if o], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_pydict({"v": b.column(0).filter(pa.array(own, pa.bool_())), "set": sets})
 
     d = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text")).withColumn("_bm", bitmap(ids.select("doc"), BITS).scalar())
-    d = d.where(in_bitmap(F.col("_bm"), F.col("doc"), BITS)).select("doc", "text").join(ids, "doc", "left_semi").dropDuplicates(["doc"])
-    return d.mapInArrow(run, "doc long, set array<long>")
+    d = d.where(in_bitmap(F.col("_bm"), F.col("doc"), BITS)).select("doc", "text").join(ids, "doc").dropDuplicates(["doc", "v", "text"])
+    return mapped(d.select("v", "digest", "text"), run, "v long, set array<long>").dropDuplicates(["v"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of enough likeness."""
-    x = pairs.join(sets.select(F.col("doc").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("doc").alias("b"), F.col("set").alias("sb")), "b")
+    x = pairs.join(sets.select(F.col("v").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("v").alias("b"), F.col("set").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     return x.withColumn("i", both).where(F.col("i") * 100 >= (F.size("sa") + F.size("sb") - F.col("i")) * percent).select("a", "b")
 
 
-def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """v, component (the smallest vertex reachable) of the vertices of edges(a, b): the least label of the neighbours,
     then the label's label, until nothing changes. Labels are written to the shared folder each round."""
     both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     label = stored(both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("a"), F.min("b")).alias("l")), "labels")
-    for _ in range(most_rounds):
+    while True:
         near = both.join(label, both["b"] == label["v"]).groupBy("a").agg(F.min("l").alias("m"))
         new = label.join(near, label["v"] == near["a"]).select("v", "l", F.least("l", "m").alias("m"))
         jump = label.select(F.col("v").alias("m"), F.col("l").alias("mm"))
@@ -161,72 +172,106 @@ def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
         label = new.select("v", "l")
         if new.where("old != l").isEmpty():
             return label.withColumnRenamed("l", "component")
-    raise RuntimeError("components did not settle")
 
 
-def join(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
-    """id, n_shingles, class_id (the smallest id with an equal set), links, component_id of each row."""
-    common, count = frequent(df, text, k)
-    p = stored(profiles(df, id_col, text, common, count, k, percent), "profiles")
-    some = p.where("n > 0 and doc is not null")
-    reps = some.groupBy("digest").agg(F.min("doc").alias("doc"), F.first("gkey").alias("gkey"), F.first("n").alias("n"), F.first("map").alias("map"))
-    reps = stored(reps, "reps")  # one document per distinct set
-    groups = some.groupBy("gkey").agg(F.min(F.struct("doc", "n", "prefix")).alias("x"), (F.min("digest") != F.max("digest")).cast("long").alias("many"))
-    groups = groups.select(F.col("x.doc").alias("g"), "gkey", F.col("x.n").alias("n"), F.col("x.prefix").alias("prefix"), "many")
+def need(a: Column, b: Column, percent: int) -> Column:
+    """The least number of shared shingles of two sets of these sizes that link."""
+    return F.ceil((a + b) * percent / (100 + percent) - 1e-9)
+
+
+def may(n1: Column, p1: Column, n2: Column, p2: Column, percent: int) -> Column:
+    """Whether sets of these sizes whose first shared shingle may stand at these places can be alike enough."""
+    return (n1 * percent <= n2 * 100) & (n2 * percent <= n1 * 100) & (F.least(n1 - p1, n2 - p2) >= need(n1, n2, percent))
+
+
+def ordered_pair(x: str, y: str, to: tuple[str, str] = ("a", "b")) -> list[Column]:
+    return [F.least(x, y).alias(to[0]), F.greatest(x, y).alias(to[1])]
+
+
+def prefix_lists(groups: DataFrame) -> DataFrame:
+    """s, g, n, pos, c, many, h, hn, hpos, least: the groups of each shingle that several prefixes hold, the number of
+    them (c), whether one has several sets, the list's hub and its least size."""
+    c = F.col
     # most shingles stand in one prefix only: they are counted and dropped before anything else is known of them
-    lists = groups.select("g", "n", "many", F.posexplode("prefix").alias("pos", "s")).select("s", "g", (F.shiftleft("n", 32) + F.shiftleft("pos", 1) + F.col("many")).alias("np"))
+    lists = groups.select("g", "n", "many", F.posexplode("prefix").alias("pos", "s"))
+    lists = lists.select("s", "g", (F.shiftleft("n", 32) + F.shiftleft("pos", 1) + c("many")).alias("np"))
     shared = lists.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
-    lists = stored(lists.join(shared, "s").select("s", "g", F.shiftright("np", 32).alias("n"), F.shiftright(F.col("np").bitwiseAND(F.lit((1 << 32) - 1)), 1).alias("pos"), F.col("np").bitwiseAND(F.lit(1)).alias("many"), "c"), "shared")
+    low = c("np").bitwiseAND(F.lit((1 << 32) - 1))
+    lists = lists.join(shared, "s").select("s", "g", F.shiftright("np", 32).alias("n"), F.shiftright(low, 1).alias("pos"), low.bitwiseAND(F.lit(1)).alias("many"), "c")
+    lists = stored(lists, "shared")
     hubs = lists.groupBy("s").agg(F.min(F.struct("pos", "n", "g")).alias("hub"), F.min("n").alias("least"), F.max("many").alias("many"))
-    lists = stored(lists.drop("many").join(hubs, "s").select("s", "g", "n", "pos", "c", "many", F.col("hub.g").alias("h"), F.col("hub.n").alias("hn"), F.col("hub.pos").alias("hpos"), "least"), "lists")
+    hub = [c("hub.g").alias("h"), c("hub.n").alias("hn"), c("hub.pos").alias("hpos")]
+    return stored(lists.drop("many").join(hubs, "s").select("s", "g", "n", "pos", "c", "many", *hub, "least"), "lists")
 
-    def need(a, b):  # least number of shared shingles
-        return F.ceil((a + b) * percent / (100 + percent) - 1e-9)
-
-    def may(n1, p1, n2, p2):
-        """Whether sets of these sizes whose first shared shingle may stand at these places can be alike enough."""
-        return (n1 * percent <= n2 * 100) & (n2 * percent <= n1 * 100) & (F.least(n1 - p1, n2 - p2) >= need(n1, n2))
 
+def bridges(lists: DataFrame, members: DataFrame, inner: DataFrame, part: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets of different parts whose groups share a list or are one."""
     c = F.col
-    members = reps.join(groups.select("gkey", "g"), "gkey").select("g", c("doc").alias("m"))
-    star = lists.where((c("g") != c("h")) & may(c("n"), c("pos"), c("hn"), c("hpos"))).select(F.least("g", "h").alias("a"), F.greatest("g", "h").alias("b"))
-    inner = members.where(c("m") != c("g")).select(c("g").alias("a"), c("m").alias("b"))
-    star = stored(star.union(inner).distinct(), "star")
-    likely = stored(plausible(star, reps, percent), "likely")
-    ids = likely.select(c("a").alias("doc")).union(likely.select(c("b").alias("doc"))).distinct()
-    sets = stored(whole_sets(df, id_col, text, stored(ids, "ids"), k), "sets")
-    first = stored(verified(likely, sets, percent), "links")
-    part = components(first).withColumnRenamed("component", "part")
     # a list of two groups of one set each is settled by its star; so is a group of one that no other list holds
     lists = lists.where("c > 2 or many > 0")
-    listed = lists.select("g").union(inner.select(c("a").alias("g"))).distinct()
-    labelled = members.join(listed, "g", "left_semi").join(part, members["m"] == part["v"], "left").select("g", "m", F.coalesce("part", "m").alias("part"))
-    labelled = stored(labelled, "members")
+    listed = lists.select("g").union(inner.select("g")).distinct()
+    labelled = members.join(listed, "g", "left_semi").join(part, members["m"] == part["v"], "left")
+    labelled = stored(labelled.select("g", "m", F.coalesce("part", "m").alias("part")), "members")
     # a group as a whole: its part if all members have one part, else null
     whole = labelled.groupBy("g").agg(F.when(F.min("part") == F.max("part"), F.min("part")).alias("gp"))
-    at = lists.join(whole, "g")
-    hubs = whole.select(c("g").alias("h"), c("gp").alias("hp"))
-    at = at.join(hubs, "h")
+    at = lists.join(whole, "g").join(whole.select(c("g").alias("h"), c("gp").alias("hp")), "h")
     # a member of the list that isn't in the hub's part, and may be alike to one of the sizes there
-    out = at.where((c("gp").isNull() | c("hp").isNull() | (c("gp") != c("hp"))) & (c("n") - c("pos") >= need(c("n"), F.greatest(c("least"), F.ceil(c("n") * percent / 100)))))
+    apart = c("gp").isNull() | c("hp").isNull() | (c("gp") != c("hp"))
+    least = F.greatest(c("least"), F.ceil(c("n") * percent / 100))
+    out = at.where(apart & (c("n") - c("pos") >= need(c("n"), least, percent)))
     x = out.select("s", c("g").alias("g1"), c("n").alias("n1"), c("pos").alias("p1"), c("gp").alias("l1"))
     y = at.select("s", c("g").alias("g2"), c("n").alias("n2"), c("pos").alias("p2"), c("gp").alias("l2"))
-    more = x.join(y, "s").where((c("g1") != c("g2")) & (c("l1").isNull() | c("l2").isNull() | (c("l1") != c("l2"))) & may(c("n1"), c("p1"), c("n2"), c("p2")))
-    more = more.select(F.least("g1", "g2").alias("g1"), F.greatest("g1", "g2").alias("g2")).union(whole.where("gp is null").select(c("g").alias("g1"), c("g").alias("g2"))).distinct()
-    m1, m2 = labelled.select(c("g").alias("g1"), c("m").alias("a"), c("part").alias("q1")), labelled.select(c("g").alias("g2"), c("m").alias("b"), c("part").alias("q2"))
-    pairs = more.join(m1, "g1").join(m2, "g2").where((c("q1") != c("q2")) & (c("a") != c("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = stored(plausible(pairs.join(star, ["a", "b"], "left_anti"), reps, percent), "pairs")
-    links = first
+    other = (c("g1") != c("g2")) & (c("l1").isNull() | c("l2").isNull() | (c("l1") != c("l2")))
+    more = x.join(y, "s").where(other & may(c("n1"), c("p1"), c("n2"), c("p2"), percent))
+    more = more.select(*ordered_pair("g1", "g2", ("g1", "g2"))).union(whole.where("gp is null").select(c("g").alias("g1"), c("g").alias("g2"))).distinct()
+    m1 = labelled.select(c("g").alias("g1"), c("m").alias("a"), c("part").alias("q1"))
+    m2 = labelled.select(c("g").alias("g2"), c("m").alias("b"), c("part").alias("q2"))
+    pairs = more.join(m1, "g1").join(m2, "g2").where((c("q1") != c("q2")) & (c("a") != c("b")))
+    return pairs.select(*ordered_pair("a", "b")).distinct()
+
+
+def join(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
+    """id, n_shingles, class_id (the smallest id with an equal set), links_seen, component_id of each row."""
+    c = F.col
+    common, count = frequent(df, text, k)
+    p = stored(profiles(df, id_col, text, common, count, k, percent), "profiles")
+    some = p.where("n > 0 and doc is not null")
+    # a vertex v per distinct set: its number in the written table
+    reps = some.groupBy("digest").agg(F.min("doc").alias("doc"), F.first("gkey").alias("gkey"), F.first("n").alias("n"), F.first("map").alias("map"))
+    reps = stored(reps.withColumn("v", F.monotonically_increasing_id()), "reps")
+    groups = some.groupBy("gkey").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), (F.min("digest") != F.max("digest")).cast("long").alias("many"))
+    groups = stored(groups.withColumn("g", F.monotonically_increasing_id()), "groups")
+    members = stored(reps.select("gkey", c("v").alias("m")).join(groups.select("gkey", "g"), "gkey").select("g", "m"), "sets")
+    heads = members.groupBy("g").agg(F.min("m").alias("r"))
+    lists = prefix_lists(groups)
+
+    star = lists.where((c("g") != c("h")) & may(c("n"), c("pos"), c("hn"), c("hpos"), percent)).select("g", "h").distinct()
+    star = star.join(heads, "g").select("h", c("r").alias("r1")).join(heads.withColumnRenamed("g", "h"), "h").select(*ordered_pair("r", "r1"))
+    inner = stored(members.join(heads, "g").where("m != r"), "inner")
+    star = stored(star.union(inner.select(c("r").alias("a"), c("m").alias("b"))).distinct(), "star")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        likely = stored(plausible(pairs, reps, percent), "likely")
+        ids = likely.select(c("a").alias("v")).union(likely.select(c("b").alias("v"))).distinct()
+        ids = stored(ids.join(reps.select("v", "doc", "digest"), "v"), "ids")
+        return stored(verified(likely, stored(whole_sets(df, id_col, text, ids, k), "sets"), percent), "links")
+
+    links = linked(star)
+    pairs = bridges(lists, members, inner, components(links).withColumnRenamed("component", "part"), percent)
+    pairs = stored(pairs.join(star, ["a", "b"], "left_anti"), "pairs")
     if not pairs.isEmpty():
-        ids = pairs.select(c("a").alias("doc")).union(pairs.select(c("b").alias("doc"))).distinct()
-        sets = stored(whole_sets(df, id_col, text, stored(ids, "ids"), k), "sets")
-        links = stored(first.union(verified(pairs, sets, percent)), "links")
+        links = stored(links.union(linked(pairs)), "links")
     comp = components(links)
-    degree = links.select(c("a").alias("v")).union(links.select(c("b").alias("v"))).groupBy("v").agg(F.count("*").alias("links"))
-    cls = reps.select("digest", c("doc").alias("v")).join(comp, "v", "left").join(degree, "v", "left").select("digest", c("v").alias("class_id"), F.coalesce("component", "v").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
+    least = comp.join(reps.select("v", "doc"), "v").groupBy("component").agg(F.min("doc").alias("component_id"))
+    comp = comp.join(least, "component").select("v", "component_id")
+    degree = links.select(c("a").alias("v")).union(links.select(c("b").alias("v"))).groupBy("v").agg(F.count("*").alias("links_seen"))
+    cls = reps.select("digest", "v", c("doc").alias("class_id")).join(comp, "v", "left").join(degree, "v", "left")
+    cls = cls.select("digest", "class_id", F.coalesce("component_id", "class_id").alias("component_id"), F.coalesce("links_seen", F.lit(0)).alias("links_seen"))
     rows = salted_left_join(p.select("doc", "n", F.when((c("n") > 0) & c("doc").isNotNull(), c("digest")).alias("digest")), cls, "digest", "doc")
     # rows without shingles, but with the id of a row that has some, keep that id as a component of their own
-    return rows.select(c("doc").alias(id_col), c("n").alias("n_shingles"), F.coalesce("class_id", "doc").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.coalesce("component", "doc").alias("component_id"))
+    seen = F.coalesce("links_seen", F.lit(0)).cast("long").alias("links_seen")
+    ids = [F.coalesce(x, "doc").alias(x) for x in ("class_id", "component_id")]
+    return rows.select(c("doc").alias(id_col), c("n").alias("n_shingles"), ids[0], seen, ids[1])
 
 
 def survivors(joined: DataFrame, id_col: str = "doc_id") -> DataFrame:
