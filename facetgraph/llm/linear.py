@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WordHash, mixed, shingles, sliced, texts_of
+from ._common import WordHash, mapped, mixed, shingles, sliced, small_batches, texts_of
 
 MAX_TRAIN = 12_000
 BITS = 20
@@ -32,7 +32,7 @@ def sample(df: DataFrame, labels: DataFrame, label: Column, id_col: str, text: s
 
 
 def fitted(rows: DataFrame, features, fit) -> dict:
-    """fit(list of (features, y)) in a task of its own, over sample()'s rows in the order of h."""
+    """fit(list of (features, y)) in a task of its own, over sample()'s rows in the order of h; without rows, fit([])."""
 
     def hashed(batches):
         import pyarrow as pa
@@ -51,9 +51,13 @@ def fitted(rows: DataFrame, features, fit) -> dict:
         index, weight, extra = fit(data)
         yield pa.RecordBatch.from_pydict({"i": pa.array([index.astype("<u4").tobytes()], pa.binary()), "w": pa.array([weight.astype("<f8").tobytes()], pa.binary()), "x": pa.array([np.asarray(extra, "<f8").tobytes()], pa.binary())})
 
-    some = rows.mapInArrow(hashed, "h long, y int, i binary, v binary").coalesce(1).sortWithinPartitions("h", "i")
-    got = some.mapInArrow(run, "i binary, w binary, x binary").collect()[0]  # one row, bounded by the hash space
-    return {"i": np.frombuffer(got.i, "<u4"), "w": np.frombuffer(got.w, "<f8"), "x": np.frombuffer(got.x, "<f8")}
+    # texts are hashed where they are read; only the bounded sample's features go to the one task
+    some = mapped(rows, hashed, "h long, y int, i binary, v binary").repartition(1).sortWithinPartitions("h", "i")
+    with small_batches(rows.sparkSession):
+        got = mapped(some, run, "i binary, w binary, x binary").collect()  # one row, bounded by the hash space
+    if not got:  # no labelled row, so no task
+        return dict(zip("iwx", map(np.asarray, fit([])), strict=True))
+    return {"i": np.frombuffer(got[0].i, "<u4"), "w": np.frombuffer(got[0].w, "<f8"), "x": np.frombuffer(got[0].x, "<f8")}
 
 
 def scored(df: DataFrame, id_cols: list[str], text: str, model: dict, features, score, schema: str) -> DataFrame:
@@ -73,7 +77,7 @@ def scored(df: DataFrame, id_cols: list[str], text: str, model: dict, features,
 
     kept = df.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(id_cols)], F.col(text).alias("_t"))
     kinds = ", ".join(f"c{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(id_cols))
-    return kept.mapInArrow(run, f"{kinds}, {schema}").withColumnsRenamed({f"c{i}": c for i, c in enumerate(id_cols)})
+    return mapped(kept, run, f"{kinds}, {schema}").withColumnsRenamed({f"c{i}": c for i, c in enumerate(id_cols)})
 
 
 # Toxicity: FTRL-proximal
