@@ -16,11 +16,12 @@ import hashlib
 import re
 import struct
 from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import salted_left_join, stored, texts_of, work_dir
+from ._common import mapped, salted_left_join, sliced, stored, texts_of, work_dir
 
 # Fixed values of the file format.
 SKIPPABLE = 0x184D2A5D
@@ -151,9 +152,8 @@ def write(records: DataFrame, folder: str) -> DataFrame:
         t, n = TaskContext.get(), [0]
 
         def rows():
-            for b in batches:
-                c = {k: b.column(k) for k in ("page_id", "url", "digest", "refers_to")}
-                c = {k: v.to_pylist() for k, v in c.items()}
+            for b in sliced(batches, 256):
+                c = {k: b.column(k).to_pylist() for k in ("page_id", "url", "digest", "refers_to")}
                 for p, u, h, d, r in zip(c["page_id"], c["url"], texts_of(b.column("html")), c["digest"], c["refers_to"], strict=True):
                     n[0] += 1
                     yield record(p, u, h, d, r)
@@ -173,7 +173,7 @@ def write(records: DataFrame, folder: str) -> DataFrame:
         fs.move(part, name)
         yield pa.RecordBatch.from_pydict({"path": [f"{folder}/part-{t.partitionId():06d}.warc.zst"], "records": pa.array(n, pa.int64()), "bytes": pa.array([size], pa.int64())})
 
-    return stored(records.mapInArrow(run, "path string, records long, bytes long"), "archives")
+    return stored(mapped(records, run, "path string, records long, bytes long"), "archives")
 
 
 def read(archives: DataFrame) -> DataFrame:
@@ -186,16 +186,14 @@ def read(archives: DataFrame) -> DataFrame:
             for uri in b.column(0).to_pylist():
                 fs, path = file_system(uri)
                 with fs.open_input_stream(path, compression=None) as f:
-                    rows = []
                     number = lambda s: int(s) if (s := s[1 + len(PAGE) : -1]) != "null" else None
-                    for x in map(parsed, read_frames(f)):
-                        rows.append((number(x["WARC-Record-ID"]), x["payload_bytes"], x["WARC-Payload-Digest"].removeprefix("sha256:"), x["WARC-Type"], number(x["WARC-Refers-To"]) if "WARC-Refers-To" in x else None))
-                if rows:
-                    a, n, d, k, r = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_pydict({"page_id": pa.array(a, pa.int64()), "payload_bytes": pa.array(n, pa.int64()), "payload_digest": d, "record_type": k, "refers_to": pa.array(r, pa.int64())})
+                    slim = ((number(x["WARC-Record-ID"]), x["payload_bytes"], x["WARC-Payload-Digest"].removeprefix("sha256:"), x["WARC-Type"], number(x["WARC-Refers-To"]) if "WARC-Refers-To" in x else None) for x in map(parsed, read_frames(f)))
+                    while rows := list(islice(slim, 4096)):
+                        a, n, d, k, r = zip(*rows, strict=True)
+                        yield pa.RecordBatch.from_pydict({"page_id": pa.array(a, pa.int64()), "payload_bytes": pa.array(n, pa.int64()), "payload_digest": d, "record_type": k, "refers_to": pa.array(r, pa.int64())})
 
     n = max(1, archives.count())
-    return archives.select("path").repartition(n).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return mapped(archives.select("path").repartition(n), run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archive(spark: SparkSession, pages: DataFrame, folder: str | None = None) -> DataFrame:
