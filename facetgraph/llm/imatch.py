@@ -1,17 +1,17 @@
 """Document fingerprints: I-Match over randomised lexicons, in DataFrame functions only.
 
 Terms are white-space words in lower case. Document frequencies are counted over the whole corpus; the lexicon
-is the terms whose share of documents lies within a band. A share of at least ``lo`` bounds the lexicon by
-(mean distinct terms per document) / lo whatever the corpus' size; it is sent to tasks as a fixed 2**18-bit map.
-A document keeps its terms in the band, sorted and distinct, and hashes them once for each of ``SUBSETS``
-randomised lexicons: LEVELS rates 2**-level, CELLS lexicons each, so that short and long documents both have
-lexicons of the size at which a changed term need not change the hash. A lexicon is a range of the terms' random
-hashes: those of the first level tile all of them, those of the others follow one another, so that a term is in two
-lexicons at most and a lexicon's terms are one slice of a document's sorted terms.
-
-Defined results: null text counts as empty; a document with fewer than LEAST terms in the band is fingerprinted
-from all its terms; an empty hash is written as dashes and never counts as a match unless both texts are without
-terms; equal texts have equal fingerprints.
+is the terms whose share of documents lies within a band, in 2**SLOTS slots by their hash: of terms that share a slot the
+one of the least hash. So its size is bounded whatever the corpus, and no term outside the band is in it (by 64-bit hash).
+A document keeps its terms in the lexicon, sorted and distinct, and hashes them once for each of ``SUBSETS``
+randomised lexicons: rates 2**-level, so that short and long documents both have lexicons of the size at which a changed
+term need not change the hash. A lexicon is a range of the terms' random hashes: those of the first two levels tile all
+of them, those of the others follow one another, so that a term is in three lexicons at most and a lexicon's terms are
+one slice of a document's sorted terms.
+
+Defined results: null text counts as empty; the lexicon says little of a document with fewer than LEAST terms in it, which is
+fingerprinted from all its terms; an empty hash is written as dashes and never counts as a match unless both texts are
+without terms; equal texts have equal fingerprints.
 """
 
 from __future__ import annotations
@@ -19,38 +19,57 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import bitmap, in_bitmap, stored
+from ._common import stored
 
 LO, HI = 0.0005, 0.1
-MAP_BITS = 18
+SLOTS = 19
 LEAST = 4
-LEVELS, CELLS = (3, 4, 5, 6, 7, 8), 8
-SUBSETS = len(LEVELS) * CELLS
+#: Level and number of lexicons of rate 2**-level.
+LEVELS = [(3, 8)] + [(level, 16) for level in range(4, 15)]
+SUBSETS = sum(n for _, n in LEVELS)
 WIDTH = 8
 EMPTY = "-" * WIDTH
 
 
+def let(x: Column, f) -> Column:
+    """f(x), with x computed once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def terms(text: Column) -> Column:
     return F.array_remove(F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x09-\x0D ]+", -1)), "")
 
 
+def hashed_terms(text: Column) -> Column:
+    return F.transform(terms(text), lambda t: F.xxhash64(t))
+
+
+def slot(h: Column) -> Column:
+    return h.bitwiseAND(F.lit((1 << SLOTS) - 1)).cast("int")
+
+
 def lexicon(df: DataFrame, text: str = "text", lo: float = LO, hi: float = HI) -> DataFrame:
-    """One row: the bit map of terms whose document share is within [lo, hi]; shares count all rows of df."""
-    each = df.select(F.explode(F.transform(terms(F.col(text)), lambda t: F.xxhash64(t))).alias("h"))
-    freq = each.groupBy("h").agg(F.count("*").alias("n"))
-    total = df.agg(F.count("*").alias("docs"))
-    n = total.scalar()
-    band = freq.where((F.col("n") >= F.greatest(F.lit(2.0), lo * n)) & ((F.col("n") <= hi * n) | (n < 50)))
-    return bitmap(band.select("h"), MAP_BITS, hashed=True)
+    """One row: the array of 2**SLOTS slots, each a term's hash or 0, of the terms whose document share is within
+    [lo, hi] and that two documents have; shares count all rows of df."""
+    freq = df.select(F.explode(hashed_terms(F.col(text))).alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    docs = df.agg(F.count("*").alias("docs")).scalar()
+    band = freq.where((F.col("n") >= F.greatest(F.lit(2.0), lo * docs)) & (F.col("n") <= hi * docs))
+    taken = band.groupBy(slot(F.col("h")).cast("long").alias("id")).agg(F.min("h").alias("h"))
+    whole = df.sparkSession.range(1 << SLOTS).join(taken, "id", "left").select("id", F.coalesce("h", F.lit(0)).alias("h"))
+    return whole.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "h"))), lambda x: x["h"]).alias("lexicon"))
 
 
 def fingerprints(df: DataFrame, text: str, lex: DataFrame, out: str) -> DataFrame:
-    """df with the fingerprint of its column text under the lexicon. The map is a column first: Spark takes no
-    subquery inside a lambda; it is dropped again before any shuffle."""
-    df = df.withColumn("_bm", lex.scalar()).withColumn("_terms", F.transform(terms(F.col(text)), lambda x: F.xxhash64(x)))
-    df = df.withColumn("_in", F.filter("_terms", lambda x: in_bitmap(F.col("_bm"), x, MAP_BITS, hashed=True)))
-    marked = F.concat(F.when(F.size("_in") >= LEAST, F.col("_in")).otherwise(F.col("_terms")), F.array(*[F.lit(x) for x in MARKS]))
-    df = df.withColumn("_kept", F.sort_array(marked)).drop("_bm", "_in", "_terms")
+    """df with the fingerprint of its column text under the lexicon: an array of SUBSETS hashes. The lexicon is a column
+    that one expression names once, so that Spark puts the subquery's result there and rows don't carry it."""
+
+    def kept(found: Column) -> Column:
+        some = F.filter(found, lambda h: F.get(F.col("_lexicon"), slot(h)) == h)
+        marked = let(some, lambda x: F.concat(F.when(F.size(x) >= LEAST, x).otherwise(found), F.array(*[F.lit(x) for x in MARKS])))
+        return F.sort_array(marked)
+
+    df = df.withColumn("_lexicon", lex.scalar())
+    df = df.select(*[c for c in df.columns if c != "_lexicon"], let(hashed_terms(F.col(text)), kept).alias("_kept"))
     # each step is a projection of its own, so that nothing is computed twice
     df = df.withColumn("_at", F.filter(F.transform("_kept", lambda x, i: F.when(x.isin(*MARKS), i + 1)), lambda i: i.isNotNull()))
     return df.withColumn(out, fingerprint(F.col("_kept"), F.col("_at"))).drop("_kept", "_at")
@@ -59,62 +78,72 @@ def fingerprints(df: DataFrame, text: str, lex: DataFrame, out: str) -> DataFram
 def _lexicons() -> tuple[list[int], list[tuple[int, int]]]:
     """The marks at which lexicons begin or end, as signed 64-bit hashes in order, and each lexicon's two marks."""
     ranges, at = [], 0.0
-    for level in LEVELS:
-        ranges += [(at + i / (1 << level), at + (i + 1) / (1 << level)) for i in range(CELLS)]
-        at = 0.0 if level == LEVELS[0] else at + CELLS / (1 << level)
+    for level, n in LEVELS:
+        ranges += [(at + i / (1 << level), at + (i + 1) / (1 << level)) for i in range(n)]
+        at = (at + n / (1 << level)) % 1.0
     ends = sorted({x for r in ranges for x in r})
     marks = [min(int(x * 2**64) - 2**63, 2**63 - 1) for x in ends]
     return marks, [(ends.index(a), ends.index(b)) for a, b in ranges]
 
 
 MARKS, LEXICONS = _lexicons()
+_LOW = 2**32 - 1
 
 
 def fingerprint(kept: Column, at: Column) -> Column:
-    """SUBSETS hashes of WIDTH hex digits each. kept: sorted hashes of terms and the MARKS among them; at: the places of
-    the MARKS, from 1. A lexicon's marks are hashed with its terms, which changes nothing."""
+    """SUBSETS hashes of 32 bits, null without terms. kept: sorted hashes of terms and the MARKS among them; at: the places
+    of the MARKS, from 1. A lexicon's marks are hashed with its terms, which changes nothing."""
 
     def hashed(x: Column) -> Column:
         first = F.get(at, x["a"])
         n = F.get(at, x["b"]) - first
-        h = F.xxhash64(F.slice(kept, first, n))
-        digits = F.right(F.hex(h.bitwiseAND(F.lit(2 ** (4 * WIDTH) - 1)).bitwiseOR(F.lit(2 ** (4 * WIDTH)))), F.lit(WIDTH))
-        return F.when(n == x["b"] - x["a"], F.lit(EMPTY)).otherwise(F.lower(digits))
+        h = F.xxhash64(F.slice(kept, first, n)).bitwiseAND(F.lit(_LOW)) - F.lit(2**31)
+        return F.when(n != x["b"] - x["a"], h.cast("int"))
+
+    # a loop over the lexicons, not an expression for each: a method that long would not be compiled to machine code
+    return F.transform(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in LEXICONS]), hashed)
+
 
-    # a loop over the lexicons, not 48 expressions: a method that long would not be compiled to machine code
-    lexicons = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in LEXICONS])
-    return F.array_join(F.transform(lexicons, hashed), "")
+def written(hashes: Column) -> Column:
+    """A fingerprint as text: WIDTH hex digits of each hash."""
+    digits = lambda h: F.lower(F.substring(F.hex(h.cast("long") + F.lit(2**31 + 2**32)), 2, WIDTH))
+    return F.array_join(F.transform(hashes, lambda h: F.coalesce(digits(h), F.lit(EMPTY))), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Share of equal hashes among the lexicons that either fingerprint meets; 1 for equal fingerprints."""
-    at = lambda s, i: F.substring(s, i * WIDTH + 1, WIDTH)
-    tally = lambda same, some: F.struct(same.cast("int").alias("same"), some.cast("int").alias("some"))
+    met = F.filter(F.zip_with(a, b, lambda x, y: F.when(x.isNotNull() | y.isNotNull(), x.eqNullSafe(y))), lambda x: x.isNotNull())
+    return F.when(a == b, 1.0).otherwise(let(met, lambda m: F.when(F.size(m) == 0, 0.0).otherwise(F.size(F.filter(m, lambda x: x)) / F.size(m))))
 
-    def counted(t: Column, i: Column) -> Column:
-        unlike, none = at(a, i) != at(b, i), at(a, i) == EMPTY
-        return F.when(unlike, tally(t["same"], t["some"] + 1)).when(none, t).otherwise(tally(t["same"] + 1, t["some"] + 1))
 
-    share = F.aggregate(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), tally(F.lit(0), F.lit(0)), counted, lambda t: F.when(t["some"] == 0, 0.0).otherwise(t["same"] / t["some"]))
-    return F.when(a == b, 1.0).otherwise(share)
+#: Bits of an id within a block, and of a block within a group of blocks.
+BLOCK, GROUP = 10, 13
 
 
-#: Documents of a block: ids are whole numbers, so a block of this many ids has no more documents.
-BLOCK = 1024
+def with_previous(blocks: DataFrame, levels: int = 3) -> DataFrame:
+    """blocks(b), distinct -> b, before: the block before it in order, for the first one the last. Blocks are numbers of
+    64 - BLOCK bits; those of a group are ordered together, then groups of groups, so that no task orders more than
+    2**GROUP (at the top, 2**(64 - BLOCK - levels * GROUP)) of them, however ids are spread."""
+    if not levels:
+        return blocks.withColumn("before", F.coalesce(F.lag("b").over(Window.orderBy("b")), F.max("b").over(Window.partitionBy())))
+    inner = blocks.withColumn("p", F.shiftright("b", GROUP))
+    groups = inner.groupBy("p").agg(F.max("b").alias("last"))
+    above = with_previous(groups.select(F.col("p").alias("b")), levels - 1).withColumnsRenamed({"b": "p", "before": "q"})
+    above = above.join(groups.select(F.col("p").alias("q"), "last"), "q").select("p", "last")
+    inner = inner.withColumn("lag", F.lag("b").over(Window.partitionBy("p").orderBy("b")))
+    return inner.join(above, "p").select("b", F.coalesce("lag", "last").alias("before"))
 
 
 def with_next(df: DataFrame, key: str, derive) -> DataFrame:
     """derive(df), whose columns are key and others, with ``next``: a struct of the next row's other columns by key (ties
     by these columns), after the last the first.
 
-    One shuffle by blocks of BLOCK ids. The first row of each block is also dealt to the block before it, so that no
-    window spans blocks; only the list of blocks (1 row for BLOCK ids) is ordered as a whole. First rows are found by
-    their ids alone, and derive() runs over them once more. Rows of a null key are nobody's next, and the first row is
-    theirs."""
-    block, known = F.floor(F.col(key) / BLOCK), F.col(key).isNotNull()
-    all_rows = Window.partitionBy()
-    firsts = df.where(known).groupBy(block.alias("_b")).agg(F.min(key).alias(key))
-    to = firsts.select(key, F.coalesce(F.lag("_b").over(Window.orderBy("_b")), F.max("_b").over(all_rows)).alias("_b"))
+    One shuffle by blocks of 2**BLOCK ids. The first row of each block is also dealt to the block before it, so that no
+    window spans blocks. First rows are found by their ids alone, and derive() runs over them once more. Rows of a null
+    key are nobody's next, and the first row is theirs. Rows of one key stand in one block."""
+    block, known = F.shiftright(F.col(key), BLOCK), F.col(key).isNotNull()
+    firsts = stored(df.where(known).groupBy(block.alias("b")).agg(F.min(key).alias(key)), "blocks")
+    to = firsts.join(with_previous(firsts.select("b")), "b").select(key, F.col("before").alias("_b"))
     to = stored(to, "starts")  # a table of known size: joined by broadcast as long as it is small
     own = derive(df)
     value = F.struct(*[c for c in own.columns if c != key])
@@ -137,12 +166,13 @@ def edited(text: Column, other: Column) -> Column:
 
 def compare_neighbours(df: DataFrame, id_col: str = "doc_id", text: str = "text", lo: float = LO, hi: float = HI) -> DataFrame:
     """id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each row."""
-    docs = df.select(F.col(id_col).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text"))
     lex = stored(lexicon(docs, "text", lo, hi), "lexicon")  # one row, counted once for all its uses
-    x = with_next(docs, "id", lambda d: fingerprints(d, "text", lex, "f")).select("id", "text", "f", F.col("next.text").alias("other"), F.col("next.f").alias("g"))
+    x = with_next(docs, "id", lambda d: fingerprints(d, "text", lex, "f"))
+    x = x.select("id", "text", "f", F.col("next.text").alias("other"), F.col("next.f").alias("g"))
     x = x.select("id", "f", "g", F.length("text").cast("long").alias("n_chars"), edited(F.col("text"), F.col("other")).alias("e"))
     x = fingerprints(x.withColumn("sha", F.sha2("e", 256)), "e", lex, "ef")
     return x.select(
-        F.col("id").alias(id_col), "n_chars", F.col("sha").alias("edited_sha256"), F.col("f").alias("fingerprint"), F.col("ef").alias("edited_fingerprint"),
+        F.col("id").alias(id_col), "n_chars", F.col("sha").alias("edited_sha256"), written(F.col("f")).alias("fingerprint"), written(F.col("ef")).alias("edited_fingerprint"),
         likeness(F.col("f"), F.col("ef")).alias("near_edited"), likeness(F.col("f"), F.col("g")).alias("near_next"),
     )
