@@ -6,8 +6,8 @@ every candidate's hash is counted by distinct owners and repositories; what few
 credential, what many hold is a copied example.
 
 Defined results: a null text counts as empty (no spans); rows that repeat get a result each; a null owner or
-repository counts as one owner; extra columns of the input are kept by :func:`mask_secrets` and ignored by
-:func:`scan_secrets`; an empty table gives an empty result.
+repository counts as one, of an empty name; extra columns of the input, of any name, are kept by :func:`mask_secrets` and
+ignored by :func:`scan_secrets`; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import salted_left_join
+from ._common import bitmap, in_bitmap, let, salted_left_join, stored
 
 # Fixed values of the contract: kind, pattern, value's group.
 BASE = [
@@ -23,35 +23,56 @@ BASE = [
     ("access", r"AKIA[A-Z0-9]{16,}", 0),
     ("hex", r"[0-9a-f]{24,}", 0),
 ]
-OPAQUE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,200}[0-9])(?=[a-z0-9+/_-]{0,200}[A-Z])(?=[A-Z0-9+/_-]{0,200}[a-z])[A-Za-z0-9+/_-]{32,}"
+#: A token of 32 or more with a digit, an upper-case and a lower-case letter anywhere in it.
+OPAQUE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])[A-Za-z0-9+/_-]{32,}"
 LEAST_ASSIGNED = 6
-#: A value of more owners than this is a copied example.
-MAX_OWNERS = 2
+#: A value of more owners, or of more repositories, than this is a copied example.
+MAX_OWNERS, MAX_REPOS = 2, 6
 KINDS = [k for k, _, _ in BASE] + ["opaque"]
-SPAN = "struct<s:int,k:int,e:int,v:string>"
+#: Start, kind, end (exclusive) and the value's SHA-256: values themselves are never written.
+SPAN = "struct<s:int,k:int,e:int,h:string>"
 REDACTED = "[REDACTED]"
+#: 2**PART matches of a text are gathered at a time, so that many matches don't cost their square.
+PART = 9
+
+
+def _none(kind: str = SPAN) -> Column:
+    return F.array().cast(f"array<{kind}>")
 
 
 def _spans(text: Column, pattern: str, group: int, kind: int) -> Column:
     """array<SPAN> of all matches: the gaps between matches give their places, in code points."""
-    m = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    v = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else m
-    gaps = F.split(text, pattern, -1)
-    step = lambda acc, x: F.struct(
-        (acc["p"] + F.length(x["g"]) + F.length(x["m"])).alias("p"),
-        F.concat(acc["a"], F.array(F.struct((acc["p"] + F.length(x["g"])).alias("s"), F.lit(kind).alias("k"), (acc["p"] + F.length(x["g"]) + F.length(x["m"])).alias("e"), x["v"].alias("v")))).alias("a"),
-    )
-    zero = F.struct(F.lit(0).alias("p"), F.array().cast(f"array<{SPAN}>").alias("a"))
-    found = F.aggregate(F.arrays_zip(F.slice(gaps, 1, F.size(m)).alias("g"), m.alias("m"), v.alias("v")), zero, step, lambda acc: acc["a"])
-    return F.when(F.size(m) > 0, found).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+    def found(m: Column) -> Column:
+        v = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else m
+        gaps = F.slice(F.split(text, pattern, -1), 1, F.size(m))
+        return F.when(F.size(m) == 0, _none()).otherwise(let(F.arrays_zip(gaps.alias("g"), m.alias("m"), v.alias("v")), placed))
+
+    def placed(z: Column) -> Column:
+        def one(t: Column, x: Column) -> Column:
+            start = t["p"] + F.length(x["g"])
+            end = start + F.length(x["m"])
+            span = F.struct(start.alias("s"), F.lit(kind).alias("k"), end.alias("e"), F.sha2(x["v"], 256).alias("h"))
+            if kind == 0:
+                kept = F.when(F.length(x["v"]) >= LEAST_ASSIGNED, F.array(span)).otherwise(_none())
+            else:
+                kept = F.array(span)
+            return F.struct(end.alias("p"), F.concat(t["a"], kept).alias("a"))
+
+        def part(acc: Column, i: Column) -> Column:
+            some = F.slice(z, F.shiftleft(i, PART) + 1, 1 << PART)
+            begin = F.struct(acc["p"].alias("p"), _none().alias("a"))
+            return F.aggregate(some, begin, one, lambda t: F.struct(t["p"].alias("p"), F.concat(acc["a"], F.array(t["a"])).alias("a")))
+
+        parts = F.sequence(F.lit(0), F.shiftright(F.size(z) - 1, PART))
+        return F.flatten(F.aggregate(parts, F.struct(F.lit(0).alias("p"), _none(f"array<{SPAN}>").alias("a")), part, lambda acc: acc["a"]))
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), found)
 
 
 def base_spans(text: Column) -> Column:
     """Spans of the base kinds, by start, then kind as listed."""
-    text = F.coalesce(text, F.lit(""))
-    each = [_spans(text, p, g, k) for k, (_, p, g) in enumerate(BASE)]
-    each[0] = F.filter(each[0], lambda x: F.length(x["v"]) >= LEAST_ASSIGNED)
-    return F.array_sort(F.concat(*each))
+    return F.array_sort(F.concat(*[_spans(text, p, g, k) for k, (_, p, g) in enumerate(BASE)]))
 
 
 def joined(spans: Column) -> Column:
@@ -59,72 +80,85 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["k"]), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def with_candidates(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with ``base`` and ``opaque`` spans; opaque ones keep clear of base ones."""
-    df = df.withColumn("base", base_spans(F.col(text)))
-    wide = _spans(F.coalesce(F.col(text), F.lit("")), OPAQUE, 0, len(BASE))
-    return df.withColumn("opaque", F.filter(wide, lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))))
+def candidates(df: DataFrame, key: Column) -> DataFrame:
+    """key, id, owner, repo, base and opaque spans of df(id, text, owner, repo), written once; opaque spans keep clear of base
+    ones. A null text is empty, and so are a null owner and repository."""
+    text, blank = F.coalesce("text", F.lit("")), lambda c: F.coalesce(c, F.lit("")).alias(c)
+    x = df.select("id", text.alias("text"), blank("owner"), blank("repo"))
+    x = x.select("id", key.alias("key"), "owner", "repo", base_spans(F.col("text")).alias("base"), _spans(F.col("text"), OPAQUE, 0, len(BASE)).alias("wide"))
+    clear = F.filter("wide", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+    return stored(x.select("id", "key", "owner", "repo", "base", F.when(F.size("wide") > 0, clear).otherwise(_none()).alias("opaque")), "candidates")
+
+
+def some(df: DataFrame) -> DataFrame:
+    return df.where((F.size("base") > 0) | (F.size("opaque") > 0))
 
 
-def ownership(candidates: DataFrame) -> DataFrame:
-    """candidates(h, owner, repo) -> h, n_seen, n_owners, n_repos. Distinct triples first, so that a value
+def ownership(found: DataFrame) -> DataFrame:
+    """found(h, owner, repo) -> h, n_seen, n_owners, n_repos. Distinct triples first, so that a value
     copied everywhere is reduced before it is counted."""
-    once = candidates.groupBy("h", "owner", "repo").agg(F.count("*").alias("n"))
+    once = found.groupBy("h", "owner", "repo").agg(F.count("*").alias("n"))
     by_owner = once.groupBy("h", "owner").agg(F.sum("n").alias("n"), F.count("*").alias("r"))
     return by_owner.groupBy("h").agg(F.sum("n").alias("n_seen"), F.count("*").alias("n_owners"), F.sum("r").alias("n_repos"))
 
 
-def _judged(df: DataFrame, id_col: str, owner: Column, repo: Column, max_owners: int) -> DataFrame:
-    """df(id_col, key, base, opaque) -> key, live (all live-looking spans), base ones copied widely counted."""
-    cand = df.where((F.size("base") > 0) | (F.size("opaque") > 0)).select("key", owner.alias("owner"), repo.alias("repo"), F.explode(F.concat("base", "opaque")).alias("x"))
-    cand = cand.withColumn("h", F.sha2("x.v", 256))
+def judged(found: DataFrame, max_owners: int, max_repos: int) -> DataFrame:
+    """candidates' rows -> key, live and shared spans, and the most owners and repositories of one of its values."""
+    cand = some(found).select("key", "owner", "repo", F.explode(F.concat("base", "opaque")).alias("x")).withColumn("h", F.col("x.h"))
     freq = ownership(cand.select("h", "owner", "repo"))
-    seen = salted_left_join(cand.select("key", "x", "h"), freq.select("h", "n_owners"), "h", "key")
-    live = F.col("n_owners") <= max_owners
-    one = F.struct(F.col("x.s").alias("s"), F.col("x.k").alias("k"), F.col("x.e").alias("e"), F.lit(None).cast("string").alias("v"))
-    return seen.groupBy("key").agg(
-        F.array_sort(F.collect_set(F.when(live, one))).alias("live"),
-        F.array_sort(F.collect_set(F.when(~live, one))).alias("shared"),
-    )
-
-
-def scan_secrets(df: DataFrame, id_col: str = "doc_id", text: str = "text", owner: Column | None = None, repo: Column | None = None, max_owners: int = MAX_OWNERS) -> DataFrame:
-    """A row per row of df: id, n_assign, n_access, n_hex, base (spans), spans (base and believed opaque ones,
-    as text), live and shared (text) by the corpus-wide count of owners."""
-    owner = F.col("source") if owner is None else owner
-    repo = F.concat_ws("/", F.coalesce(F.col("source"), F.lit("")), F.coalesce(F.col("lang"), F.lit(""))) if repo is None else repo
-    found = with_candidates(df.select(F.col(id_col).alias("_id"), F.col(text).alias("text"), owner.alias("_owner"), repo.alias("_repo")))
-    bare = lambda c: F.transform(c, lambda x: F.struct(x["s"], x["k"], x["e"], F.lit(None).cast("string").alias("v")))
-    found = found.withColumn("key", F.xxhash64("_id", "text", "_owner", "_repo"))
-    verdict = _judged(found, "_id", F.coalesce("_owner", F.lit("")), F.coalesce("_repo", F.lit("")), max_owners)
-    rows = found.select("_id", "key", bare(F.col("base")).alias("base")).join(verdict, "key", "left")
-    none = F.array().cast(f"array<{SPAN}>")
-    live, shared = F.coalesce("live", none), F.coalesce("shared", none)
+    seen = salted_left_join(cand.select("key", "x", "h"), freq.select("h", "n_owners", "n_repos"), "h", "key")
+    live = (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)
+    spans = lambda c: F.array_sort(F.collect_set(F.when(c, F.col("x"))))
+    counts = [F.max(c).alias(c) for c in ("n_owners", "n_repos")]
+    return seen.groupBy("key").agg(spans(live).alias("live"), spans(~live).alias("shared"), *counts)
+
+
+def repository(source: str = "source", lang: str = "lang") -> Column:
+    """Documents name no repository: a source's texts in one language stand for one."""
+    return F.concat_ws("/", F.coalesce(source, F.lit("")), F.coalesce(lang, F.lit("")))
+
+
+def scan_secrets(df: DataFrame, id_col: str = "doc_id", text: str = "text", owner: Column | None = None, repo: Column | None = None, max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
+    """A row per row of df: id, n_assign, n_access, n_hex, base (spans), spans (base and believed opaque ones, as text), live
+    and shared ones (text) by the corpus-wide counts of owners and repositories, and the most of either that one of the
+    row's values has."""
+    owner, repo = F.col("source") if owner is None else owner, repository() if repo is None else repo
+    found = candidates(df.select(F.col(id_col).alias("id"), F.col(text).alias("text"), owner.alias("owner"), repo.alias("repo")), F.monotonically_increasing_id())
+    verdict = judged(found, max_owners, max_repos)
+    clean = found.where((F.size("base") == 0) & (F.size("opaque") == 0)).select("id", "base")
+    rows = some(found).select("id", "key", "base").join(verdict, "key", "left").drop("key").unionByName(clean, allowMissingColumns=True)
+    live, shared = F.coalesce("live", _none()), F.coalesce("shared", _none())
     spans = F.array_sort(F.concat(F.col("base"), F.filter(live, lambda x: x["k"] >= len(BASE))))
     n = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
     return rows.select(
-        F.col("_id").alias(id_col), n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"),
-        F.col("base"), joined(spans).alias("spans"), joined(live).alias("live_spans"), joined(shared).alias("shared_spans"),
+        F.col("id").alias(id_col), n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.col("base"),
+        joined(spans).alias("spans"), joined(live).alias("live_spans"), joined(shared).alias("shared_spans"), "n_owners", "n_repos",
     )
 
 
-def mask_secrets(df: DataFrame, text: str = "text", n_chars: str | None = "n_chars", max_owners: int = MAX_OWNERS) -> DataFrame:
-    """df with every live-looking credential replaced by [REDACTED]; all rows and columns stay. Only rows that
-    hold candidates pass through a shuffle. Copied examples (more than max_owners owners) stay."""
-    cols = df.columns
-    empty = F.array().cast(f"array<{SPAN}>")
-    found = with_candidates(df, text)
-    some = (F.size("base") > 0) | (F.size("opaque") > 0)
-    hit = found.where(some).withColumn("key", F.xxhash64(text, "source", "lang"))
-    repo = F.concat_ws("/", F.coalesce(F.col("source"), F.lit("")), F.coalesce(F.col("lang"), F.lit("")))
-    verdict = _judged(hit, "doc_id", F.coalesce("source", F.lit("")), repo, max_owners)
-    hit = hit.join(verdict.select("key", "live"), "key", "left").withColumn("live", F.coalesce("live", empty))
-    step = lambda acc, x: F.struct(
-        F.greatest(acc["p"], x["e"]).alias("p"),
-        F.when(x["s"] >= acc["p"], F.concat(acc["t"], F.substring(F.col(text), acc["p"] + 1, x["s"] - acc["p"]), F.lit(REDACTED))).otherwise(acc["t"]).alias("t"),
-    )
-    clean = F.aggregate("live", F.struct(F.lit(0).alias("p"), F.lit("").alias("t")), step, lambda acc: F.concat(acc["t"], F.substring(F.col(text), acc["p"] + 1, F.length(text))))
-    hit = hit.withColumn(text, F.when(F.size("live") > 0, clean).otherwise(F.col(text)))
-    if n_chars and n_chars in cols:
-        hit = hit.withColumn(n_chars, F.length(text).cast(df.schema[n_chars].dataType))
-    return found.where(~some).select(*cols).unionByName(hit.select(*cols))
+def mask_secrets(df: DataFrame, text: str = "text", n_chars: str | None = "n_chars", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
+    """df with every live-looking credential replaced by [REDACTED]; all rows and columns stay, whatever they are called.
+    What is live in a text depends on the text alone, so verdicts are joined by its hash; a bit map of fixed size lets
+    texts without a live one past the shuffle. Copied examples stay."""
+    whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(text).alias("text"))
+    hashed = F.sha2(F.coalesce("text", F.lit("")), 256)
+    found = candidates(df.select(F.lit(None).cast("long").alias("id"), F.col(text).alias("text"), F.col("source").alias("owner"), repository().alias("repo")), hashed)
+    live = stored(judged(found, max_owners, max_repos).where(F.size("live") > 0).select("key", "live"), "live")
+    whole = whole.withColumn("key", hashed).withColumn("_bm", bitmap(live.select("key")).scalar())
+    marked = in_bitmap(F.col("_bm"), F.col("key"))
+    hit = salted_left_join(whole.where(marked).select("_row", "text", "key"), live, "key", "_row")
+
+    def step(acc: Column, x: Column) -> Column:
+        piece = F.substring(F.col("text"), acc["p"] + 1, x["s"] - acc["p"])
+        more = F.when(x["s"] >= acc["p"], F.array(piece, F.lit(REDACTED))).otherwise(F.array().cast("array<string>"))
+        return F.struct(F.greatest(acc["p"], x["e"]).alias("p"), F.concat(acc["t"], more).alias("t"))
+
+    begin = F.struct(F.lit(0).alias("p"), F.array().cast("array<string>").alias("t"))
+    rest = lambda acc: F.concat(acc["t"], F.array(F.substring(F.col("text"), acc["p"] + 1, F.length("text"))))
+    clean = F.array_join(F.aggregate("live", begin, step, rest), "")
+    hit = hit.withColumn("text", F.when(F.col("live").isNotNull(), clean).otherwise(F.col("text")))
+    changed = F.col("_row").withField(f"`{text}`", F.col("text"))
+    if n_chars and n_chars in df.columns:
+        length = F.when(F.col("live").isNotNull(), F.length("text").cast(df.schema[n_chars].dataType)).otherwise(F.col(f"_row.`{n_chars}`"))
+        changed = changed.withField(f"`{n_chars}`", length)
+    return whole.where(~marked).select("_row").unionByName(hit.select(changed.alias("_row"))).select("_row.*")
