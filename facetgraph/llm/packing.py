@@ -5,9 +5,10 @@ the rest (shorter than a window) goes to the fill level h that minimises the sum
 partially filled windows; level 0 is a new window. The counts are an array of window_size levels, so a placement is one
 vector operation. Nothing is shuffled: a task packs what it reads, and a task run again packs alike.
 
-Open windows are bounded by ``max_open``; beyond it, and at the end, they are closed together: the fullest takes
-pieces cut from the emptiest, so that all but one are full. The last is cut at the powers of two of its fill,
-which need no padding.
+At a stream's end its open windows are closed together: the fullest takes pieces cut from the emptiest, so that all but one
+are full. The last is cut at the powers of two of its fill, which need no padding. Open windows hold at most the rests
+of what the task reads, whose size spark.sql.files.maxPartitionBytes bounds; the shorter the streams, the more windows
+are closed by cutting.
 
 Defined results: null or empty text is its end token alone; rows that repeat are separate documents; a null id
 stays null; pieces of a document have ascending start and every id lies in exactly one piece; an empty table
@@ -18,16 +19,17 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ._common import sliced, texts_of
+from ._common import mapped, sliced, texts_of
 
 WINDOW = 4096
 END = 2
-MAX_OPEN = 2048
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Words remembered by a worker.
 _CACHE = 1 << 21
@@ -101,11 +103,10 @@ def tokens_of(path: str, remember: int = _CACHE) -> Tokens:
 class Packer:
     """The open windows of one stream. A piece: (doc, start, ids, doc_tokens)."""
 
-    def __init__(self, first: int, size: int = WINDOW, max_open: int = MAX_OPEN):
-        self.size, self.max_open, self.next = size, max_open, first
+    def __init__(self, first: int, size: int = WINDOW):
+        self.size, self.next = size, first
         self.count = np.zeros(size + 1, dtype=np.int64)
         self.at: list[list[list]] = [[] for _ in range(size)]
-        self.open = 0
 
     def _close(self, pieces: list) -> list[tuple]:
         out, at = [], 0
@@ -138,23 +139,19 @@ class Packer:
             h = self.level(s)
             pieces = self.at[h].pop() if h else []
             pieces.append(piece)
-            self.open += not h
             if h:
                 self.count[h] -= 1
             if h + s == size:
-                self.open -= 1
                 out += self._close(pieces)
             else:
                 self.count[h + s] += 1
                 self.at[h + s].append(pieces)
-            if self.open > self.max_open:
-                out += self.merge()
         return out
 
     def merge(self) -> list[tuple]:
         """Closes all open windows but the one that is left over, which stays open."""
-        windows = [w for h in range(self.size) for w in self.at[h]]  # emptiest first
-        self.at, self.count[:], self.open = [[] for _ in range(self.size)], 0, 0
+        windows = deque(w for h in range(self.size) for w in self.at[h])  # emptiest first
+        self.at, self.count[:] = [[] for _ in range(self.size)], 0
         out: list[tuple] = []
         while len(windows) > 1:
             full = windows.pop()
@@ -167,7 +164,7 @@ class Packer:
                 full.append((doc, start, ids, total))
                 gap -= len(ids)
                 if not windows[0]:
-                    windows.pop(0)
+                    windows.popleft()
             if gap:
                 windows.append(full)
                 break
@@ -176,7 +173,6 @@ class Packer:
             h = sum(len(p[2]) for p in w)
             self.at[h].append(w)
             self.count[h] += 1
-            self.open += 1
         return out
 
     def finish(self) -> list[tuple]:
@@ -198,8 +194,7 @@ class Packer:
 
 def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", size: int = WINDOW, end: int = END, remember: int = _CACHE) -> DataFrame:
     """A row per piece. Sequence ids: the task's partition, then a running number. ``tokenizer``: a file's path,
-    there on every machine; remember: words that a
-    worker keeps, about 200 bytes each."""
+    there on every machine; remember: words that a worker keeps, about 200 bytes each."""
 
     def run(batches):
         import pyarrow as pa
@@ -224,7 +219,5 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "tex
         if out:
             yield rows(out)
 
-    import pyspark.sql.functions as F
-
-    packed = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SCHEMA)
+    packed = mapped(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")), run, SCHEMA)
     return packed.withColumnRenamed("doc_id", id_col)
