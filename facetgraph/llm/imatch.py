@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import stored
+from ._common import let, stored
 
 LO, HI = 0.0005, 0.1
 SLOTS = 19
@@ -31,11 +31,6 @@ WIDTH = 8
 EMPTY = "-" * WIDTH
 
 
-def let(x: Column, f) -> Column:
-    """f(x), with x computed once."""
-    return F.get(F.transform(F.array(x), f), F.lit(0))
-
-
 def terms(text: Column) -> Column:
     return F.array_remove(F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x09-\x0D ]+", -1)), "")
 
