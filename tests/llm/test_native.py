@@ -57,6 +57,50 @@ def test_ownership_separates_copied_examples(spark):
     assert masked[90] == secrets.REDACTED and masked[0] == rows[0][1] and masked[91] is None and len(masked) == 52
 
 
+def test_opaque_tokens_and_many_matches(spark):
+    late = "z" * 250 + "B1" * 40  # a digit and a capital only far into the token
+    many = " ".join(f"{i:024x}" for i in range(3000))
+    df = spark.createDataFrame([(1, late, "s", "en"), (2, many, "s", "en"), (3, "z" * 400, "s", "en")], "doc_id long, text string, source string, lang string")
+    got = {r.doc_id: r for r in secrets.scan_secrets(df).collect()}
+    assert got[1].spans == "opaque:0:330" and got[3].spans == ""
+    assert got[2].n_hex == 3000 and got[2].spans.split(",")[2999] == f"hex:{2999 * 25}:{2999 * 25 + 24}"
+
+
+def test_repositories_count(spark):
+    """A value of two owners in many repositories is a copied example, too."""
+    rows = [(i, "token=spreadvalue1", f"s{i % 2}", f"l{i}") for i in range(12)] + [(20, "token=fewrepos99", "s0", "l0")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = {r.doc_id: r for r in secrets.scan_secrets(df).collect()}
+    assert got[0].live_spans == "" and (got[0].n_owners, got[0].n_repos) == (2, 12) and got[20].live_spans == "assign:0:16"
+
+
+def test_masking_keeps_columns_of_any_name(spark):
+    rows = [(1, "x token=abcdef12 é secret: zyxwvu98", "s", "en", 7, "b", 2.0, None, "k"), (2, "plain", "s", "en", 5, "b", 1.0, 3, "k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars int, base string, live double, opaque int, key string")
+    got = {r.doc_id: r for r in secrets.mask_secrets(df).collect()}
+    assert got[1].text == f"x {secrets.REDACTED} é {secrets.REDACTED}" and got[1].n_chars == len(got[1].text)
+    assert tuple(got[1])[5:] == rows[0][5:] and tuple(got[2]) == rows[1]
+    assert secrets.mask_secrets(df).schema == df.schema
+
+
+def test_lexicon_is_exact(spark):
+    """Only terms of the band are in it, at every size of the table."""
+    for n in (20, 49, 50, 200):
+        rows = [(i, f"everywhere rare{i // 2} only{i}") for i in range(n)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        slots = {h for h in imatch.lexicon(df).first().lexicon if h}
+        rare = spark.createDataFrame([(f"rare{i}",) for i in range(n // 2)], "t string").select(F.xxhash64("t")).collect()
+        assert slots <= {r[0] for r in rare} and len(slots) >= 0.99 * (n // 2)
+
+
+def test_blocks_in_order(spark):
+    ids = [-(2**62), -5, 0, 1, 2, 1023, 1024, 5000, 2**33, 2**33 + 1024, 2**50, 2**62]
+    blocks = sorted({i >> imatch.BLOCK for i in ids})
+    df = spark.createDataFrame([(b,) for b in blocks], "b long")
+    got = {r.b: r.before for r in imatch.with_previous(df).collect()}
+    assert got == dict(zip(blocks, blocks[-1:] + blocks[:-1], strict=True))
+
+
 def next_texts(docs):
     keyed = sorted((d, t or "") for d, t in docs if d is not None)
     after = dict(zip(range(len(keyed)), keyed[1:] + keyed[:1], strict=True))
@@ -82,8 +126,9 @@ def test_fingerprints(spark, tmp_path):
     for d, t in docs:
         same.setdefault(t or "", set()).add(by[d])
     assert all(len(x) == 1 for x in same.values())
-    mean = lambda k: sum(getattr(r, k) for r in rows) / len(rows)
-    assert mean("near_edited") > mean("near_next") + 0.05
+    words = {d: len((t or "").split()) for d, t in docs}
+    above = [r.near_edited > r.near_next for r in rows if words[r.doc_id] >= 20]
+    assert sum(above) >= 0.97 * len(above)  # texts of a few terms, repeated, may be in no lexicon without new terms
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/e/documents.parquet")
     assert queries.op3_document_fingerprints(spark, f"{tmp_path}/e").count() == 0
 
