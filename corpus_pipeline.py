@@ -7,7 +7,8 @@
 5. pack: sequences of at most 4096 tokens; a row per piece.
 
 Stages 1 to 4 return the columns of documents. Labels come from the folder's labels table. Texts that are null or
-empty pass stages as each operator defines; rows that repeat an id share their fate in stages 1 and 2.
+empty pass stages as each operator defines. Rows of one id are one document: in stage 2 all its texts stay or none, equal
+ones once. Rows of a null id are documents each, which stages 1 and 2 judge alone.
 """
 
 from __future__ import annotations
@@ -32,9 +33,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = jaccard.join(docs, k=WORDS, percent=PERCENT)
-    # a row of a null id links with nothing and stays
     kept = jaccard.survivors(found).distinct()
-    stays = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    # equal rows of an id once, with the least of what else they hold
+    stays = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("_rest"))
+    stays = stays.select("doc_id", "text", *[F.col(f"_rest.`{c}`").alias(c) for c in rest]).select(docs.columns)
+    # a row of a null id links with nothing and stays
     return stays.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
