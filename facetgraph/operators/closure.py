@@ -8,19 +8,28 @@ from pyspark.sql import functions as F
 from ..sources.tables import stored
 
 
-def closure(edges: DataFrame, seeds: DataFrame, exclude_initial: bool = False, leaves_only: bool = False, most: int = 10_000) -> DataFrame:
-    """edges(src, dst), seeds(start) -> distinct (start, node, depth) reachable. Each round joins the frontier with the
-    edges and drops nodes already seen; rounds are written to the shared folder, so lineage stays short."""
-    edges = edges.where("src is not null and dst is not null").select("src", "dst").distinct()
+def closure(edges: DataFrame, seeds: DataFrame, exclude_initial: bool = False, leaves_only: bool = False, everywhere: bool = False) -> DataFrame:
+    """edges(src, dst), seeds(start) -> distinct (start, node, depth) reachable, depth being the least number of edges.
+
+    Each round joins the nodes found last with the edges and drops nodes already seen. everywhere: most nodes are seeds; the
+    edges' powers of two are joined instead, all that is found with 2, 4, 8, .. steps more, so that long chains take few
+    rounds. Rounds are written to the shared folder, so lineage stays short, and go on until nothing new is found."""
+    edges = stored(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
     front = seeds.select("start", F.col("start").alias("node")).where("start is not null").distinct().withColumn("depth", F.lit(0))
     seen = front = stored(front)
-    for depth in range(1, most):
-        new = front.select("start", F.col("node").alias("src")).join(edges, "src").select("start", F.col("dst").alias("node")).distinct()
-        front = stored(new.join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+    steps, power, rounds = 1, edges, 0
+    while True:
+        rounds += 1
+        last = seen if everywhere else front
+        new = last.select("start", F.col("node").alias("src"), "depth").join(power, "src").groupBy("start", F.col("dst").alias("node")).agg((F.min("depth") + steps).alias("depth"))
+        front = stored(new.join(seen, ["start", "node"], "left_anti"))
         if front.isEmpty():
             break
-        seen = seen.unionByName(front)
-        if depth % 8 == 0:
+        seen = stored(seen.unionByName(front)) if everywhere else seen.unionByName(front)
+        if everywhere:
+            steps *= 2
+            power = stored(power.join(power.select(F.col("src").alias("dst"), F.col("dst").alias("to")), "dst").select("src", F.col("to").alias("dst")).distinct())
+        elif rounds % 8 == 0:
             seen = stored(seen)
     out = seen
     if leaves_only:

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import Catalog, Entity
-from ..engine import query
+from ..engine import query, query_json
 from ..operators import rdfs, store
+from ..sources import formats
 from ..sources import statements as st
+from ..sources.tables import shared_folder
 
 TABLES: dict[str, tuple[tuple[str, ...], dict[str, str]]] = {
     "region": (("r_regionkey",), {}),
@@ -40,6 +42,11 @@ def with_turns(spark: SparkSession, sf_dir: str) -> Catalog:
     return Catalog(Entity("turn", df, ("turn_id",), {"reply_to": "turn"}))
 
 
+def first_turn(spark: SparkSession, sf_dir: str) -> dict:
+    x = spark.read.parquet(f"{sf_dir}/conversations.parquet").agg(F.min(F.struct("conv_id", "turn")).alias("m")).first().m
+    return {"start": f"turn/{x.conv_id}.{x.turn}"}
+
+
 def _conv():
     from pyspark.sql import Window
 
@@ -50,9 +57,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def ask(name: str, text: str, sql: str, then=None, binds=None, over=catalog) -> None:
+def ask(name: str, text: str, sql: str, then=None, binds=None, over=catalog, make=query) -> None:
+    """binds: values, or how to get them of (spark, folder)."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = query(spark, over(spark, sf_dir), text, binds)
+        df = make(spark, over(spark, sf_dir), text, binds(spark, sf_dir) if callable(binds) else binds)
         return then(df) if then else df
 
     QUERIES[name], SQL[name] = run, sql
@@ -100,7 +109,22 @@ ask("maybe_prop", "{doc_id, maybe quality where type='documents'}", "select doc_
 ask("not_prop", "{doc_id where type='documents' and not quality}", "select doc_id from documents where doc_id not in (select doc_id from labels)", over=with_documents)
 ask("maybe_null_match", "{doc_id where type='documents' and maybe quality and quality = null}", "select doc_id from documents left join labels using (doc_id) where quality is null", over=with_documents)
 ask("required_prop", "{doc_id, quality where type='documents'}", "select doc_id, quality from documents join labels using (doc_id)", over=with_documents)
-ask("omitnull_json", "{doc_id, omitnull maybe quality where type='documents'}", "select case when quality is null then '{\"doc_id\":' || doc_id || '}' else '{\"doc_id\":' || doc_id || ',\"quality\":' || quality || '}' end as json from documents left join labels using (doc_id)", then=lambda df: df.select(F.to_json(F.struct("*")).alias("json")), over=with_documents)
+ask(
+    "omitnull_json",
+    "{doc_id, lang, omitnull maybe quality, [omitnull maybe toxic] where type='documents'}",
+    """select '{"doc_id":' || doc_id || ',"lang":"' || lang || '"' || coalesce(',"quality":' || quality, '') || coalesce(',"toxic":[' || toxic || ']', '') || '}' as json
+    from documents left join labels using (doc_id)""",
+    over=with_documents,
+    make=query_json,
+)
+ask(
+    "nulls_json",
+    "{doc_id, maybe quality, [maybe toxic] where type='documents'}",
+    """select '{"doc_id":' || doc_id || ',"quality":' || coalesce(quality::varchar, 'null') || ',"toxic":[' || coalesce(toxic::varchar, '') || ']}' as json
+    from documents left join labels using (doc_id)""",
+    over=with_documents,
+    make=query_json,
+)
 ask("forcelist", "{doc_id, [maybe quality] where type='documents'}", "select doc_id, coalesce(quality::varchar, '') as quality from documents left join labels using (doc_id)", then=joined("quality"), over=with_documents)
 # joins
 ask("join_inner", "{o_orderkey, 'name': ?c.c_name where o_custkey = ?c and {?c type='customer'}}", "select o_orderkey, c_name as name from orders join customer on o_custkey = c_custkey")
@@ -136,12 +160,29 @@ ask("nested_independent", "{n_name, 'regions': [{r_name where type='region'}] wh
 ask("nested_parent", "{n_name, 'more': {n_nationkey, n_regionkey} where type='nation'}", "select n_name, n_nationkey, '@region/' || n_regionkey as n_regionkey from nation", then=lambda df: df.select("n_name", "more.n_nationkey", "more.n_regionkey"))
 ask("dynamic_key", "{n_name : n_nationkey where type='nation'}", "select n_name as key, n_nationkey as value from nation")
 ask("mergeall", "{id : n_name where type='nation' MERGEALL}", "select 'nation/' || n_nationkey as key, n_name as value from nation")
+ask("mergeall_dict", "{n_name, n_nationkey where type='nation' order by n_name desc MERGEALL}", "select n_name, n_nationkey from nation order by n_name limit 1")
+ask("mergeall_key", "{n_regionkey : n_name where type='nation' order by n_name MERGEALL}", "select '@region/' || n_regionkey as key, max(n_name) as value from nation group by n_regionkey")
+ask("mergeall_list", "[n_name, upper(n_name) where type='nation' order by n_name limit 5 MERGEALL]", "select string_agg(n_name || '|' || upper(n_name), '|' order by n_name) as value from (select n_name from nation order by n_name limit 5)", then=joined("value"))
+ask("mergeall_omitnull", "{omitnull maybe quality, doc_id where type='documents' order by doc_id MERGEALL}", "select (select arg_max(quality, doc_id) from labels join documents using (doc_id)) as quality, max(doc_id) as doc_id from documents", over=with_documents)
+ask("namemap_parse", "{name, 'where': nation.n_name where type='customer' and bal > 0 namemap = {'name': 'c_name', 'bal': 'c_acctbal', 'nation': 'c_nationkey'}}", "select c_name as name, n_name as where from customer join nation on c_nationkey = n_nationkey where c_acctbal > 0")
+ask("namemap_nested", "{name, 'orders': [{total where type='orders' and o_custkey = ?c and total > 400000}] , key where type='customer' namemap = {'name': 'c_name', 'total': 'o_totalprice', 'key': 'c_custkey'}}".replace("{name", "{?c name"), "select c_name as name, c_custkey as key, count(o_orderkey) as orders from customer left join orders on o_custkey = c_custkey and o_totalprice > 400000 group by all", then=lambda df: df.withColumn("orders", F.coalesce(F.size("orders"), F.lit(0)).cast("long")).withColumn("orders", F.greatest("orders", F.lit(0))))
+ask("scalar_and_or", "[('a' and 'b'), ('' or n_name), (0 or 5), (n_nationkey and n_name), (n_nationkey > 3 and n_nationkey < 9) where type='nation']", "select 'b' c0, n_name c1, 5 c2, case when n_nationkey = 0 then '0' else n_name end c3, n_nationkey > 3 and n_nationkey < 9 c4 from nation", then=lambda df: df.withColumn("c3", F.col("c3").cast("string")))
+ask("depth_renamed", "{o_orderkey, 'cust': o_custkey where type='orders' DEPTH 1}", "select o_orderkey, c_name, '@nation/' || c_nationkey as c_nationkey from orders join customer on o_custkey = c_custkey", then=lambda df: df.select("o_orderkey", "cust.c_name", "cust.c_nationkey"))
+ask("depth_list", "{o_orderkey, [o_custkey] where type='orders' DEPTH 2}", "select o_orderkey, c_name, n_name from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey", then=lambda df: df.select("o_orderkey", F.get("o_custkey", F.lit(0)).alias("c")).select("o_orderkey", "c.c_name", "c.c_nationkey.n_name"))
+ask("for_update", "{n_name, 'region': {?r r_name} where n_regionkey = ?r and {?r type='region'}}", "select 'nation/' || n_nationkey as id, n_name, 'region/' || r_regionkey as rid, r_name from nation join region on n_regionkey = r_regionkey", make=lambda *a: query(*a, for_update=True), then=lambda df: df.select("id", "n_name", F.col("region.id").alias("rid"), "region.r_name"))
 ask("depth_expand", "{o_orderkey, o_custkey where type='orders' DEPTH 2}", "select o_orderkey, c_name, n_name from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey", then=lambda df: df.select("o_orderkey", "o_custkey.c_name", "o_custkey.c_nationkey.n_name"))
 # closure
 ask("follow", "{turn_id, 'up': follow(id, reply_to, true)}", "select a.conv_id || '.' || a.turn as turn_id, string_agg(b.conv_id || '.' || b.turn, '|' order by b.conv_id || '.' || b.turn) as up from conversations a left join conversations b on a.conv_id = b.conv_id and b.turn < a.turn group by a.conv_id, a.turn", then=joined("up"), over=with_turns)
 ask("rfollow", "{turn_id, 'down': rfollow(id, reply_to, true)}", "select a.conv_id || '.' || a.turn as turn_id, string_agg(b.conv_id || '.' || b.turn, '|' order by b.conv_id || '.' || b.turn) as down from conversations a left join conversations b on a.conv_id = b.conv_id and b.turn > a.turn group by a.conv_id, a.turn", then=joined("down"), over=with_turns)
 ask("follow_leaves", "{turn_id, 'top': follow(id, reply_to, true, true)}", "select a.conv_id || '.' || a.turn as turn_id, min(b.conv_id || '.' || b.turn) as top from conversations a left join (select conv_id, min(turn) as turn from conversations group by 1) b on a.conv_id = b.conv_id and b.turn < a.turn group by a.conv_id, a.turn", then=joined("top"), over=with_turns)
 ask("follow_in", "{?p turn_id, 'n': [{?c turn_id where ?c in rfollow(?p, reply_to, true)}] where type='turn'}", "select a.conv_id || '.' || a.turn as turn_id, count(b.turn) as n from conversations a left join conversations b on a.conv_id = b.conv_id and b.turn > a.turn group by a.conv_id, a.turn", then=lambda df: df.select("turn_id", F.coalesce(F.size("n"), F.lit(0)).cast("long").alias("n")).withColumn("n", F.greatest("n", F.lit(0))), over=with_turns)
+FIRST = "(select min(conv_id) as c, min(turn) as t from conversations where conv_id = (select min(conv_id) from conversations))"
+ask("follow_const", "{turn_id where id in rfollow(:start, reply_to)}", f"select conv_id || '.' || turn as turn_id from conversations where conv_id = (select c from {FIRST})", over=with_turns, binds=first_turn)
+ask("follow_const_not", "{turn_id where type='turn' and id not in rfollow(:start, reply_to)}", f"select conv_id || '.' || turn as turn_id from conversations where conv_id <> (select c from {FIRST})", over=with_turns, binds=first_turn)
+ask("ref_in_follow", "{turn_id where :start in follow(id, reply_to, true)}", f"select conv_id || '.' || turn as turn_id from conversations where conv_id = (select c from {FIRST}) and turn > (select t from {FIRST})", over=with_turns, binds=first_turn)
+ask("follow_const_list", "{r_name, 'down': rfollow(:start, reply_to, edgesOnly=true) where type='region'}", f"select r_name, (select max(turn) from conversations where conv_id = (select c from {FIRST})) as down from region", over=lambda spark, sf: with_turns(spark, sf).add(catalog(spark, sf).entities["region"]), then=lambda df: df.select("r_name", F.split(F.get("down", F.lit(0)), r"\.")[1].cast("long").alias("down")), binds=first_turn)
+
+
 # functions
 ask("fn_string", "[upper(c_name), lower(c_name), trim(' \\t a '), ltrim('xxab', 'x'), rtrim(c_name, '0123456789') where type='customer']", "select upper(c_name) c0, lower(c_name) c1, 'a' c2, 'ab' c3, rtrim(c_name, '0123456789') c4 from customer")
 ask("fn_number", "[c_acctbal + 1, c_acctbal - 1, c_acctbal * 2, c_acctbal / 2, -c_acctbal, number('junk'), number('12.5') where type='customer']", "select c_acctbal + 1 c0, c_acctbal - 1 c1, c_acctbal * 2 c2, c_acctbal / 2 c3, -c_acctbal c4, 0.0::double c5, 12.5::double c6 from customer")
@@ -184,9 +225,43 @@ ask("stmt_typed_eq_text", "{id, name where key = '3'}", "select 'x' as id, 'x' a
 ask("stmt_ref_eq", "{id, name where region = @region/1}", "select 'nation/' || n_nationkey as id, n_name as name from nation where n_regionkey = 1", then=values("name"), over=over_statements)
 ask("stmt_multivalue", "{id, nations where nations != 3 and nations < 8}", "select 'region/' || n_regionkey as id, string_agg(n_nationkey::varchar, '|' order by n_nationkey::varchar) as nations from nation group by 1 having bool_or(n_nationkey < 8) and bool_or(n_nationkey <> 3)", then=values("nations"), over=over_statements)
 ask("stmt_anti", "{id, name where name and not region}", "select 'region/' || r_regionkey as id, r_name as name from region", then=values("name"), over=over_statements)
+ask("stmt_join", "{id, name, 'of': ?r.name where region = ?r and {?r nations}}", "select 'nation/' || n_nationkey as id, n_name as name, r_name as of from nation join region on n_regionkey = r_regionkey", then=values("name", "of"), over=over_statements)
+ask("stmt_join_values", "{id, 'keys': ?n.name where nations = ?n.key and {?n region}}", "select 'region/' || n_regionkey as id, string_agg(n_name, '|' order by n_name) as keys from nation group by n_regionkey", then=values("keys"), over=over_statements)
+ask("stmt_join_left", "{id, name, 'of': ?r.name where name and maybe region = ?r}", "select 'nation/' || n_nationkey as id, n_name as name, r_name as of from nation join region on n_regionkey = r_regionkey union all select 'region/' || r_regionkey, r_name, '' from region", then=lambda df: values("name", "of")(df).withColumn("of", F.coalesce("of", F.lit(""))), over=over_statements)
+ask("stmt_path", "{id, 'of': region.name}", "select 'nation/' || n_nationkey as id, r_name as of from nation join region on n_regionkey = r_regionkey", then=values("of"), over=over_statements)
+ask("stmt_or", "{id, name where key = 3 or region = @region/1}", "select 'nation/' || n_nationkey as id, n_name as name from nation where n_nationkey = 3 or n_regionkey = 1", then=values("name"), over=over_statements)
+ask("stmt_not", "{id, name where region and not (key < 20 or key = 22)}", "select 'nation/' || n_nationkey as id, n_name as name from nation where n_nationkey >= 20 and n_nationkey <> 22", then=values("name"), over=over_statements)
+ask("stmt_complex", "{id, name where key * 2 > key + 10}", "select 'nation/' || n_nationkey as id, n_name as name from nation where n_nationkey > 10", then=values("name"), over=over_statements)
+ask("stmt_sum", "{name, 's': sum(nations), 'n': count(nations), 'a': avg(nations), 'hi': max(nations) group by name}", "select r_name as name, sum(n_nationkey)::double as s, count(*) as n, avg(n_nationkey)::double as a, max(n_nationkey)::varchar as hi from nation join region on n_regionkey = r_regionkey group by r_name", then=lambda df: values("hi")(df).where("n > 0"), over=over_statements)
+ask("stmt_count", "[count(*), count(nations), sum(nations), total(nations) where nations]", "select count(distinct n_regionkey) c0, count(*) c1, sum(n_nationkey)::double c2, sum(n_nationkey)::double c3 from nation", over=over_statements)
+ask("stmt_functions", "[upper(name), key + 1, if(key > 10, 'high', 'low'), isref(region), -key where region]", "select upper(n_name) c0, (n_nationkey + 1)::varchar || '.0' c1, case when n_nationkey > 10 then 'high' else 'low' end c2, 'true' c3, case when n_nationkey = 0 then '-0.0' else (-n_nationkey)::varchar || '.0' end c4 from nation", then=values("c0", "c1", "c2", "c3", "c4"), over=over_statements)
+ask("list_map", "{id, 'twice': nations * 2}", "select 'region/' || n_regionkey as id, string_agg(t, '|' order by t) as twice from (select n_regionkey, (n_nationkey * 2)::varchar || '.0' as t from nation) group by n_regionkey", then=values("twice"), over=over_statements)
+ask("list_product", "{id, 'sums': nations + nations}", "select 'region/' || a.n_regionkey as id, string_agg(t, '|' order by t) as sums from (select a.n_regionkey, (a.n_nationkey + b.n_nationkey)::varchar || '.0' as t from nation a join nation b using (n_regionkey)) a group by a.n_regionkey", then=values("sums"), over=over_statements)
+ask("stmt_star_all", "{* where region}", """select '{"id":"nation/' || n_nationkey || '","properties":{"key":' || n_nationkey || ',"name":"' || n_name || '","region":"@region/' || n_regionkey || '"}}' as json from nation""", over=over_statements, make=query_json)
+ask("stmt_order", "{id, key where key order by key desc limit 7}", "select 'nation/' || n_nationkey as id, n_nationkey::varchar as key from nation order by n_nationkey desc limit 7", then=values("key"), over=over_statements)
+ask("stmt_semi", "{id, name where region in {name='ASIA'}}", "select 'nation/' || n_nationkey as id, n_name as name from nation join region on n_regionkey = r_regionkey where r_name = 'ASIA'", then=values("name"), over=over_statements)
+ask("stmt_not_semi", "{id, name where region and region not in {name='ASIA'}}", "select 'nation/' || n_nationkey as id, n_name as name from nation join region on n_regionkey = r_regionkey where r_name <> 'ASIA'", then=values("name"), over=over_statements)
+ask("stmt_nested", "{?r id, 'members': [{id, key where region = ?r}] where nations}", "select 'region/' || n_regionkey as id, string_agg('nation/' || n_nationkey, '|' order by 'nation/' || n_nationkey) as members from nation group by n_regionkey", then=lambda df: df.withColumn("members", F.array_join("members.id", "|")), over=over_statements)
+ask("stmt_depth", "{id, region where key < 5 DEPTH 1}", """select 'nation/' || n_nationkey as id, '{"id":"region/' || r_regionkey || '","name":"' || r_name || '","nations":' || ns || '}' as region from nation join region on n_regionkey = r_regionkey
+    join (select n_regionkey as k, '[' || string_agg(n_nationkey::varchar, ',' order by n_nationkey::varchar) || ']' as ns from nation group by 1) on k = r_regionkey where n_nationkey < 5""", over=over_statements)
+ask("stmt_follow", "{id, 'up': follow(id, region, true) where key}", "select 'nation/' || n_nationkey as id, 'region/' || n_regionkey as up from nation", then=joined("up"), over=over_statements)
+ask("txn_id", "{id, 'txn': getTransactionId(name), 'by': getTransactionAuthor(name), 'why': getTransactionComment(name) where key}", "select 'nation/' || n_nationkey as id, 100 + n_nationkey as txn, 'author ' || n_regionkey as by, 'second' as why from nation", over=lambda spark, sf: Catalog(st.entity(nation_statements(spark, sf), log=nation_log(spark, sf))))
+ask("txn_none", "{id, 'txn': getTransactionId(name) where key}", "select 'nation/' || n_nationkey as id, null::varchar as txn from nation", over=over_statements)
 ask("group_multivalue_key", "{nations, 'n': count(*) group by nations}", "select n_nationkey::varchar as nations, count(*) as n from nation group by 1", over=over_statements)
 SQL["stmt_multivalue"] = "select 'region/' || n_regionkey as id, string_agg(n_nationkey::varchar, '|' order by n_nationkey::varchar) as nations from nation group by n_regionkey having bool_or(n_nationkey < 8) and bool_or(n_nationkey <> 3)"
 
+
+
+def nation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A history of nation_statements: names are added twice, by the region's author; regions in contexts by key."""
+    s = nation_statements(spark, sf_dir)
+    key = F.split("subject", "/")[1].cast("long")
+    row = lambda rev, why: s.select(rev.alias("rev"), F.lit("add").alias("op"), *st.VALUE, F.concat(F.lit("ctx/"), (key % 2).cast("string")).alias("context"), F.lit(why).alias("comment"))
+    region = s.where("predicate = 'region'").select("subject", F.concat(F.lit("author "), F.split("object", "/")[1]).alias("author"))
+    both = row(key, "first").unionByName(row(key + 100, "second").where("predicate = 'name'"))
+    return both.join(region, "subject", "left")
+
+
 MELT = """melt as (select 'nation/' || n_nationkey as subject, 'name' as predicate, n_name as object, 'L' as objecttype from nation
  union all select 'nation/' || n_nationkey, 'key', n_nationkey::varchar, 'integer' from nation
  union all select 'nation/' || n_nationkey, 'region', 'region/' || n_regionkey, 'R' from nation
@@ -276,25 +351,80 @@ def rdfs_subclass(spark, sf):
     return rdfs.entailed(s).where(F.col("predicate") == rdfs.TYPE).select("subject", "object")
 
 
-@plain("union_store", "select o_orderkey, o_totalprice from orders")
+@plain("union_store", f"with {MELT} select subject as id, object as name from melt where predicate = 'name'")
 def union_store(spark, sf):
-    o = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_totalprice")
-    return o.where("o_orderkey % 3 <> 0").unionByName(o.where("o_orderkey % 2 = 0 or o_orderkey % 3 = 0")).dropDuplicates()
+    """Two stores that share statements, queried as one."""
+    s = nation_statements(spark, sf)
+    both = st.union(s.where("predicate <> 'name' or subject like 'n%'"), s.where("predicate = 'name'"))
+    return values("name")(query(spark, Catalog(st.entity(both)), "{id, name}"))
+
 
+@plain("asof_context", "select 'nation/' || n_nationkey as subject, n_nationkey as rev from nation where n_nationkey % 2 = 1 and n_nationkey <= 10")
+def asof_context(spark, sf):
+    log = nation_log(spark, sf).where("predicate = 'key'")
+    return store.as_of(log, 10, context="ctx/1").select("subject", "rev")
 
-@plain("list_map", "select vec_id, round(list_sum(list_transform(embedding, lambda x: x::double * 2)), 3) as s, len(embedding) as n from embeddings")
-def list_map(spark, sf):
-    e = spark.read.parquet(f"{sf}/embeddings.parquet")
-    mapped = F.transform("embedding", lambda x: x.cast("double") * 2)
-    return e.select("vec_id", F.round(F.aggregate(mapped, F.lit(0.0), lambda a, x: a + x), 3).alias("s"), F.size("embedding").cast("long").alias("n"))
 
+@plain("stmt_list_json", "select 'list/' || n_regionkey as id, '{\"id\":\"list/' || n_regionkey || '\",\"item\":[' || n || ',\"x\",' || n || ']}' as object from (select n_regionkey, min(n_nationkey) as n from nation group by 1)")
+def stmt_list_json(spark, sf):
+    """Lists in which an item is repeated come back as they were."""
+    n = spark.read.parquet(f"{sf}/nation.parquet").groupBy("n_regionkey").agg(F.min("n_nationkey").cast("string").alias("o"))
+    row = lambda o, t, at: n.select(F.concat(F.lit("list/"), F.col("n_regionkey").cast("string")).alias("subject"), F.lit("item").alias("predicate"), o.alias("object"), F.lit(t).alias("objecttype"), F.lit("").alias("context"), F.array(*map(F.lit, at)).alias("listpos"))
+    return st.to_objects(row(F.col("o"), "integer", [0, 2]).unionByName(row(F.lit("x"), "L", [1])))
+
+
+@plain("embedded_json", "select 'nation/' || n_nationkey as id, '{\"id\":\"nation/' || n_nationkey || '\",\"place\":{\"key\":' || n_nationkey || ',\"name\":\"' || n_name || '\"}}' as object from nation")
+def embedded_json(spark, sf):
+    """Embedded objects that one value refers to stand in its place."""
+    n = spark.read.parquet(f"{sf}/nation.parquet")
+    objects = n.select(F.to_json(F.struct(F.concat(F.lit("nation/"), F.col("n_nationkey").cast("string")).alias("id"), F.struct(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name")).alias("place"))).alias("value"))
+    folder = shared_folder(spark)
+    objects.write.text(folder)
+    got = st.to_objects(formats.read_jsonl(spark, folder), inline=True)
+    return got.withColumn("object", F.regexp_replace("object", '"id":"_:[^"]*",', ""))
 
-@plain("list_product", "select a.n_regionkey, (sum(a.n_nationkey) * count(*) * 2)::bigint as s from nation a group by 1")
-def list_product(spark, sf):
-    """An expression over two lists covers their product."""
-    g = spark.read.parquet(f"{sf}/nation.parquet").groupBy("n_regionkey").agg(F.collect_list("n_nationkey").alias("v"))
-    pairs = F.flatten(F.transform("v", lambda x: F.transform("v", lambda y: x + y)))
-    return g.select("n_regionkey", F.aggregate(pairs, F.lit(0).cast("long"), lambda a, x: a + x).alias("s"))
+
+def _round_trip(kind: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        folder = shared_folder(spark)
+        formats.write(nation_statements(spark, sf_dir).repartition(3), folder, kind)
+        return formats.read(spark, folder, kind).select(*st.VALUE)
+
+    return run
+
+
+for _kind in ("ntjson", "jsonl", "json", "mjson"):
+    plain(f"roundtrip_{_kind}", f"with {MELT} select * from melt")(_round_trip(_kind))
+plain("roundtrip_nt", f"with {MELT} select subject, predicate, object, objecttype from melt")(_round_trip("ntriples"))
+
+
+@plain("read_nt_replay", "select 'nation/' || n_nationkey as subject, n_name as object, case when n_nationkey % 3 = 0 then '' else 'ctx/' || n_nationkey % 3 end as context from nation where n_nationkey % 4 <> 1")
+def read_nt_replay(spark, sf):
+    """Adds, removes and contexts apply in the lines' order."""
+    n = spark.read.parquet(f"{sf}/nation.parquet").orderBy("n_nationkey").coalesce(1)
+    k = F.col("n_nationkey")
+    line = F.concat(F.lit("<nation/"), k.cast("string"), F.lit('> <name> "'), "n_name", F.lit('" .'))
+    graph = F.when(k % 3 != 0, F.concat(F.lit("#!graph ctx/"), (k % 3).cast("string"), F.lit("\n"))).otherwise("")
+    text = F.concat(F.lit("# nation\n"), graph, line, F.when(k % 4 == 1, F.concat(F.lit("\n#!remove\n"), line)).when(k % 4 == 2, F.concat(F.lit("\n#!remove\n"), line, F.lit("\n"), graph, line)).otherwise(""))
+    folder = shared_folder(spark)
+    n.select(text).write.text(folder)
+    return formats.read_ntriples(spark, folder).select("subject", "object", "context")
+
+
+@plain("read_json", "select 'orders/' || o_orderkey as subject, 'cust' as predicate, 'customer/' || o_custkey as object, 'R' as objecttype from orders union all select 'orders/' || o_orderkey, 'status', o_orderstatus, 'L' from orders")
+def read_json(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    folder = shared_folder(spark)
+    o.select(F.to_json(F.struct(name("orders/", "o_orderkey").alias("id"), name("@customer/", "o_custkey").alias("cust"), F.col("o_orderstatus").alias("status")))).write.text(folder)
+    return formats.read_jsonl(spark, folder).select(*st.VALUE)
+
+
+@plain("crud_update_all", f"with {MELT} select subject, predicate, case when predicate = 'name' and subject like 'nation/%' then 'N:' || object else object end as object, objecttype from melt where subject <> 'region/1'")
+def crud_update_all(spark, sf):
+    s = nation_statements(spark, sf)
+    new = s.where("predicate = 'name' and subject like 'nation/%'").withColumn("object", F.concat(F.lit("N:"), "object"))
+    return store.update_all(s, updated=new, removed=s.where("subject = 'region/1'")).select(*st.VALUE)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import Entity
-from ..functions import null_low
+from .tables import stored
 
 SCHEMA = "subject string, predicate string, object string, objecttype string, context string, listpos array<int>"
 COLUMNS = ["subject", "predicate", "object", "objecttype", "context", "listpos"]
@@ -21,6 +21,8 @@ VALUE = ["subject", "predicate", "object", "objecttype"]
 REF = re.compile(r"@((?:::)?[^\s@]+)$")
 # Prefixes of generated ids.
 EMBEDDED, ANONYMOUS = "_:j:e:object:", "_:j:t:object:"
+#: The empty list.
+NIL = "rdf:nil"
 
 
 def typed(v, ref=REF) -> tuple[str, str]:
@@ -37,9 +39,9 @@ def typed(v, ref=REF) -> tuple[str, str]:
     return (m[1], "R") if m else (v, "L")
 
 
-def from_json(objects: list | dict, ref=REF, names: dict | None = None, context: str = "") -> list[tuple]:
-    """Statements of JSON objects, depth first. Objects without id get generated ones; lists keep positions; an object
-    {datatype, value} is a typed literal; {"@context"-like} ``context`` sets the statements' context."""
+def from_json(objects: list | dict, ref=REF, names: dict | None = None, context: str = "", prefix: str = "") -> list[tuple]:
+    """Statements of JSON objects, depth first. Objects without id get generated ones, after ``prefix``; lists keep positions;
+    an object {datatype, value} is a typed literal; {"@context"-like} ``context`` sets the statements' context."""
     names = {"id": "id", **{v: k for k, v in (names or {}).items()}}
     out: dict[tuple, list[int]] = {}
     counts: dict[str, int] = {}
@@ -59,7 +61,7 @@ def from_json(objects: list | dict, ref=REF, names: dict | None = None, context:
             return put(s, p, obj(v, ctx, s), "R", ctx, pos)
         if isinstance(v, list):
             if pos is None and not v:
-                return put(s, p, "rdf:nil", "R", ctx, None)
+                return put(s, p, NIL, "R", ctx, None)
             if pos is None:
                 for i, x in enumerate(v):
                     value(s, p, x, ctx, i)
@@ -77,7 +79,7 @@ def from_json(objects: list | dict, ref=REF, names: dict | None = None, context:
         if key is not None:
             s = str(o[key]).removeprefix("@")
         else:
-            base = f"{EMBEDDED}{parent}" if parent else ANONYMOUS.rstrip(":")
+            base = f"{EMBEDDED}{parent}" if parent else f"{ANONYMOUS}{prefix}".rstrip(":")
             counts[base] = counts.get(base, 0) + 1
             s = f"{base}:{counts[base]}"
         ctx = o.get("context", ctx) if isinstance(o.get("context", ""), str) else ctx
@@ -117,35 +119,80 @@ def union(*stores: DataFrame) -> DataFrame:
     out = stores[0]
     for s in stores[1:]:
         out = out.unionByName(s)
-    return out.groupBy(*VALUE, "context").agg(F.first("listpos").alias("listpos"))
+    return out.groupBy(*VALUE, "context").agg(F.first("listpos", ignorenulls=True).alias("listpos"))
 
 
-def star(df: DataFrame, props: list[str]) -> DataFrame:
-    """A row per subject, a column per property: the array of its values, in list order. One scan and one shuffle,
-    whatever the number of properties; subjects without any of them stay, with empty arrays."""
-    value = lambda p: F.array_sort(F.collect_set(F.when(F.col("predicate") == p, F.struct(F.coalesce(F.array_min("listpos"), F.lit(1 << 30)).alias("pos"), F.col("object").alias("o"), F.col("objecttype").alias("t"), F.col("listpos").isNotNull().alias("list")))))
-    rows = df.where(F.col("predicate").isin(props) | (F.col("predicate") != "")) if props else df
-    got = rows.groupBy("subject").agg(*[value(p).alias(f"_{i}") for i, p in enumerate(props)] or [F.count(F.lit(1)).alias("_c")])
-    return got.select("subject", *[F.col(f"_{i}").alias(p) for i, p in enumerate(props)])
+#: Where a value without a list position stands.
+UNLISTED = 1 << 30
+VALUES = "array<struct<pos:int,o:string,t:string,list:boolean>>"
+
+
+def value(o: Column, t: Column) -> Column:
+    return F.struct(F.lit(UNLISTED).alias("pos"), o.alias("o"), t.alias("t"), F.lit(False).alias("list"))
+
+
+def value_of(c: Column) -> Column:
+    """A native column as a typed value; null is the null value."""
+    kind = F.typeof(c)
+    t = F.when(kind.isin("double", "float") | kind.startswith("decimal"), "double").when(kind.isin("tinyint", "smallint", "int", "bigint"), "integer").when(kind == "boolean", "boolean").otherwise("L")
+    return value(F.coalesce(c.cast("string"), F.lit("null")), F.when(c.isNull(), "null").otherwise(t))
+
+
+def constant(v) -> Column:
+    o, t = typed(v, re.compile(r"(?!)"))
+    return value(F.lit(o), F.lit(t))
 
 
-def entity(df: DataFrame, name: str = "statements") -> Entity:
-    """Statements as an entity of the query language; ``type`` is a property like any other."""
-    return Entity(name, _Star(df), ("subject",), multi=True)
+def spread(df: DataFrame) -> DataFrame:
+    """subject, predicate, v: a row per value; an item that a list repeats stands at each of its positions."""
+    x = df.select("subject", "predicate", "object", "objecttype", F.explode_outer("listpos").alias("pos"))
+    v = F.struct(F.coalesce("pos", F.lit(UNLISTED)).alias("pos"), F.col("object").alias("o"), F.col("objecttype").alias("t"), F.col("pos").isNotNull().alias("list"))
+    return x.select("subject", "predicate", v.alias("v"))
+
+
+def star(df: DataFrame, props: list[str], required: bool = False, rest: bool = False) -> DataFrame:
+    """A row per subject, a column per property: the array of its values, in list order. One scan and one shuffle,
+    whatever the number of properties. required: one of the properties must be there, so that only their statements are
+    read; else subjects without any of them stay, with empty arrays. rest: column ``*``, the map of all properties."""
+    rows = df.where(F.col("predicate").isin(props)) if required and not rest else df
+    if not rest and not required:  # other statements only say that their subject is there
+        rows = rows.withColumn("listpos", F.when(F.col("predicate").isin(props), F.col("listpos")))
+    each = lambda p: F.array_sort(F.collect_set(F.when(F.col("predicate") == p, F.col("v"))))
+    cols = [each(p).alias(f"_{i}") for i, p in enumerate(props)]
+    if rest:
+        cols.append(F.array_sort(F.collect_set(F.struct(F.col("predicate").alias("p"), "v"))).alias("_all"))
+    got = spread(rows).groupBy("subject").agg(*cols or [F.count(F.lit(1)).alias("_c")])
+    out = [F.col(f"_{i}").alias(p) for i, p in enumerate(props)]
+    if rest:
+        names = F.array_distinct(F.transform("_all", lambda x: x["p"]))
+        of = lambda n: F.transform(F.filter("_all", lambda x: x["p"] == n), lambda x: x["v"])
+        out.append(F.map_from_arrays(names, F.transform(names, of)).alias("*"))
+    return got.select("subject", *out)
+
+
+def entity(df: DataFrame, name: str = "statements", log: DataFrame | None = None) -> Entity:
+    """Statements as an entity of the query language; ``type`` is a property like any other. log: their history, which the
+    transaction functions read."""
+    return Entity(name, _Star(df, log), ("subject",), multi=True)
 
 
 class _Star:
     """Statements whose star is taken for the properties that a query names."""
 
-    def __init__(self, df: DataFrame):
-        self.statements = df
+    def __init__(self, df: DataFrame, log: DataFrame | None = None):
+        self.statements, self.log = df, log
 
     @property
     def columns(self) -> list[str]:
         return ["subject"]
 
-    def __call__(self, props: list[str]) -> DataFrame:
-        return star(self.statements, props)
+    def __call__(self, props: list[str], required: bool = False, rest: bool = False) -> DataFrame:
+        return star(self.statements, props, required, rest)
+
+    def edges(self, prop: str) -> DataFrame:
+        """(src, dst) of the references that a property holds."""
+        s = self.statements.where((F.col("predicate") == prop) & (F.col("objecttype") == "R"))
+        return s.select(F.col("subject").alias("src"), F.col("object").alias("dst"))
 
 
 def number_of(x: Column) -> Column:
@@ -157,105 +204,106 @@ def text_of(x: Column) -> Column:
     return F.when(x["t"] == "R", F.concat(F.lit("@"), x["o"])).when(x["t"] == "null", F.lit(None)).otherwise(x["o"])
 
 
-def json_of(values: Column) -> Column:
-    """A property's values as JSON: null without any, a scalar for one, a list for more or for a stored list."""
-    quote = lambda s: F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(s, r"\\", r"\\\\"), '"', r'\\"'), F.lit('"'))
-    one = lambda x: F.when(x["t"] == "R", quote(F.concat(F.lit("@"), x["o"]))).when(x["t"].isin("integer", "double", "boolean", "null"), x["o"]).otherwise(quote(x["o"]))
-    many = F.concat(F.lit("["), F.array_join(F.transform(values, one), ","), F.lit("]"))
-    return F.when(F.size(values) == 0, F.lit(None)).when((F.size(values) == 1) & ~F.get(values, F.lit(0))["list"], one(F.get(values, F.lit(0)))).otherwise(many)
+def quoted(s: Column) -> Column:
+    """A JSON string."""
+    for a, b in ((r"\\", r"\\\\"), ('"', r'\\"'), ("\n", r"\\n"), ("\r", r"\\r"), ("\t", r"\\t")):
+        s = F.regexp_replace(s, a, b)
+    return F.concat(F.lit('"'), s, F.lit('"'))
 
 
-def matches(plan, values: Column, cond, how: str) -> Column:
-    """exists or filter of the values by a comparison of the language; = and in are exact on text and type."""
-    from ..lang import QueryError
-    from ..lang.ast import Const, Prop, Ref
+def json_value(x: Column) -> Column:
+    """A value as JSON: references with @; a text that looks like a reference, and other types, as an object of datatype and
+    value."""
+    typed_ = lambda t, v: F.concat(F.lit('{"datatype":'), t, F.lit(',"value":'), v, F.lit("}"))
+    text = F.when(x["o"].rlike(REF.pattern), typed_(F.lit('"json"'), quoted(x["o"]))).otherwise(quoted(x["o"]))
+    plain = F.when(x["t"] == "R", quoted(F.concat(F.lit("@"), x["o"]))).when(x["t"].isin("integer", "double", "boolean", "null"), x["o"])
+    return plain.when(x["t"] == "L", text).otherwise(typed_(quoted(x["t"]), quoted(x["o"])))
 
-    def same(x: Column, e) -> Column:
-        if isinstance(e, Ref):
-            return (x["o"] == e.id) & (x["t"] == "R")
-        o, t = typed(e.value, re.compile(r"(?!)"))
-        return (x["o"] == o) & (x["t"] == t)
 
-    def test(x: Column) -> Column:
-        a, b = cond.args
-        if cond.name == "in":
-            out = F.lit(False)
-            for e in b:
-                out = out | same(x, e)
-            return out
-        const = b if isinstance(a, Prop) else a
-        if not isinstance(const, Const | Ref):
-            raise QueryError("a property of the statement layout is compared with a constant")
-        if cond.name in ("=", "!="):
-            return same(x, const) if cond.name == "=" else ~same(x, const)
-        op = cond.name if isinstance(a, Prop) else {"<": ">", ">": "<", "<=": ">=", ">=": "<="}[cond.name]
-        if isinstance(const.value, int | float) and not isinstance(const.value, bool):
-            rank = F.when(x["t"] == "null", 0).when(number_of(x).isNotNull(), 1).otherwise(2)
-            less = {"<": rank < 1, "<=": rank < 1, ">": rank > 1, ">=": rank > 1}[op]
-            return less | ((rank == 1) & null_low(op, number_of(x), F.lit(float(const.value))))
-        return null_low(op, text_of(x), F.lit(const.value))
+def json_of(values: Column) -> Column:
+    """A property's values as JSON: null without any, a scalar for one, a list for more or for a stored list."""
+    many = F.concat(F.lit("["), F.array_join(F.transform(values, json_value), ","), F.lit("]"))
+    return F.when(F.size(values) == 0, F.lit(None)).when((F.size(values) == 1) & ~F.get(values, F.lit(0))["list"], json_value(F.get(values, F.lit(0)))).otherwise(many)
 
-    return (F.exists if how == "exists" else F.filter)(values, test)
 
+def sort_key(x: Column) -> Column:
+    """Values in the order null < numbers and booleans < texts < references."""
+    number = F.coalesce(number_of(x), F.when(x["t"] == "boolean", (x["o"] == "true").cast("double")))
+    rank = F.when(x["t"] == "null", 0).when(number.isNotNull(), 1).when(x["t"] == "R", 3).otherwise(2)
+    return F.struct(rank.alias("rank"), number.alias("n"), F.when(rank >= 2, x["o"]).alias("s"))
 
-def to_objects(df: DataFrame) -> DataFrame:
-    """(id, object): each subject's properties as one JSON text, keys in order."""
-    one = df.groupBy("subject", "predicate").agg(F.array_sort(F.collect_set(F.struct(F.coalesce(F.array_min("listpos"), F.lit(1 << 30)).alias("pos"), F.col("object").alias("o"), F.col("objecttype").alias("t"), F.col("listpos").isNotNull().alias("list")))).alias("v"))
-    pair = F.concat(F.lit('"'), "predicate", F.lit('":'), json_of(F.col("v")))
-    return one.groupBy("subject").agg(F.array_join(F.array_sort(F.collect_list(pair)), ",").alias("p")).select(F.col("subject").alias("id"), F.concat(F.lit('{"id":"'), "subject", F.lit('",'), "p", F.lit("}")).alias("object"))
 
+def true(x: Column) -> Column:
+    """0, '', null and false are false."""
+    return F.when(x["t"] == "null", False).when(number_of(x).isNotNull(), number_of(x) != 0).when(x["t"] == "boolean", x["o"] == "true").otherwise(x["o"] != "")
 
-# N-Triples
 
+def same(x: Column, y: Column, exact: bool) -> Column:
+    """Equality: exact on text and type, or of numbers as numbers."""
+    equal = (x["o"] == y["o"]) & (x["t"] == y["t"])
+    return equal if exact else equal | F.coalesce(number_of(x) == number_of(y), F.lit(False))
 
-_LINE = re.compile(r"\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(<[^>]*>|_:\S+|\"(?:\\.|[^\"\\])*\")(?:@([\w-]+)|\^\^<([^>]*)>)?\s*\.?\s*$")
 
+def compared(op: str, x: Column, y: Column, exact: bool) -> Column:
+    if op in ("=", "!="):
+        return same(x, y, exact) if op == "=" else ~same(x, y, exact)
+    a, b = sort_key(x), sort_key(y)
+    return {"<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op]
 
-def parse_ntriples(lines) -> list[tuple]:
-    """(line, op, subject, predicate, object, objecttype, context): '#!remove [ctx]' turns what follows on the line into a
-    removal, '#!graph ctx' sets the context of later lines, other comments are skipped."""
-    out, ctx = [], ""
-    for n, line in enumerate(lines):
-        op = "add"
-        if line.startswith("#!graph"):
-            ctx = line[7:].strip()
-            continue
-        if line.startswith("#!remove"):
-            op, line = "remove", line[8:].strip()
-        m = _LINE.match(line) if line.strip() and not line.startswith("#") else None
-        if not m:
-            if line.strip() and not line.startswith("#"):
-                raise ValueError(f"line {n + 1} is no statement: {line[:60]!r}")
-            continue
-        s, p, o, lang, kind = m.groups()
-        bare = lambda x: x[1:-1] if x[0] == "<" else x
-        if o[0] == '"':
-            out.append((n, op, bare(s), p, json.loads(o, strict=False), lang or kind or "L", ctx))
-        else:
-            out.append((n, op, bare(s), p, bare(o), "R", ctx))
-    return out
 
+def any_pair(a: Column, b: Column, test) -> Column:
+    return F.exists(a, lambda x: F.exists(b, lambda y: test(x, y)))
 
-def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
-    """A file's statements after its adds and removes in file order; contexts don't matter to a removal."""
 
-    def run(batches):
-        import pyarrow as pa
+def matches(plan, values: Column, cond, how: str) -> Column:
+    """exists or filter of the values by a comparison of the language with constants; = and in are exact on text and type."""
+    from ..lang.ast import Prop
 
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                rows = parse_ntriples(text.splitlines())
-                cols = list(zip(*rows, strict=True)) or [()] * 7
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.string()) for c in cols[1:]]], names=["line", "op", *COLUMNS[:5]])
+    def test(x: Column) -> Column:
+        a, b = cond.args
+        if cond.name == "in":
+            return F.exists(F.concat(*[plan.values(e) for e in b]), lambda y: same(x, y, True))
+        if isinstance(a, Prop):
+            return F.exists(plan.values(b), lambda y: compared(cond.name, x, y, True))
+        return F.exists(plan.values(a), lambda y: compared(cond.name, y, x, True))
 
-    log = spark.read.text(path, wholetext=True).mapInArrow(run, "line long, op string, " + ", ".join(f"{c} string" for c in COLUMNS[:5]))
-    last = log.groupBy(*VALUE).agg(F.max_by("op", "line").alias("op"), F.max_by("context", "line").alias("context"))
-    return last.where("op = 'add'").select(*VALUE, "context", F.lit(None).cast("array<int>").alias("listpos"))
+    return (F.exists if how == "exists" else F.filter)(values, test)
 
 
-def write_ntriples(df: DataFrame, path: str) -> None:
-    name = lambda c: F.when(F.col(c).startswith("_:"), F.col(c)).otherwise(F.concat(F.lit("<"), c, F.lit(">")))
-    literal = F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(F.regexp_replace("object", r"\\", r"\\\\"), '"', r'\\"'), "\n", r"\\n"), F.lit('"'))
-    tail = F.when(F.col("objecttype") == "L", "").when(F.col("objecttype").rlike("^[a-z]{2}(-[A-Za-z]+)?$"), F.concat(F.lit("@"), "objecttype")).otherwise(F.concat(F.lit("^^<"), "objecttype", F.lit(">")))
-    obj = F.when(F.col("objecttype") == "R", name("object")).otherwise(F.concat(literal, tail))
-    df.select(F.concat(name("subject"), F.lit(" <"), "predicate", F.lit("> "), obj, F.lit(" ."))).write.mode("overwrite").text(path)
+def to_objects(df: DataFrame, inline: bool = False, within: DataFrame | None = None) -> DataFrame:
+    """(id, object): each subject's properties as one JSON text, keys in order. inline: an embedded object that one value
+    refers to stands in that value's place, at any depth, and not as an object of its own. within: (id, object) of
+    objects that stand in the place of references to them."""
+    rows = spread(df)
+    if within is not None:
+        inner = within.select(F.col("id").alias("_i"), F.col("object").alias("_t"))
+        rows = rows.join(inner, (F.col("v.t") == "R") & (F.col("v.o") == F.col("_i")), "left")
+        return _objects(rows.select("subject", "predicate", "v", F.coalesce("_t", json_value(F.col("v"))).alias("json")))
+    if not inline:
+        return _objects(rows.withColumn("json", json_value(F.col("v"))))
+    inner = rows.where((F.col("v.t") == "R") & F.col("v.o").startswith(EMBEDDED)).groupBy(F.col("v.o").alias("id")).agg(F.count("*").alias("n"))
+    inner = stored(inner.where("n = 1").join(rows.select(F.col("subject").alias("id")).distinct(), "id", "left_semi").select("id"))
+    # innermost first: objects whose own embedded ones are all known become texts
+    todo = stored(rows.withColumn("json", json_value(F.col("v"))))
+    while True:
+        own = todo.where(F.col("v.t") == "R").join(inner, F.col("v.o") == F.col("id"), "left_semi").select("subject").distinct()
+        ready = stored(_objects(todo.join(inner, F.col("subject") == F.col("id"), "left_semi").join(own, "subject", "left_anti")))
+        if ready.isEmpty():
+            return _objects(todo)
+        texts = ready.select(F.col("id").alias("_i"), F.col("object").alias("_t"))
+        done = todo.join(texts, F.col("subject") == F.col("_i"), "left_anti")
+        done = done.join(texts, (F.col("v.t") == "R") & (F.col("v.o") == F.col("_i")), "left")
+        v = F.when(F.col("_t").isNotNull(), F.col("v").withField("t", F.lit("json"))).otherwise(F.col("v"))
+        todo = stored(done.select("subject", "predicate", v.alias("v"), F.coalesce("_t", "json").alias("json")))
+
+
+def _objects(rows: DataFrame) -> DataFrame:
+    """rows(subject, predicate, v, json): a JSON text per subject; generated ids aren't written."""
+    one = rows.groupBy("subject", "predicate").agg(F.array_sort(F.collect_set(F.struct("v", "json"))).alias("x"))
+    texts, first = F.transform("x", lambda y: y["json"]), F.get("x", F.lit(0))
+    many = F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]"))
+    text = F.when((F.size("x") == 1) & ~first["v"]["list"], F.when((first["v"]["o"] == NIL) & (first["v"]["t"] == "R"), "[]").otherwise(first["json"])).otherwise(many)
+    pair = F.concat(quoted(F.col("predicate")), F.lit(":"), text)
+    own = F.concat(F.lit('"id":'), quoted(F.col("subject")))
+    whole = one.groupBy("subject").agg(F.array_sort(F.collect_list(pair)).alias("p"))
+    return whole.select(F.col("subject").alias("id"), F.concat(F.lit("{"), F.array_join(F.concat(F.array(own), "p"), ","), F.lit("}")).alias("object"))
