@@ -99,27 +99,6 @@ def salted_left_join(big: DataFrame, small: DataFrame, key: str, by: str, n: int
     return b.join(s, [key, "_salt"], "left").drop("_salt")
 
 
-#: Keys that hold more than this part of a table's rows are hot: there are fewer of them than its inverse.
-HOT = 4096
-#: Tables of fewer rows have no hot keys: one task can take them whole.
-SMALL = 1 << 17
-
-
-def split_join(big: DataFrame, small: DataFrame, key: str, by: str, rows: DataFrame | None = None, n: int = 16) -> DataFrame:
-    """big join small on key, small unique by key: big's rows of hot keys are dealt by ``by`` to n salts, for each of which
-    small's rows of these keys are repeated. rows: a written table with big's keys, big itself by default, to count them."""
-    rows = big if rows is None else rows
-    total = rows.count()
-    if total < SMALL:
-        return big.join(small, key)
-    hot = rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") * HOT >= max(total, HOT * 256))
-    hot = F.broadcast(stored(hot.select(key, F.lit(True).alias("_hot")), "hot"))  # fewer than HOT rows
-    b = big.join(hot, key, "left").withColumn("_salt", F.when(F.col("_hot"), salt(F.col(by), n)).otherwise(F.lit(0))).drop("_hot")
-    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0)))
-    s = small.join(hot, key, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
-    return b.join(s, [key, "_salt"]).drop("_salt")
-
-
 BITS = 20
 
 
