@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from contextlib import contextmanager, suppress
 
 import numpy as np
@@ -12,6 +10,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_folder
+
 #: ASCII white space of the word rule ``[^\x20\x09-\x0D]+`` as a Java pattern.
 WORD = r"[^\x20\x09-\x0D]+"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -19,12 +19,8 @@ _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder under the cluster's spark.checkpoint.dir; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="facetgraph-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/facetgraph-{uuid.uuid4().hex}"
+    """A new folder under the cluster's spark.checkpoint.dir, removed when the application ends."""
+    return shared_folder(spark)
 
 
 #: Rows and bytes of an Arrow batch to and from Python workers, at most (a row alone may be larger).
