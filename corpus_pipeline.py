@@ -13,6 +13,7 @@ ones once. Rows of a null id are documents each, which stages 1 and 2 judge alon
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,11 +47,21 @@ def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return secrets.mask_secrets(docs)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with ``_at``, a row's place in the files that hold it; docs that are no files are written first."""
+    place = F.struct("_metadata.file_path", "_metadata.row_index").alias("_at")
+    try:
+        return docs.select(*docs.columns, place)
+    except AnalysisException:  # not a scan of files
+        return stored(docs, "docs").select(*docs.columns, place)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # whole rows go through the mix, so that rows of a null id stay what was counted
-    whole = docs.withColumn("_row", F.struct(*docs.columns))
-    mixed = mixing.mix(queries.weighted_sizes(whole, table(spark, sf_dir, "labels"), ("_row",)), keep=("_row",)).where("copies > 0")
-    return mixed.select("_row", F.explode(F.sequence(F.lit(1), "copies"))).select("_row.*")
+    # rows are mixed by their places, so that those of a null id stay what was counted and texts pass one shuffle
+    whole = numbered(docs)
+    mixed = mixing.mix(queries.weighted_sizes(whole, table(spark, sf_dir, "labels"), ("_at",)), keep=("_at",)).where("copies > 0")
+    taken = stored(mixed.select("_at", "copies"), "taken")
+    return whole.join(taken, "_at").select(*docs.columns, F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
