@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import mapped, sliced, texts_of
+from ._common import mapped, sliced, stored, texts_of
 
 WINDOW = 4096
 END = 2
@@ -219,5 +219,6 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "tex
         if out:
             yield rows(out)
 
-    packed = mapped(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")), run, SCHEMA)
+    # written once, in batches of bounded size: who reads the pieces again sees the same sequences
+    packed = stored(mapped(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")), run, SCHEMA), "pieces")
     return packed.withColumnRenamed("doc_id", id_col)
