@@ -1182,7 +1182,7 @@ class Builder:
         x = self.row_struct(p)
         if not p.correlated:
             one = rows.agg(F.array_sort(F.collect_list(x)).alias(f"_n{n}"))
-            return df.crossJoin(F.broadcast(one)), F.col(f"_n{n}")  # one row
+            return df.crossJoin(one), F.col(f"_n{n}")  # one row, whose size Spark knows before it sends it
         on, keys = [], []
         for k, (cond, _) in enumerate(p.correlated):
             if not (isinstance(cond, Op) and cond.name == "=" and len({q.label for q in _props(cond)}) == 2):

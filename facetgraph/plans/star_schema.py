@@ -12,6 +12,7 @@ from ..engine import query, query_json
 from ..operators import rdfs, store
 from ..sources import formats
 from ..sources import statements as st
+from ..sources.stores import IndexedStore, LogStore
 from ..sources.tables import shared_folder
 
 TABLES: dict[str, tuple[tuple[str, ...], dict[str, str]]] = {
@@ -420,6 +421,48 @@ def read_json(spark, sf):
     return formats.read_jsonl(spark, folder).select(*st.VALUE)
 
 
+@plain("stmt_filter", f"with {MELT} select subject, object::double as number from melt where objecttype = 'integer' and predicate = 'key' union all select subject, null from melt where false")
+def stmt_filter(spark, sf):
+    """Typed values as native columns."""
+    return st.filtered(nation_statements(spark, sf), predicate="key").where("number is not null").select("subject", "number")
+
+
+@plain("stmt_hints", f"with {MELT} select * from melt order by subject, predicate, object, objecttype limit 20 offset 15")
+def stmt_hints(spark, sf):
+    return st.scan(nation_statements(spark, sf), limit=20, offset=15).select(*st.VALUE)
+
+
+@plain("store_log", f"with {MELT} select subject, predicate, case when predicate = 'name' and subject like 'nation/%' then 'N:' || object else object end as object, objecttype from melt where subject <> 'region/1'")
+def store_log(spark, sf):
+    """An append-only log of N-Triples: three commits, replayed."""
+    log, s = LogStore(spark, shared_folder(spark)), nation_statements(spark, sf)
+    new = s.where("predicate = 'name' and subject like 'nation/%'").withColumn("object", F.concat(F.lit("N:"), "object"))
+    log.commit(lambda df: store.add(df, s))
+    log.commit(lambda df: store.update(df, new))
+    log.commit(lambda df: store.remove(df, objects=s.where("subject = 'region/1'")))
+    return log.read().select(*st.VALUE)
+
+
+@plain("store_indexed", f"with {MELT} select * from melt where predicate = 'nations' and object = '7' union all select * from melt where subject = 'nation/3'")
+def store_indexed(spark, sf):
+    kept = IndexedStore(spark, shared_folder(spark))
+    kept.commit(lambda df: store.add(df, nation_statements(spark, sf)))
+    found = kept.scan(predicate="nations", obj="7").unionByName(kept.scan(subject="nation/3"))
+    return found.select(*st.VALUE)
+
+
+@plain("store_history", "select 'orders/' || o_orderkey as subject, o_orderstatus as object, 1 as rev, 'clerk' as author from orders where o_orderstatus <> 'O' union all select 'orders/' || o_orderkey, 'open', 1, 'clerk' from orders where o_orderstatus = 'O' union all select 'orders/' || o_orderkey, o_orderstatus, 0, 'import' from orders")
+def store_history(spark, sf):
+    """The log that a store of versions writes: what the second commit added, and the first."""
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    row = lambda status, context: o.select(F.concat(F.lit("orders/"), F.col("o_orderkey").cast("string")).alias("subject"), F.lit("status").alias("predicate"), status.alias("object"), F.lit("L").alias("objecttype"), F.lit(context).alias("context"), F.lit(None).cast("array<int>").alias("listpos"))
+    status = F.col("o_orderstatus")
+    s = store.Store(spark, shared_folder(spark))
+    s.commit(lambda df: store.add(df, row(status, "")), author="import")
+    s.commit(lambda df: store.update(df, row(F.when(status == "O", "open").otherwise(status), "b")), author="clerk", comment="names")
+    return s.log().where("op = 'add'").select("subject", "object", F.col("rev").cast("int").alias("rev"), "author")
+
+
 @plain("crud_update_all", f"with {MELT} select subject, predicate, case when predicate = 'name' and subject like 'nation/%' then 'N:' || object else object end as object, objecttype from melt where subject <> 'region/1'")
 def crud_update_all(spark, sf):
     s = nation_statements(spark, sf)

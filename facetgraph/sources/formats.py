@@ -237,8 +237,10 @@ def dumps(values: list, most: int = 1024, least: int = 30) -> str:
 # Writers
 
 
-def _with_graph(line: Column) -> Column:
-    return F.when(F.coalesce("context", F.lit("")) != "", F.concat(F.lit("#!graph "), "context", F.lit("\n"), line)).otherwise(line)
+def _directives(df: DataFrame, line: Column) -> Column:
+    """The line after its context's directive and, where df has changes (``op``), after that of a removal."""
+    line = F.when(F.coalesce("context", F.lit("")) != "", F.concat(F.lit("#!graph "), "context", F.lit("\n"), line)).otherwise(line)
+    return F.when(F.col("op") == "remove", F.concat(F.lit("#!remove\n"), line)).otherwise(line) if "op" in df.columns else line
 
 
 def write_ntriples(df: DataFrame, path: str) -> None:
@@ -246,7 +248,7 @@ def write_ntriples(df: DataFrame, path: str) -> None:
     kind = F.col("objecttype")
     tail = F.when(kind == "L", "").when(kind.rlike("^[a-z]{2}(-[A-Za-z]+)?$"), F.concat(F.lit("@"), kind)).otherwise(F.concat(F.lit("^^<"), kind, F.lit(">")))
     obj = F.when(kind == "R", name("object")).otherwise(F.concat(quoted(F.col("object")), tail))
-    df.select(_with_graph(F.concat(name("subject"), F.lit(" <"), "predicate", F.lit("> "), obj, F.lit(" .")))).write.mode("overwrite").text(path)
+    df.select(_directives(df, F.concat(name("subject"), F.lit(" <"), "predicate", F.lit("> "), obj, F.lit(" .")))).write.mode("overwrite").text(path)
 
 
 def write_ntjson(df: DataFrame, path: str) -> None:
@@ -258,7 +260,7 @@ def write_ntjson(df: DataFrame, path: str) -> None:
     value = F.when(kind == "R", ref).when(kind == "L", field(type=F.lit('"literal"'), value=o)).when(lang, field(type=F.lit('"literal"'), xml_lang=quoted(kind), value=o))
     value = value.otherwise(field(type=F.lit('"typed-literal"'), datatype=quoted(kind), value=o))
     line = F.concat(F.lit('{"id":'), quoted(F.col("subject")), F.lit(","), quoted(F.col("predicate")), F.lit(":"), value, F.lit("}"))
-    df.select(_with_graph(line)).write.mode("overwrite").text(path)
+    df.select(_directives(df, line)).write.mode("overwrite").text(path)
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:

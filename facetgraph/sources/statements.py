@@ -114,6 +114,22 @@ def scan(df: DataFrame, subject=None, predicate=None, obj=None, objecttype=None,
     return df
 
 
+def decoded(df: DataFrame) -> DataFrame:
+    """Statements with their values as native columns: ``text``, ``number``, ``truth`` and ``ref``, of which one isn't null
+    (none for the null value)."""
+    t, o = F.col("objecttype"), F.col("object")
+    numeric = t.isin("integer", "double", "decimal", "int", "float")
+    other = ~numeric & ~t.isin("boolean", "null", "R")
+    return df.withColumns({"text": F.when(other, o), "number": F.when(numeric, o.try_cast("double")), "truth": F.when(t == "boolean", o == "true"), "ref": F.when(t == "R", o)})
+
+
+def filtered(df: DataFrame, **slots) -> DataFrame:
+    """scan() by values: a slot is a column's name and a value; an ``object`` of Python's types matches text and type."""
+    if "object" in slots and "objecttype" not in slots:
+        slots["object"], slots["objecttype"] = typed(slots["object"])
+    return decoded(scan(df, slots.get("subject"), slots.get("predicate"), slots.get("object"), slots.get("objecttype"), slots.get("context")))
+
+
 def union(*stores: DataFrame) -> DataFrame:
     """Several stores read as one, each statement once."""
     out = stores[0]

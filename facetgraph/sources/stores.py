@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from urllib.parse import parse_qs, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..operators.store import Store, Triggers
+from ..operators.store import KEYS, Store, Triggers
 from . import formats
-from .statements import COLUMNS, SCHEMA
+from .statements import COLUMNS, SCHEMA, scan
+from .tables import stored
 
 
 class MemStore:
@@ -49,6 +52,79 @@ class FileStore:
         fs.delete(old, True)
 
 
+class LogStore:
+    """An append-only log of N-Triples: each commit is a folder of lines to add and, after '#!remove', to remove. Folders are
+    written beside the log and renamed into it, so that a commit is seen whole or not; reading replays them in order."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def _fs(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        return path(self.folder).getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def commits(self) -> list[str]:
+        fs, path = self._fs()
+        names = [f.getPath().getName() for f in fs.listStatus(path(self.folder))] if fs.exists(path(self.folder)) else []
+        return sorted(n for n in names if n.startswith("log-"))
+
+    def read(self, last: int | None = None) -> DataFrame:
+        done = self.commits()[: None if last is None else last + 1]
+        if not done:
+            return self.spark.createDataFrame([], SCHEMA)
+        return formats.read_ntriples(self.spark, [f"{self.folder}/{n}" for n in done])
+
+    def commit(self, change) -> int:
+        old = self.read()
+        new = stored(change(old))
+        added, removed = new.join(old, KEYS, "left_anti"), old.join(new, KEYS, "left_anti")
+        rows = removed.select(*KEYS, F.lit("remove").alias("op")).unionByName(added.select(*KEYS, F.lit("add").alias("op")))
+        v = len(self.commits())
+        at = f"{self.folder}/new-{uuid.uuid4().hex}"
+        # removals first: a statement that only changed its context is removed and added
+        formats.write_ntriples(rows.repartitionByRange(8, F.desc("op")).sortWithinPartitions(F.desc("op")), at)
+        fs, path = self._fs()
+        to = path(f"{self.folder}/log-{v:08d}")
+        if fs.exists(to) or not fs.rename(path(at), to):
+            raise RuntimeError(f"commit {v} was made by another writer")
+        return v
+
+
+class IndexedStore:
+    """Statements laid out twice: by predicate, sorted by object, and by ranges of subjects. A scan reads the layout that its
+    slots prune: folders of a predicate and the object's row groups, or the subject's files."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def commit(self, change) -> None:
+        new = stored(change(self.read()))
+        at = f"{self.folder}/{uuid.uuid4().hex}"
+        new.repartition("predicate", F.pmod(F.xxhash64("object"), F.lit(8))).sortWithinPartitions("predicate", "object").write.partitionBy("predicate").parquet(f"{at}/by_predicate")
+        new.repartitionByRange("subject", "predicate").sortWithinPartitions("subject", "predicate").write.parquet(f"{at}/by_subject")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = path(self.folder).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        out = fs.create(path(f"{self.folder}/current"), True)
+        out.write(bytearray(at.encode()))
+        out.close()
+
+    def _at(self) -> str | None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = path(self.folder).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return self.spark.read.text(f"{self.folder}/current").first()[0] if fs.exists(path(f"{self.folder}/current")) else None
+
+    def read(self) -> DataFrame:
+        at = self._at()
+        return self.spark.read.schema(SCHEMA).parquet(f"{at}/by_subject") if at else self.spark.createDataFrame([], SCHEMA)
+
+    def scan(self, subject=None, predicate=None, obj=None, objecttype=None, context=None, **hints) -> DataFrame:
+        at = self._at()
+        if not at or subject is not None or predicate is None:
+            return scan(self.read(), subject, predicate, obj, objecttype, context, **hints)
+        rows = self.spark.read.schema(SCHEMA).parquet(f"{at}/by_predicate").select(*COLUMNS)
+        return scan(rows, None, predicate, obj, objecttype, context, **hints)
+
+
 class TableStore:
     """Statements of a database table, over JDBC or of an SQLite file."""
 
@@ -138,13 +214,15 @@ SCHEMES: dict[str, Callable] = {
     "mem": lambda spark, url, triggers: MemStore(spark),
     "file": _file,
     "versions": _folder,
+    "log": lambda spark, url, triggers: LogStore(spark, urlsplit(url)._replace(scheme="file").geturl()),
+    "indexed": lambda spark, url, triggers: IndexedStore(spark, urlsplit(url)._replace(scheme="file").geturl()),
     "sqlite": _sqlite,
     "jdbc": lambda spark, url, triggers: TableStore(read_jdbc(spark, url)),
 }
 
 
 def open_store(spark: SparkSession, url: str, triggers: Triggers | None = None):
-    """The store of a URL: mem:, file:///x.nt (a file of statements), versions:///folder, sqlite:///file?table=t, jdbc:.."""
+    """The store of a URL: mem:, file:///x.nt (a file of statements), versions:///folder, log:///folder, indexed:///folder, sqlite:///file?table=t, jdbc:.."""
     scheme = urlsplit(url).scheme
     if not scheme:
         raise ValueError(f"{url!r} has no scheme")

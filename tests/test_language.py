@@ -274,6 +274,22 @@ def test_conflicts_through_anonymous_objects(spark):
     assert store.conflicts(inner, df.where("subject = 'b'"), df).count() == 0
 
 
+def test_log_store(spark, tmp_path):
+    s = open_store(spark, f"log://{tmp_path}/l")
+    one, two = (st.frame(spark, st.from_json([{"id": "a", "p": p}])) for p in ("x", "y"))
+    s.commit(lambda df: store.add(df, one))
+    s.commit(lambda df: store.update(df, two))
+    s.commit(lambda df: store.update(df, two.withColumn("context", F.lit("c"))))
+    assert [(r.object, r.context) for v in range(3) for r in s.read(v).collect()] == [("x", ""), ("y", ""), ("y", "c")]
+
+
+def test_typed_slots(spark):
+    df = st.frame(spark, st.from_json(TYPED))
+    got = st.filtered(df, predicate="values", object=1).collect()
+    assert [(r.subject, r.number, r.text) for r in got] == [("4", 1.0, None)]
+    assert [r.subject for r in st.filtered(df, object=True).where("truth").collect()] == ["7"]
+
+
 def test_history(spark):
     log = spark.createDataFrame([(0, "add", "s", "p", "A", "L"), (1, "remove", "s", "p", "A", "L"), (2, "add", "s", "p", "A", "L")], "rev long, op string, subject string, predicate string, object string, objecttype string")
     assert [store.as_of(log, n).count() for n in (0, 1, 2)] == [1, 0, 1]
