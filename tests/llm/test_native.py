@@ -1,8 +1,11 @@
 """Secret scans and I-Match fingerprints against brute force."""
 
 import hashlib
+import random
 import re
+from collections import Counter
 
+import xxhash
 from pyspark.sql import functions as F
 
 from facetgraph.llm import imatch, queries, secrets
@@ -133,6 +136,50 @@ def test_fingerprints(spark, tmp_path):
     assert queries.op3_document_fingerprints(spark, f"{tmp_path}/e").count() == 0
 
 
+def signed(x):
+    return x - 2**64 if x >= 2**63 else x
+
+
+def brute_fingerprints(texts, lo=imatch.LO, hi=imatch.HI):
+    """I-Match in plain Python: the band's terms by slot, each text's sorted kept terms, a hash for each lexicon."""
+    term = lambda w: signed(xxhash.xxh64_intdigest(w.encode(), seed=42))
+    words = [{term(w) for w in re.split(r"[\x09-\x0D ]+", t.lower()) if w} for t in texts]
+    often = Counter(h for x in words for h in x)
+    slots = {}
+    for h, n in often.items():
+        if max(2, lo * len(texts)) <= n <= hi * len(texts):
+            slots[h % 2**imatch.SLOTS] = min(h, slots.get(h % 2**imatch.SLOTS, h))
+    out = []
+    for x in words:
+        kept = {h for h in x if slots.get(h % 2**imatch.SLOTS) == h}
+        kept = sorted([*(kept if len(kept) >= imatch.LEAST else x), *imatch.MARKS])
+        at, digits = [kept.index(m) for m in imatch.MARKS], []
+        for a, b in imatch.LEXICONS:
+            seed = 42
+            for h in kept[at[a] : at[b]]:
+                seed = xxhash.xxh64_intdigest((h % 2**64).to_bytes(8, "little"), seed=seed)
+            digits.append(imatch.EMPTY if at[b] - at[a] == b - a else f"{seed % 2**32:08x}")
+        out.append("".join(digits))
+    return out
+
+
+def test_fingerprints_equal_brute_force(spark):
+    rng = random.Random(5)
+    pool = [f"w{i}" for i in range(3000)]
+    rows = [(i, " ".join(rng.choice(pool[: 40 if i % 9 == 0 else 3000]) for _ in range(rng.randrange(0, 300)))) for i in range(150)]
+    rows += [(200, ""), (201, "  a  b\n"), (202, rows[3][1].upper())]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    lex = imatch.stored(imatch.lexicon(df), "lexicon")
+    got = {r.doc_id: r.f for r in imatch.fingerprints(df, "text", lex, "f").select("doc_id", imatch.written(F.col("f")).alias("f")).collect()}
+    assert [got[i] for i, _ in rows] == brute_fingerprints([t for _, t in rows])
+    both = imatch.compare_neighbours(df).collect()
+    part = lambda f: [f[i : i + 8] for i in range(0, len(f), 8)]
+    for r in both:
+        a, b = part(r.fingerprint), part(r.edited_fingerprint)
+        met = [x == y for x, y in zip(a, b, strict=True) if (x, y) != (imatch.EMPTY,) * 2]
+        assert abs(r.near_edited - (1.0 if a == b else sum(met) / max(1, len(met)))) < 1e-12
+
+
 def test_fingerprint_differs_for_unlike_texts(spark):
     df = spark.createDataFrame([(1, "one two three four five six"), (2, "seven eight nine ten eleven")], "doc_id long, text string")
     a, b = (r.f for r in imatch.fingerprints(df, "text", imatch.lexicon(df), "f").collect())

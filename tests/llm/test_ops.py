@@ -344,6 +344,76 @@ def test_quality_on_unseen_rows(spark):
     assert (got.p1 >= got.p2).all() and np.allclose(got.expected, got.p1 + got.p2)
 
 
+def examples(n=60, features=25, classes=2, seed=3):
+    rng = np.random.default_rng(seed)
+    truth, out = rng.normal(size=features), []
+    for _ in range(n):
+        i = np.sort(rng.choice(features, size=6, replace=False))
+        score = truth[i].sum() + rng.normal()
+        out.append((i, np.full(6, 0.4), int(np.clip(np.floor(score / 2 + classes / 2), 0, classes - 1))))
+    return out
+
+
+def test_ftrl_equals_a_plain_loop():
+    """FTRL-proximal coordinate by coordinate, as published."""
+    data, alpha, beta, l1, l2, epochs = examples(), 0.5, 1.0, 0.2, 0.1, 3
+    index, weight, (bias,) = linear.ftrl(data, alpha, beta, l1, l2, epochs)
+    z, n, zb, nb = {}, {}, 0.0, 0.0
+
+    def w(i):
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        return -(z[i] - np.sign(z[i]) * l1) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    for epoch in range(epochs):
+        for k in np.random.default_rng(epoch).permutation(len(data)):
+            on, _, y = data[k]
+            b = -zb / ((beta + nb**0.5) / alpha + l2)
+            g = 1 / (1 + np.exp(-(sum(w(i) for i in on) + b))) - y
+            for i, wi in [(i, w(i)) for i in on]:
+                old = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - ((old + g * g) ** 0.5 - old**0.5) / alpha * wi
+                n[i] = old + g * g
+            zb += g - ((nb + g * g) ** 0.5 - nb**0.5) / alpha * b
+            nb += g * g
+    assert abs(bias - b) < 1e-9
+    want = {int(i): w(i) for i in z if w(i)}
+    assert set(index.tolist()) == set(want) and 0 < len(want) < 25
+    assert all(abs(x - want[i]) < 1e-9 for i, x in zip(index.tolist(), weight.tolist(), strict=True))
+
+
+def test_ordinal_equals_numeric_gradients():
+    """The same AdaGrad steps with the log likelihood's slopes taken numerically."""
+    data, rate, l2, epochs = examples(classes=3), 0.5, 1e-6, 2
+    index, weight, cuts = linear.ordinal(data, rate, l2, epochs)
+    y = np.array([y for *_, y in data])
+    share = np.array([(y >= k).mean() for k in (1, 2)])
+    start = -np.log((share + 0.01) / (1.01 - share))
+    t, tg = np.array([start[0], np.log(max(start[1] - start[0], 0.05))]), np.ones(2)
+    w, g2 = np.zeros(25), np.full(25, 1e-3)
+
+    def likelihood(score, t, y):
+        s = [1.0, *(1 / (1 + np.exp(c - score)) for c in (t[0], t[0] + np.exp(t[1]))), 0.0]
+        return np.log(max(s[y] - s[y + 1], 1e-12))
+
+    e = 1e-5
+    for epoch in range(epochs):
+        for k in np.random.default_rng(epoch).permutation(len(data)):
+            i, v, grade = data[k]
+            score = w[i] @ v
+            slope = (likelihood(score + e, t, grade) - likelihood(score - e, t, grade)) / (2 * e)
+            dt = np.array([(likelihood(score, t + e * d, grade) - likelihood(score, t - e * d, grade)) / (2 * e) for d in np.eye(2)])
+            g = -slope * v + l2 * w[i]
+            g2[i] += g * g
+            w[i] -= rate * g / np.sqrt(g2[i])
+            tg += dt * dt
+            t = t + 0.2 * dt / np.sqrt(tg)
+    got = np.zeros(25)
+    got[index] = weight
+    assert np.allclose(got, w, atol=1e-4) and np.allclose(cuts, [t[0], t[0] + np.exp(t[1])], atol=1e-4)
+    assert cuts[0] < cuts[1]
+
+
 def test_classifiers_of_odd_rows(spark, tmp_path):
     path = docs_of(spark, tmp_path, ODD, "score")
     for q in (queries.op6_quality_classifier, queries.op10_toxicity):
