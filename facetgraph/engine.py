@@ -438,11 +438,19 @@ class Plan:
                 return self.at(x.label, f"txn${x.path[0] if x.path else ''}")[HISTORY[e.name]]
             if e.name not in SCALAR:
                 raise QueryError(f"unknown function {e.name}")
+            if e.name == "isref" and isinstance(e.args[0], Prop | Const | Ref):
+                return self.is_ref(e.args[0])
             return SCALAR[e.name](*[self.col(a, agg) for a in e.args])
         if isinstance(e, Op):
             return self.chosen(e, agg) if e.name in ("and", "or") else self.logic(e, agg)
         raise QueryError(f"can't evaluate {e}")
 
+    def is_ref(self, e) -> Column:
+        """Of a table's columns those of the catalog's references are references, whatever a text looks like."""
+        if isinstance(e, Prop) and e.path:
+            return self.at(e.label, e.path[0]).isNotNull() if e.path[0] in self.label(e.label).entity.refs else F.lit(False)
+        return F.lit(not isinstance(e, Const))
+
     def over_values(self, name: str, v: Column) -> Column:
         """An aggregate of all values of all rows; each row's are summed up first."""
         v = F.filter(v, lambda x: x["t"] != "null")
