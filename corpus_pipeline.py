@@ -61,7 +61,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     whole = numbered(docs)
     mixed = mixing.mix(queries.weighted_sizes(whole, table(spark, sf_dir, "labels"), ("_at",)), keep=("_at",)).where("copies > 0")
     taken = stored(mixed.select("_at", "copies"), "taken")
-    return whole.join(taken, "_at").select(*docs.columns, F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    # texts are shuffled at every size: a broadcast that only small inputs allow would hide what large ones cost
+    return whole.join(taken.hint("merge"), "_at").select(*docs.columns, F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
