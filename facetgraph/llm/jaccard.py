@@ -214,6 +214,7 @@ def bridges(lists: DataFrame, members: DataFrame, inner: DataFrame, part: DataFr
     labelled = stored(labelled.select("g", "m", F.coalesce("part", "m").alias("part")), "members")
     # a group as a whole: its part if all members have one part, else null
     whole = labelled.groupBy("g").agg(F.when(F.min("part") == F.max("part"), F.min("part")).alias("gp"))
+    whole = stored(whole, "groups")  # a table, so that adaptive execution can split what joins a frequent hub
     at = lists.join(whole, "g").join(whole.select(c("g").alias("h"), c("gp").alias("hp")), "h")
     # a member of the list that isn't in the hub's part, and may be alike to one of the sizes there
     apart = c("gp").isNull() | c("hp").isNull() | (c("gp") != c("hp"))
@@ -242,7 +243,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = K,
     groups = some.groupBy("gkey").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), (F.min("digest") != F.max("digest")).cast("long").alias("many"))
     groups = stored(groups.withColumn("g", F.monotonically_increasing_id()), "groups")
     members = stored(reps.select("gkey", c("v").alias("m")).join(groups.select("gkey", "g"), "gkey").select("g", "m"), "sets")
-    heads = members.groupBy("g").agg(F.min("m").alias("r"))
+    heads = stored(members.groupBy("g").agg(F.min("m").alias("r")), "heads")
     lists = prefix_lists(groups)
 
     star = lists.where((c("g") != c("h")) & may(c("n"), c("pos"), c("hn"), c("hpos"), percent)).select("g", "h").distinct()
