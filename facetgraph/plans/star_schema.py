@@ -87,110 +87,454 @@ def rounded(*cols):
 
 # projection and construct
 ask("project_props", "{c_name, c_acctbal where type='customer'}", "select c_name, c_acctbal from customer")
-ask("project_wildcard", "{* where type='nation'}", "select 'nation/' || n_nationkey as id, n_nationkey, n_name, '@region/' || n_regionkey as n_regionkey from nation")
-ask("project_id_ref", "{id, o_custkey where type='orders'}", "select 'orders/' || o_orderkey as id, '@customer/' || o_custkey as o_custkey from orders")
+ask(
+    "project_wildcard",
+    "{* where type='nation'}",
+    "select 'nation/' || n_nationkey as id, n_nationkey, n_name, '@region/' || n_regionkey as n_regionkey from "
+    "nation",
+)
+ask(
+    "project_id_ref",
+    "{id, o_custkey where type='orders'}",
+    "select 'orders/' || o_orderkey as id, '@customer/' || o_custkey as o_custkey from orders",
+)
 ask("construct_value", "(upper(n_name) where type='nation')", "select upper(n_name) as value from nation")
-ask("construct_list", "[n_name, lower(n_name), n_nationkey where type='nation']", "select n_name as c0, lower(n_name) as c1, n_nationkey as c2 from nation")
-ask("constant_row", "[null=null, null!=null, null=0, null='', 1+null, trim(null), null > 0, null < 0]", "select true c0, false c1, false c2, false c3, null::double c4, null::varchar c5, false c6, true c7")
+ask(
+    "construct_list",
+    "[n_name, lower(n_name), n_nationkey where type='nation']",
+    "select n_name as c0, lower(n_name) as c1, n_nationkey as c2 from nation",
+)
+ask(
+    "constant_row",
+    "[null=null, null!=null, null=0, null='', 1+null, trim(null), null > 0, null < 0]",
+    "select true c0, false c1, false c2, false c3, null::double c4, null::varchar c5, false c6, true c7",
+)
 ask("namemap", "{c_name, c_acctbal where type='customer' namemap = {'name': 'c_name'}}", "select c_name as name, c_acctbal from customer")
 # filters
-ask("bindvar", "{c_name where type='customer' and c_mktsegment = :seg}", "select c_name from customer where c_mktsegment = 'BUILDING'", binds={"seg": "BUILDING"})
+ask(
+    "bindvar",
+    "{c_name where type='customer' and c_mktsegment = :seg}",
+    "select c_name from customer where c_mktsegment = 'BUILDING'",
+    binds={"seg": "BUILDING"},
+)
 ask("filter_eq", "{c_name where c_mktsegment = 'MACHINERY'}", "select c_name from customer where c_mktsegment = 'MACHINERY'")
 ask("filter_ne", "{c_name where c_mktsegment != 'MACHINERY'}", "select c_name from customer where c_mktsegment <> 'MACHINERY'")
-ask("filter_range", "{l_extendedprice where l_quantity > 45 and l_discount <= 0.05}", "select l_extendedprice from lineitem where l_quantity > 45 and l_discount <= 0.05")
-ask("filter_in", "{c_name where c_mktsegment in ('BUILDING', 'MACHINERY')}", "select c_name from customer where c_mktsegment in ('BUILDING', 'MACHINERY')")
-ask("filter_not_in", "{c_name where c_mktsegment not in ('BUILDING', 'MACHINERY')}", "select c_name from customer where c_mktsegment not in ('BUILDING', 'MACHINERY')")
-ask("filter_or", "{c_name where c_mktsegment = 'BUILDING' or c_acctbal < 0}", "select c_name from customer where c_mktsegment = 'BUILDING' or c_acctbal < 0")
-ask("filter_not_and", "{c_name where type='customer' and not (c_mktsegment = 'BUILDING' and c_acctbal > 0)}", "select c_name from customer where not (c_mktsegment = 'BUILDING' and c_acctbal > 0)")
-ask("filter_complex", "{l_extendedprice, l_quantity where l_extendedprice > l_quantity * 1000}", "select l_extendedprice, l_quantity from lineitem where l_extendedprice > l_quantity * 1000")
+ask(
+    "filter_range",
+    "{l_extendedprice where l_quantity > 45 and l_discount <= 0.05}",
+    "select l_extendedprice from lineitem where l_quantity > 45 and l_discount <= 0.05",
+)
+ask(
+    "filter_in",
+    "{c_name where c_mktsegment in ('BUILDING', 'MACHINERY')}",
+    "select c_name from customer where c_mktsegment in ('BUILDING', 'MACHINERY')",
+)
+ask(
+    "filter_not_in",
+    "{c_name where c_mktsegment not in ('BUILDING', 'MACHINERY')}",
+    "select c_name from customer where c_mktsegment not in ('BUILDING', 'MACHINERY')",
+)
+ask(
+    "filter_or",
+    "{c_name where c_mktsegment = 'BUILDING' or c_acctbal < 0}",
+    "select c_name from customer where c_mktsegment = 'BUILDING' or c_acctbal < 0",
+)
+ask(
+    "filter_not_and",
+    "{c_name where type='customer' and not (c_mktsegment = 'BUILDING' and c_acctbal > 0)}",
+    "select c_name from customer where not (c_mktsegment = 'BUILDING' and c_acctbal > 0)",
+)
+ask(
+    "filter_complex",
+    "{l_extendedprice, l_quantity where l_extendedprice > l_quantity * 1000}",
+    "select l_extendedprice, l_quantity from lineitem where l_extendedprice > l_quantity * 1000",
+)
 ask("filter_id", "{o_totalprice where type='orders' and id = @orders/7}", "select o_totalprice from orders where o_orderkey = 7")
 ask("filter_ref", "{n_name where n_regionkey = @region/2}", "select n_name from nation where n_regionkey = 2")
 # optional properties
-ask("maybe_prop", "{doc_id, maybe quality where type='documents'}", "select doc_id, quality from documents left join labels using (doc_id)", over=with_documents)
-ask("not_prop", "{doc_id where type='documents' and not quality}", "select doc_id from documents where doc_id not in (select doc_id from labels)", over=with_documents)
-ask("maybe_null_match", "{doc_id where type='documents' and maybe quality and quality = null}", "select doc_id from documents left join labels using (doc_id) where quality is null", over=with_documents)
-ask("required_prop", "{doc_id, quality where type='documents'}", "select doc_id, quality from documents join labels using (doc_id)", over=with_documents)
+ask(
+    "maybe_prop",
+    "{doc_id, maybe quality where type='documents'}",
+    "select doc_id, quality from documents left join labels using (doc_id)",
+    over=with_documents,
+)
+ask(
+    "not_prop",
+    "{doc_id where type='documents' and not quality}",
+    "select doc_id from documents where doc_id not in (select doc_id from labels)",
+    over=with_documents,
+)
+ask(
+    "maybe_null_match",
+    "{doc_id where type='documents' and maybe quality and quality = null}",
+    "select doc_id from documents left join labels using (doc_id) where quality is null",
+    over=with_documents,
+)
+ask(
+    "required_prop",
+    "{doc_id, quality where type='documents'}",
+    "select doc_id, quality from documents join labels using (doc_id)",
+    over=with_documents,
+)
 ask(
     "omitnull_json",
     "{doc_id, lang, omitnull maybe quality, [omitnull maybe toxic] where type='documents'}",
-    """select '{"doc_id":' || doc_id || ',"lang":"' || lang || '"' || coalesce(',"quality":' || quality, '') || coalesce(',"toxic":[' || toxic || ']', '') || '}' as json
-    from documents left join labels using (doc_id)""",
+    "select '{\"doc_id\":' || doc_id || ',\"lang\":\"' || lang || '\"' || coalesce(',\"quality\":' || quality, '') || "
+    "coalesce(',\"toxic\":[' || toxic || ']', '') || '}' as json from documents left join labels using (doc_id)",
     over=with_documents,
     make=query_json,
 )
 ask(
     "nulls_json",
     "{doc_id, maybe quality, [maybe toxic] where type='documents'}",
-    """select '{"doc_id":' || doc_id || ',"quality":' || coalesce(quality::varchar, 'null') || ',"toxic":[' || coalesce(toxic::varchar, '') || ']}' as json
-    from documents left join labels using (doc_id)""",
+    "select '{\"doc_id\":' || doc_id || ',\"quality\":' || coalesce(quality::varchar, 'null') || ',\"toxic\":[' || "
+    "coalesce(toxic::varchar, '') || ']}' as json from documents left join labels using (doc_id)",
     over=with_documents,
     make=query_json,
 )
-ask("forcelist", "{doc_id, [maybe quality] where type='documents'}", "select doc_id, coalesce(quality::varchar, '') as quality from documents left join labels using (doc_id)", then=joined("quality"), over=with_documents)
+ask(
+    "forcelist",
+    "{doc_id, [maybe quality] where type='documents'}",
+    "select doc_id, coalesce(quality::varchar, '') as quality from documents left join labels using (doc_id)",
+    then=joined("quality"),
+    over=with_documents,
+)
 # joins
-ask("join_inner", "{o_orderkey, 'name': ?c.c_name where o_custkey = ?c and {?c type='customer'}}", "select o_orderkey, c_name as name from orders join customer on o_custkey = c_custkey")
-ask("join_chain", "{c_name, 'nation': ?n.n_name, 'region': ?r.r_name where c_nationkey = ?n and {?n n_regionkey = ?r} and {?r type='region'}}", "select c_name, n_name as nation, r_name as region from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey")
-ask("join_path", "{c_name, 'region': c_nationkey.n_regionkey.r_name where type='customer'}", "select c_name, r_name as region from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey")
+ask(
+    "join_inner",
+    "{o_orderkey, 'name': ?c.c_name where o_custkey = ?c and {?c type='customer'}}",
+    "select o_orderkey, c_name as name from orders join customer on o_custkey = c_custkey",
+)
+ask(
+    "join_chain",
+    "{c_name, 'nation': ?n.n_name, 'region': ?r.r_name where c_nationkey = ?n and {?n n_regionkey = ?r} and {?r "
+    "type='region'}}",
+    "select c_name, n_name as nation, r_name as region from customer join nation on c_nationkey = n_nationkey join "
+    "region on n_regionkey = r_regionkey",
+)
+ask(
+    "join_path",
+    "{c_name, 'region': c_nationkey.n_regionkey.r_name where type='customer'}",
+    "select c_name, r_name as region from customer join nation on c_nationkey = n_nationkey join region on "
+    "n_regionkey = r_regionkey",
+)
 ask("join_alias", "{?a n_name, 'again': ?b.n_name where type='nation' and ?a = ?b}", "select n_name, n_name as again from nation")
-ask("join_nonkey", "{'n': count(*), 'total': sum(?c.c_acctbal) where type='supplier' and s_nationkey = ?c.c_nationkey and {?c type='customer'}}", "select count(*) as n, round(sum(c_acctbal), 2) as total from supplier join customer on s_nationkey = c_nationkey", then=rounded("total"))
-ask("join_two_keys", "{'n': count(*) where type='lineitem' and {?m type='lineitem'} and l_orderkey = ?m.l_orderkey and l_linenumber = ?m.l_linenumber}", "select count(*) as n from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_linenumber = b.l_linenumber")
-ask("join_left", "{o_orderkey, 'lines': count(?l.l_linenumber) where type='orders' and {?l type='lineitem'} and maybe ?l.l_orderkey = o_orderkey group by o_orderkey}", "select o_orderkey, count(l_linenumber) as lines from orders left join lineitem on l_orderkey = o_orderkey group by 1")
-ask("join_semi", "{o_orderkey where type='orders' and o_custkey in {type='customer' and c_mktsegment='BUILDING'}}", "select o_orderkey from orders where o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING')")
-ask("join_anti", "{o_orderkey where type='orders' and o_custkey not in {type='customer' and c_mktsegment='BUILDING'}}", "select o_orderkey from orders where o_custkey not in (select c_custkey from customer where c_mktsegment = 'BUILDING')")
-ask("join_filterset_value", "{n_name where type='nation' and n_regionkey = {type='region' and r_name='ASIA'}}", "select n_name from nation join region on n_regionkey = r_regionkey where r_name = 'ASIA'")
-ask("join_cross", "{r_name, 'nations': ?n.n_name where type='region' and {?n type='nation'}}", "select r_name, (select string_agg(n_name, '|' order by n_name) from nation) as nations from region", then=joined("nations"))
-ask("join_theta", "{n_name, 'later': ?m.n_name where type='nation' and {?m type='nation'} and n_name < ?m.n_name}", "select a.n_name, string_agg(b.n_name, '|' order by b.n_name) as later from nation a join nation b on a.n_name < b.n_name group by a.n_nationkey, a.n_name", then=joined("later"))
-ask("filterset_exists", "{n_name where type='nation' and {type='region' and r_name='ASIA'}}", "select n_name from nation where exists (select 1 from region where r_name = 'ASIA')")
+ask(
+    "join_nonkey",
+    "{'n': count(*), 'total': sum(?c.c_acctbal) where type='supplier' and s_nationkey = ?c.c_nationkey and {?c "
+    "type='customer'}}",
+    "select count(*) as n, round(sum(c_acctbal), 2) as total from supplier join customer on s_nationkey = "
+    "c_nationkey",
+    then=rounded("total"),
+)
+ask(
+    "join_two_keys",
+    "{'n': count(*) where type='lineitem' and {?m type='lineitem'} and l_orderkey = ?m.l_orderkey and l_linenumber "
+    "= ?m.l_linenumber}",
+    "select count(*) as n from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_linenumber = "
+    "b.l_linenumber",
+)
+ask(
+    "join_left",
+    "{o_orderkey, 'lines': count(?l.l_linenumber) where type='orders' and {?l type='lineitem'} and maybe "
+    "?l.l_orderkey = o_orderkey group by o_orderkey}",
+    "select o_orderkey, count(l_linenumber) as lines from orders left join lineitem on l_orderkey = o_orderkey "
+    "group by 1",
+)
+ask(
+    "join_semi",
+    "{o_orderkey where type='orders' and o_custkey in {type='customer' and c_mktsegment='BUILDING'}}",
+    "select o_orderkey from orders where o_custkey in (select c_custkey from customer where c_mktsegment = "
+    "'BUILDING')",
+)
+ask(
+    "join_anti",
+    "{o_orderkey where type='orders' and o_custkey not in {type='customer' and c_mktsegment='BUILDING'}}",
+    "select o_orderkey from orders where o_custkey not in (select c_custkey from customer where c_mktsegment = "
+    "'BUILDING')",
+)
+ask(
+    "join_filterset_value",
+    "{n_name where type='nation' and n_regionkey = {type='region' and r_name='ASIA'}}",
+    "select n_name from nation join region on n_regionkey = r_regionkey where r_name = 'ASIA'",
+)
+ask(
+    "join_cross",
+    "{r_name, 'nations': ?n.n_name where type='region' and {?n type='nation'}}",
+    "select r_name, (select string_agg(n_name, '|' order by n_name) from nation) as nations from region",
+    then=joined("nations"),
+)
+ask(
+    "join_theta",
+    "{n_name, 'later': ?m.n_name where type='nation' and {?m type='nation'} and n_name < ?m.n_name}",
+    "select a.n_name, string_agg(b.n_name, '|' order by b.n_name) as later from nation a join nation b on a.n_name "
+    "< b.n_name group by a.n_nationkey, a.n_name",
+    then=joined("later"),
+)
+ask(
+    "filterset_exists",
+    "{n_name where type='nation' and {type='region' and r_name='ASIA'}}",
+    "select n_name from nation where exists (select 1 from region where r_name = 'ASIA')",
+)
 ask("filterset_exists_none", "{n_name where type='nation' and {type='region' and r_name='NOWHERE'}}", "select n_name from nation where false")
-ask("computed_join", "{n_name, 'region': ?r.r_name where type='nation' and {?r type='region'} and ?r.r_regionkey = mod(n_nationkey, 5)}", "select n_name, r_name as region from nation join region on r_regionkey = n_nationkey % 5")
+ask(
+    "computed_join",
+    "{n_name, 'region': ?r.r_name where type='nation' and {?r type='region'} and ?r.r_regionkey = mod(n_nationkey, "
+    "5)}",
+    "select n_name, r_name as region from nation join region on r_regionkey = n_nationkey % 5",
+)
 # grouping
 ask("group_count", "{l_returnflag, 'n': count(*) group by l_returnflag}", "select l_returnflag, count(*) as n from lineitem group by 1")
-ask("group_multi_agg", "{l_returnflag, 'n': count(l_quantity), 's': sum(l_quantity), 't': total(l_tax), 'a': avg(l_discount), 'lo': min(l_extendedprice), 'hi': max(l_extendedprice) group by l_returnflag}", "select l_returnflag, count(l_quantity) n, round(sum(l_quantity), 2) s, round(sum(l_tax), 2) t, round(avg(l_discount), 6) a, min(l_extendedprice) lo, max(l_extendedprice) hi from lineitem group by 1", then=lambda df: df.withColumns({"s": F.round("s", 2), "t": F.round("t", 2), "a": F.round("a", 6)}))
-ask("group_list", "{n_regionkey, n_name where type='nation' group by n_regionkey}", "select '@region/' || n_regionkey as n_regionkey, string_agg(n_name, '|' order by n_name) as n_name from nation group by 1", then=joined("n_name"))
-ask("group_expr_agg", "{l_linestatus, 'r': sum(if(l_returnflag = 'R', l_quantity, 0)) - sum(l_tax) group by l_linestatus}", "select l_linestatus, round(sum(case when l_returnflag = 'R' then l_quantity else 0 end) - sum(l_tax), 2) as r from lineitem group by 1", then=rounded("r"))
-ask("agg_global", "[count(*), sum(l_quantity), max(l_tax), avg(l_quantity) where type='lineitem']", "select count(*) c0, round(sum(l_quantity), 2) c1, max(l_tax) c2, round(avg(l_quantity), 6) c3 from lineitem", then=lambda df: df.withColumns({"c1": F.round("c1", 2), "c3": F.round("c3", 6)}))
+ask(
+    "group_multi_agg",
+    "{l_returnflag, 'n': count(l_quantity), 's': sum(l_quantity), 't': total(l_tax), 'a': avg(l_discount), 'lo': "
+    "min(l_extendedprice), 'hi': max(l_extendedprice) group by l_returnflag}",
+    "select l_returnflag, count(l_quantity) n, round(sum(l_quantity), 2) s, round(sum(l_tax), 2) t, "
+    "round(avg(l_discount), 6) a, min(l_extendedprice) lo, max(l_extendedprice) hi from lineitem group by 1",
+    then=lambda df: df.withColumns({"s": F.round("s", 2), "t": F.round("t", 2), "a": F.round("a", 6)}),
+)
+ask(
+    "group_list",
+    "{n_regionkey, n_name where type='nation' group by n_regionkey}",
+    "select '@region/' || n_regionkey as n_regionkey, string_agg(n_name, '|' order by n_name) as n_name from nation "
+    "group by 1",
+    then=joined("n_name"),
+)
+ask(
+    "group_expr_agg",
+    "{l_linestatus, 'r': sum(if(l_returnflag = 'R', l_quantity, 0)) - sum(l_tax) group by l_linestatus}",
+    "select l_linestatus, round(sum(case when l_returnflag = 'R' then l_quantity else 0 end) - sum(l_tax), 2) as r "
+    "from lineitem group by 1",
+    then=rounded("r"),
+)
+ask(
+    "agg_global",
+    "[count(*), sum(l_quantity), max(l_tax), avg(l_quantity) where type='lineitem']",
+    "select count(*) c0, round(sum(l_quantity), 2) c1, max(l_tax) c2, round(avg(l_quantity), 6) c3 from lineitem",
+    then=lambda df: df.withColumns({"c1": F.round("c1", 2), "c3": F.round("c3", 6)}),
+)
 ask("agg_mixed", "{n_name, 'n': count(*) where type='nation'}", "select n_name, (select count(*) from nation) as n from nation")
 # order and paging
-ask("order_asc_desc", "{c_name, c_mktsegment, c_acctbal where type='customer' order by c_mktsegment, c_acctbal desc limit 40}", "select c_name, c_mktsegment, c_acctbal from customer order by c_mktsegment, c_acctbal desc, c_custkey limit 40")
-ask("limit_offset", "{c_name where type='customer' order by c_name limit 10 offset 25}", "select c_name from customer order by c_name, c_custkey limit 10 offset 25")
-ask("order_expression", "{n_name where type='nation' order by mod(n_nationkey, 7) desc, n_name limit 12}", "select n_name from nation order by n_nationkey % 7 desc, n_name limit 12")
+ask(
+    "order_asc_desc",
+    "{c_name, c_mktsegment, c_acctbal where type='customer' order by c_mktsegment, c_acctbal desc limit 40}",
+    "select c_name, c_mktsegment, c_acctbal from customer order by c_mktsegment, c_acctbal desc, c_custkey limit 40",
+)
+ask(
+    "limit_offset",
+    "{c_name where type='customer' order by c_name limit 10 offset 25}",
+    "select c_name from customer order by c_name, c_custkey limit 10 offset 25",
+)
+ask(
+    "order_expression",
+    "{n_name where type='nation' order by mod(n_nationkey, 7) desc, n_name limit 12}",
+    "select n_name from nation order by n_nationkey % 7 desc, n_name limit 12",
+)
 # nesting
-ask("nested_label", "{n_name, 'region': {?r r_name} where n_regionkey = ?r and {?r type='region'}}", "select n_name, r_name as region from nation join region on n_regionkey = r_regionkey", then=lambda df: df.select("n_name", F.col("region.r_name").alias("region")))
-ask("nested_correlated", "{?c c_name, 'orders': [{o_orderkey where type='orders' and o_custkey = ?c}] where type='customer'}", "select c_name, string_agg(o_orderkey, '|' order by o_orderkey) as orders from customer left join orders on o_custkey = c_custkey group by c_custkey, c_name", then=lambda df: df.select("c_name", F.when(F.col("orders").isNotNull(), F.array_join(F.col("orders.o_orderkey").cast("array<string>"), "|")).alias("orders")))
-ask("nested_independent", "{n_name, 'regions': [{r_name where type='region'}] where type='nation'}", "select n_name, (select string_agg(r_name, '|' order by r_name) from region) as regions from nation", then=lambda df: df.select("n_name", F.array_join("regions.r_name", "|").alias("regions")))
-ask("nested_parent", "{n_name, 'more': {n_nationkey, n_regionkey} where type='nation'}", "select n_name, n_nationkey, '@region/' || n_regionkey as n_regionkey from nation", then=lambda df: df.select("n_name", "more.n_nationkey", "more.n_regionkey"))
+ask(
+    "nested_label",
+    "{n_name, 'region': {?r r_name} where n_regionkey = ?r and {?r type='region'}}",
+    "select n_name, r_name as region from nation join region on n_regionkey = r_regionkey",
+    then=lambda df: df.select("n_name", F.col("region.r_name").alias("region")),
+)
+ask(
+    "nested_correlated",
+    "{?c c_name, 'orders': [{o_orderkey where type='orders' and o_custkey = ?c}] where type='customer'}",
+    "select c_name, string_agg(o_orderkey, '|' order by o_orderkey) as orders from customer left join orders on "
+    "o_custkey = c_custkey group by c_custkey, c_name",
+    then=lambda df: df.select("c_name", F.when(F.col("orders").isNotNull(), F.array_join(F.col("orders.o_orderkey").cast("array<string>"), "|")).alias("orders")),
+)
+ask(
+    "nested_independent",
+    "{n_name, 'regions': [{r_name where type='region'}] where type='nation'}",
+    "select n_name, (select string_agg(r_name, '|' order by r_name) from region) as regions from nation",
+    then=lambda df: df.select("n_name", F.array_join("regions.r_name", "|").alias("regions")),
+)
+ask(
+    "nested_parent",
+    "{n_name, 'more': {n_nationkey, n_regionkey} where type='nation'}",
+    "select n_name, n_nationkey, '@region/' || n_regionkey as n_regionkey from nation",
+    then=lambda df: df.select("n_name", "more.n_nationkey", "more.n_regionkey"),
+)
 ask("dynamic_key", "{n_name : n_nationkey where type='nation'}", "select n_name as key, n_nationkey as value from nation")
 ask("mergeall", "{id : n_name where type='nation' MERGEALL}", "select 'nation/' || n_nationkey as key, n_name as value from nation")
-ask("mergeall_dict", "{n_name, n_nationkey where type='nation' order by n_name desc MERGEALL}", "select n_name, n_nationkey from nation order by n_name limit 1")
-ask("mergeall_key", "{n_regionkey : n_name where type='nation' order by n_name MERGEALL}", "select '@region/' || n_regionkey as key, max(n_name) as value from nation group by n_regionkey")
-ask("mergeall_list", "[n_name, upper(n_name) where type='nation' order by n_name limit 5 MERGEALL]", "select string_agg(n_name || '|' || upper(n_name), '|' order by n_name) as value from (select n_name from nation order by n_name limit 5)", then=joined("value"))
-ask("mergeall_omitnull", "{omitnull maybe quality, doc_id where type='documents' order by doc_id MERGEALL}", "select (select arg_max(quality, doc_id) from labels join documents using (doc_id)) as quality, max(doc_id) as doc_id from documents", over=with_documents)
-ask("namemap_parse", "{name, 'where': nation.n_name where type='customer' and bal > 0 namemap = {'name': 'c_name', 'bal': 'c_acctbal', 'nation': 'c_nationkey'}}", "select c_name as name, n_name as where from customer join nation on c_nationkey = n_nationkey where c_acctbal > 0")
-ask("namemap_nested", "{name, 'orders': [{total where type='orders' and o_custkey = ?c and total > 400000}] , key where type='customer' namemap = {'name': 'c_name', 'total': 'o_totalprice', 'key': 'c_custkey'}}".replace("{name", "{?c name"), "select c_name as name, c_custkey as key, count(o_orderkey) as orders from customer left join orders on o_custkey = c_custkey and o_totalprice > 400000 group by all", then=lambda df: df.withColumn("orders", F.coalesce(F.size("orders"), F.lit(0)).cast("long")).withColumn("orders", F.greatest("orders", F.lit(0))))
-ask("scalar_and_or", "[('a' and 'b'), ('' or n_name), (0 or 5), (n_nationkey and n_name), (n_nationkey > 3 and n_nationkey < 9) where type='nation']", "select 'b' c0, n_name c1, 5 c2, case when n_nationkey = 0 then '0' else n_name end c3, n_nationkey > 3 and n_nationkey < 9 c4 from nation", then=lambda df: df.withColumn("c3", F.col("c3").cast("string")))
-ask("depth_renamed", "{o_orderkey, 'cust': o_custkey where type='orders' DEPTH 1}", "select o_orderkey, c_name, '@nation/' || c_nationkey as c_nationkey from orders join customer on o_custkey = c_custkey", then=lambda df: df.select("o_orderkey", "cust.c_name", "cust.c_nationkey"))
-ask("depth_list", "{o_orderkey, [o_custkey] where type='orders' DEPTH 2}", "select o_orderkey, c_name, n_name from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey", then=lambda df: df.select("o_orderkey", F.get("o_custkey", F.lit(0)).alias("c")).select("o_orderkey", "c.c_name", "c.c_nationkey.n_name"))
-ask("for_update", "{n_name, 'region': {?r r_name} where n_regionkey = ?r and {?r type='region'}}", "select 'nation/' || n_nationkey as id, n_name, 'region/' || r_regionkey as rid, r_name from nation join region on n_regionkey = r_regionkey", make=lambda *a: query(*a, for_update=True), then=lambda df: df.select("id", "n_name", F.col("region.id").alias("rid"), "region.r_name"))
-ask("depth_expand", "{o_orderkey, o_custkey where type='orders' DEPTH 2}", "select o_orderkey, c_name, n_name from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey", then=lambda df: df.select("o_orderkey", "o_custkey.c_name", "o_custkey.c_nationkey.n_name"))
+ask(
+    "mergeall_dict",
+    "{n_name, n_nationkey where type='nation' order by n_name desc MERGEALL}",
+    "select n_name, n_nationkey from nation order by n_name limit 1",
+)
+ask(
+    "mergeall_key",
+    "{n_regionkey : n_name where type='nation' order by n_name MERGEALL}",
+    "select '@region/' || n_regionkey as key, max(n_name) as value from nation group by n_regionkey",
+)
+ask(
+    "mergeall_list",
+    "[n_name, upper(n_name) where type='nation' order by n_name limit 5 MERGEALL]",
+    "select string_agg(n_name || '|' || upper(n_name), '|' order by n_name) as value from (select n_name from "
+    "nation order by n_name limit 5)",
+    then=joined("value"),
+)
+ask(
+    "mergeall_omitnull",
+    "{omitnull maybe quality, doc_id where type='documents' order by doc_id MERGEALL}",
+    "select (select arg_max(quality, doc_id) from labels join documents using (doc_id)) as quality, max(doc_id) as "
+    "doc_id from documents",
+    over=with_documents,
+)
+ask(
+    "namemap_parse",
+    "{name, 'where': nation.n_name where type='customer' and bal > 0 namemap = {'name': 'c_name', 'bal': "
+    "'c_acctbal', 'nation': 'c_nationkey'}}",
+    "select c_name as name, n_name as where from customer join nation on c_nationkey = n_nationkey where c_acctbal "
+    "> 0",
+)
+ask(
+    "namemap_nested",
+    "{name, 'orders': [{total where type='orders' and o_custkey = ?c and total > 400000}] , key where type='customer' namemap = {'name': 'c_name', 'total': 'o_totalprice', 'key': 'c_custkey'}}".replace("{name", "{?c name"),
+    "select c_name as name, c_custkey as key, count(o_orderkey) as orders from customer left join orders on "
+    "o_custkey = c_custkey and o_totalprice > 400000 group by all",
+    then=lambda df: df.withColumn("orders", F.coalesce(F.size("orders"), F.lit(0)).cast("long")).withColumn("orders", F.greatest("orders", F.lit(0))),
+)
+ask(
+    "scalar_and_or",
+    "[('a' and 'b'), ('' or n_name), (0 or 5), (n_nationkey and n_name), (n_nationkey > 3 and n_nationkey < 9) "
+    "where type='nation']",
+    "select 'b' c0, n_name c1, 5 c2, case when n_nationkey = 0 then '0' else n_name end c3, n_nationkey > 3 and "
+    "n_nationkey < 9 c4 from nation",
+    then=lambda df: df.withColumn("c3", F.col("c3").cast("string")),
+)
+ask(
+    "depth_renamed",
+    "{o_orderkey, 'cust': o_custkey where type='orders' DEPTH 1}",
+    "select o_orderkey, c_name, '@nation/' || c_nationkey as c_nationkey from orders join customer on o_custkey = "
+    "c_custkey",
+    then=lambda df: df.select("o_orderkey", "cust.c_name", "cust.c_nationkey"),
+)
+ask(
+    "depth_list",
+    "{o_orderkey, [o_custkey] where type='orders' DEPTH 2}",
+    "select o_orderkey, c_name, n_name from orders join customer on o_custkey = c_custkey join nation on "
+    "c_nationkey = n_nationkey",
+    then=lambda df: df.select("o_orderkey", F.get("o_custkey", F.lit(0)).alias("c")).select("o_orderkey", "c.c_name", "c.c_nationkey.n_name"),
+)
+ask(
+    "for_update",
+    "{n_name, 'region': {?r r_name} where n_regionkey = ?r and {?r type='region'}}",
+    "select 'nation/' || n_nationkey as id, n_name, 'region/' || r_regionkey as rid, r_name from nation join region "
+    "on n_regionkey = r_regionkey",
+    make=lambda *a: query(*a, for_update=True),
+    then=lambda df: df.select("id", "n_name", F.col("region.id").alias("rid"), "region.r_name"),
+)
+ask(
+    "depth_expand",
+    "{o_orderkey, o_custkey where type='orders' DEPTH 2}",
+    "select o_orderkey, c_name, n_name from orders join customer on o_custkey = c_custkey join nation on "
+    "c_nationkey = n_nationkey",
+    then=lambda df: df.select("o_orderkey", "o_custkey.c_name", "o_custkey.c_nationkey.n_name"),
+)
 # closure
-ask("follow", "{turn_id, 'up': follow(id, reply_to, true)}", "select a.conv_id || '.' || a.turn as turn_id, string_agg(b.conv_id || '.' || b.turn, '|' order by b.conv_id || '.' || b.turn) as up from conversations a left join conversations b on a.conv_id = b.conv_id and b.turn < a.turn group by a.conv_id, a.turn", then=joined("up"), over=with_turns)
-ask("rfollow", "{turn_id, 'down': rfollow(id, reply_to, true)}", "select a.conv_id || '.' || a.turn as turn_id, string_agg(b.conv_id || '.' || b.turn, '|' order by b.conv_id || '.' || b.turn) as down from conversations a left join conversations b on a.conv_id = b.conv_id and b.turn > a.turn group by a.conv_id, a.turn", then=joined("down"), over=with_turns)
-ask("follow_leaves", "{turn_id, 'top': follow(id, reply_to, true, true)}", "select a.conv_id || '.' || a.turn as turn_id, min(b.conv_id || '.' || b.turn) as top from conversations a left join (select conv_id, min(turn) as turn from conversations group by 1) b on a.conv_id = b.conv_id and b.turn < a.turn group by a.conv_id, a.turn", then=joined("top"), over=with_turns)
-ask("follow_in", "{?p turn_id, 'n': [{?c turn_id where ?c in rfollow(?p, reply_to, true)}] where type='turn'}", "select a.conv_id || '.' || a.turn as turn_id, count(b.turn) as n from conversations a left join conversations b on a.conv_id = b.conv_id and b.turn > a.turn group by a.conv_id, a.turn", then=lambda df: df.select("turn_id", F.coalesce(F.size("n"), F.lit(0)).cast("long").alias("n")).withColumn("n", F.greatest("n", F.lit(0))), over=with_turns)
+ask(
+    "follow",
+    "{turn_id, 'up': follow(id, reply_to, true)}",
+    "select a.conv_id || '.' || a.turn as turn_id, string_agg(b.conv_id || '.' || b.turn, '|' order by b.conv_id || "
+    "'.' || b.turn) as up from conversations a left join conversations b on a.conv_id = b.conv_id and b.turn < "
+    "a.turn group by a.conv_id, a.turn",
+    then=joined("up"),
+    over=with_turns,
+)
+ask(
+    "rfollow",
+    "{turn_id, 'down': rfollow(id, reply_to, true)}",
+    "select a.conv_id || '.' || a.turn as turn_id, string_agg(b.conv_id || '.' || b.turn, '|' order by b.conv_id || "
+    "'.' || b.turn) as down from conversations a left join conversations b on a.conv_id = b.conv_id and b.turn > "
+    "a.turn group by a.conv_id, a.turn",
+    then=joined("down"),
+    over=with_turns,
+)
+ask(
+    "follow_leaves",
+    "{turn_id, 'top': follow(id, reply_to, true, true)}",
+    "select a.conv_id || '.' || a.turn as turn_id, min(b.conv_id || '.' || b.turn) as top from conversations a left "
+    "join (select conv_id, min(turn) as turn from conversations group by 1) b on a.conv_id = b.conv_id and b.turn < "
+    "a.turn group by a.conv_id, a.turn",
+    then=joined("top"),
+    over=with_turns,
+)
+ask(
+    "follow_in",
+    "{?p turn_id, 'n': [{?c turn_id where ?c in rfollow(?p, reply_to, true)}] where type='turn'}",
+    "select a.conv_id || '.' || a.turn as turn_id, count(b.turn) as n from conversations a left join conversations "
+    "b on a.conv_id = b.conv_id and b.turn > a.turn group by a.conv_id, a.turn",
+    then=lambda df: df.select("turn_id", F.coalesce(F.size("n"), F.lit(0)).cast("long").alias("n")).withColumn("n", F.greatest("n", F.lit(0))),
+    over=with_turns,
+)
 FIRST = "(select min(conv_id) as c, min(turn) as t from conversations where conv_id = (select min(conv_id) from conversations))"
-ask("follow_const", "{turn_id where id in rfollow(:start, reply_to)}", f"select conv_id || '.' || turn as turn_id from conversations where conv_id = (select c from {FIRST})", over=with_turns, binds=first_turn)
-ask("follow_const_not", "{turn_id where type='turn' and id not in rfollow(:start, reply_to)}", f"select conv_id || '.' || turn as turn_id from conversations where conv_id <> (select c from {FIRST})", over=with_turns, binds=first_turn)
-ask("ref_in_follow", "{turn_id where :start in follow(id, reply_to, true)}", f"select conv_id || '.' || turn as turn_id from conversations where conv_id = (select c from {FIRST}) and turn > (select t from {FIRST})", over=with_turns, binds=first_turn)
-ask("follow_const_list", "{r_name, 'down': rfollow(:start, reply_to, edgesOnly=true) where type='region'}", f"select r_name, (select max(turn) from conversations where conv_id = (select c from {FIRST})) as down from region", over=lambda spark, sf: with_turns(spark, sf).add(catalog(spark, sf).entities["region"]), then=lambda df: df.select("r_name", F.split(F.get("down", F.lit(0)), r"\.")[1].cast("long").alias("down")), binds=first_turn)
+ask(
+    "follow_const",
+    "{turn_id where id in rfollow(:start, reply_to)}",
+    f"select conv_id || '.' || turn as turn_id from conversations where conv_id = (select c from {FIRST})",
+    over=with_turns,
+    binds=first_turn,
+)
+ask(
+    "follow_const_not",
+    "{turn_id where type='turn' and id not in rfollow(:start, reply_to)}",
+    f"select conv_id || '.' || turn as turn_id from conversations where conv_id <> (select c from {FIRST})",
+    over=with_turns,
+    binds=first_turn,
+)
+ask(
+    "ref_in_follow",
+    "{turn_id where :start in follow(id, reply_to, true)}",
+    f"select conv_id || '.' || turn as turn_id from conversations where conv_id = (select c from {FIRST}) and turn > (select t from {FIRST})",
+    over=with_turns,
+    binds=first_turn,
+)
+ask(
+    "follow_const_list",
+    "{r_name, 'down': rfollow(:start, reply_to, edgesOnly=true) where type='region'}",
+    f"select r_name, (select max(turn) from conversations where conv_id = (select c from {FIRST})) as down from region",
+    over=lambda spark, sf: with_turns(spark, sf).add(catalog(spark, sf).entities["region"]),
+    then=lambda df: df.select("r_name", F.split(F.get("down", F.lit(0)), r"\.")[1].cast("long").alias("down")),
+    binds=first_turn,
+)
 
 
 # functions
-ask("fn_string", "[upper(c_name), lower(c_name), trim(' \\t a '), ltrim('xxab', 'x'), rtrim(c_name, '0123456789') where type='customer']", "select upper(c_name) c0, lower(c_name) c1, 'a' c2, 'ab' c3, rtrim(c_name, '0123456789') c4 from customer")
-ask("fn_number", "[c_acctbal + 1, c_acctbal - 1, c_acctbal * 2, c_acctbal / 2, -c_acctbal, number('junk'), number('12.5') where type='customer']", "select c_acctbal + 1 c0, c_acctbal - 1 c1, c_acctbal * 2 c2, c_acctbal / 2 c3, -c_acctbal c4, 0.0::double c5, 12.5::double c6 from customer")
-ask("fn_mod", "[n_nationkey % 7, -n_nationkey % 7 where type='nation']", "select (n_nationkey % 7)::double c0, (((-n_nationkey) % 7 + 7) % 7)::double c1 from nation")
-ask("fn_if", "[if(c_acctbal < 0, 'debt', 'fine'), if(0, 1, 2), bool('') where type='customer']", "select case when c_acctbal < 0 then 'debt' else 'fine' end c0, 2 c1, false c2 from customer")
-ask("fn_cast", "[string(n_nationkey), number(string(n_nationkey)) where type='nation']", "select n_nationkey::varchar c0, n_nationkey::double c1 from nation")
-ask("fn_isref", "[isref(n_regionkey), isref(n_name), isbnode(id), ref(n_name) where type='nation']", "select true c0, false c1, false c2, '@' || n_name c3 from nation")
+ask(
+    "fn_string",
+    "[upper(c_name), lower(c_name), trim(' \\t a '), ltrim('xxab', 'x'), rtrim(c_name, '0123456789') where "
+    "type='customer']",
+    "select upper(c_name) c0, lower(c_name) c1, 'a' c2, 'ab' c3, rtrim(c_name, '0123456789') c4 from customer",
+)
+ask(
+    "fn_number",
+    "[c_acctbal + 1, c_acctbal - 1, c_acctbal * 2, c_acctbal / 2, -c_acctbal, number('junk'), number('12.5') where "
+    "type='customer']",
+    "select c_acctbal + 1 c0, c_acctbal - 1 c1, c_acctbal * 2 c2, c_acctbal / 2 c3, -c_acctbal c4, 0.0::double c5, "
+    "12.5::double c6 from customer",
+)
+ask(
+    "fn_mod",
+    "[n_nationkey % 7, -n_nationkey % 7 where type='nation']",
+    "select (n_nationkey % 7)::double c0, (((-n_nationkey) % 7 + 7) % 7)::double c1 from nation",
+)
+ask(
+    "fn_if",
+    "[if(c_acctbal < 0, 'debt', 'fine'), if(0, 1, 2), bool('') where type='customer']",
+    "select case when c_acctbal < 0 then 'debt' else 'fine' end c0, 2 c1, false c2 from customer",
+)
+ask(
+    "fn_cast",
+    "[string(n_nationkey), number(string(n_nationkey)) where type='nation']",
+    "select n_nationkey::varchar c0, n_nationkey::double c1 from nation",
+)
+ask(
+    "fn_isref",
+    "[isref(n_regionkey), isref(n_name), isbnode(id), ref(n_name) where type='nation']",
+    "select true c0, false c1, false c2, '@' || n_name c3 from nation",
+)
 
 
 # statement layout
@@ -220,35 +564,213 @@ def values(*cols):
     return lambda df: df.withColumns({c: F.array_join(F.array_sort(F.transform(c, st.text_of)), "|") for c in cols})
 
 
-ask("stmt_star", "{id, name, key where region}", "select 'nation/' || n_nationkey as id, n_name as name, n_nationkey::varchar as key from nation", then=values("name", "key"), over=over_statements)
-ask("stmt_typed_eq", "{id, name where key = 3}", "select 'nation/' || n_nationkey as id, n_name as name from nation where n_nationkey = 3", then=values("name"), over=over_statements)
+ask(
+    "stmt_star",
+    "{id, name, key where region}",
+    "select 'nation/' || n_nationkey as id, n_name as name, n_nationkey::varchar as key from nation",
+    then=values("name", "key"),
+    over=over_statements,
+)
+ask(
+    "stmt_typed_eq",
+    "{id, name where key = 3}",
+    "select 'nation/' || n_nationkey as id, n_name as name from nation where n_nationkey = 3",
+    then=values("name"),
+    over=over_statements,
+)
 ask("stmt_typed_eq_text", "{id, name where key = '3'}", "select 'x' as id, 'x' as name where false", then=values("name"), over=over_statements)
-ask("stmt_ref_eq", "{id, name where region = @region/1}", "select 'nation/' || n_nationkey as id, n_name as name from nation where n_regionkey = 1", then=values("name"), over=over_statements)
-ask("stmt_multivalue", "{id, nations where nations != 3 and nations < 8}", "select 'region/' || n_regionkey as id, string_agg(n_nationkey::varchar, '|' order by n_nationkey::varchar) as nations from nation group by 1 having bool_or(n_nationkey < 8) and bool_or(n_nationkey <> 3)", then=values("nations"), over=over_statements)
-ask("stmt_anti", "{id, name where name and not region}", "select 'region/' || r_regionkey as id, r_name as name from region", then=values("name"), over=over_statements)
-ask("stmt_join", "{id, name, 'of': ?r.name where region = ?r and {?r nations}}", "select 'nation/' || n_nationkey as id, n_name as name, r_name as of from nation join region on n_regionkey = r_regionkey", then=values("name", "of"), over=over_statements)
-ask("stmt_join_values", "{id, 'keys': ?n.name where nations = ?n.key and {?n region}}", "select 'region/' || n_regionkey as id, string_agg(n_name, '|' order by n_name) as keys from nation group by n_regionkey", then=values("keys"), over=over_statements)
-ask("stmt_join_left", "{id, name, 'of': ?r.name where name and maybe region = ?r}", "select 'nation/' || n_nationkey as id, n_name as name, r_name as of from nation join region on n_regionkey = r_regionkey union all select 'region/' || r_regionkey, r_name, '' from region", then=lambda df: values("name", "of")(df).withColumn("of", F.coalesce("of", F.lit(""))), over=over_statements)
-ask("stmt_path", "{id, 'of': region.name}", "select 'nation/' || n_nationkey as id, r_name as of from nation join region on n_regionkey = r_regionkey", then=values("of"), over=over_statements)
-ask("stmt_or", "{id, name where key = 3 or region = @region/1}", "select 'nation/' || n_nationkey as id, n_name as name from nation where n_nationkey = 3 or n_regionkey = 1", then=values("name"), over=over_statements)
-ask("stmt_not", "{id, name where region and not (key < 20 or key = 22)}", "select 'nation/' || n_nationkey as id, n_name as name from nation where n_nationkey >= 20 and n_nationkey <> 22", then=values("name"), over=over_statements)
-ask("stmt_complex", "{id, name where key * 2 > key + 10}", "select 'nation/' || n_nationkey as id, n_name as name from nation where n_nationkey > 10", then=values("name"), over=over_statements)
-ask("stmt_sum", "{name, 's': sum(nations), 'n': count(nations), 'a': avg(nations), 'hi': max(nations) group by name}", "select r_name as name, sum(n_nationkey)::double as s, count(*) as n, avg(n_nationkey)::double as a, max(n_nationkey)::varchar as hi from nation join region on n_regionkey = r_regionkey group by r_name", then=lambda df: values("hi")(df).where("n > 0"), over=over_statements)
-ask("stmt_count", "[count(*), count(nations), sum(nations), total(nations) where nations]", "select count(distinct n_regionkey) c0, count(*) c1, sum(n_nationkey)::double c2, sum(n_nationkey)::double c3 from nation", over=over_statements)
-ask("stmt_functions", "[upper(name), key + 1, if(key > 10, 'high', 'low'), isref(region), -key where region]", "select upper(n_name) c0, (n_nationkey + 1)::varchar || '.0' c1, case when n_nationkey > 10 then 'high' else 'low' end c2, 'true' c3, case when n_nationkey = 0 then '-0.0' else (-n_nationkey)::varchar || '.0' end c4 from nation", then=values("c0", "c1", "c2", "c3", "c4"), over=over_statements)
-ask("list_map", "{id, 'twice': nations * 2}", "select 'region/' || n_regionkey as id, string_agg(t, '|' order by t) as twice from (select n_regionkey, (n_nationkey * 2)::varchar || '.0' as t from nation) group by n_regionkey", then=values("twice"), over=over_statements)
-ask("list_product", "{id, 'sums': nations + nations}", "select 'region/' || a.n_regionkey as id, string_agg(t, '|' order by t) as sums from (select a.n_regionkey, (a.n_nationkey + b.n_nationkey)::varchar || '.0' as t from nation a join nation b using (n_regionkey)) a group by a.n_regionkey", then=values("sums"), over=over_statements)
-ask("stmt_star_all", "{* where region}", """select '{"id":"nation/' || n_nationkey || '","properties":{"key":' || n_nationkey || ',"name":"' || n_name || '","region":"@region/' || n_regionkey || '"}}' as json from nation""", over=over_statements, make=query_json)
-ask("stmt_order", "{id, key where key order by key desc limit 7}", "select 'nation/' || n_nationkey as id, n_nationkey::varchar as key from nation order by n_nationkey desc limit 7", then=values("key"), over=over_statements)
-ask("stmt_semi", "{id, name where region in {name='ASIA'}}", "select 'nation/' || n_nationkey as id, n_name as name from nation join region on n_regionkey = r_regionkey where r_name = 'ASIA'", then=values("name"), over=over_statements)
-ask("stmt_not_semi", "{id, name where region and region not in {name='ASIA'}}", "select 'nation/' || n_nationkey as id, n_name as name from nation join region on n_regionkey = r_regionkey where r_name <> 'ASIA'", then=values("name"), over=over_statements)
-ask("stmt_nested", "{?r id, 'members': [{id, key where region = ?r}] where nations}", "select 'region/' || n_regionkey as id, string_agg('nation/' || n_nationkey, '|' order by 'nation/' || n_nationkey) as members from nation group by n_regionkey", then=lambda df: df.withColumn("members", F.array_join("members.id", "|")), over=over_statements)
-ask("stmt_depth", "{id, region where key < 5 DEPTH 1}", """select 'nation/' || n_nationkey as id, '{"id":"region/' || r_regionkey || '","name":"' || r_name || '","nations":' || ns || '}' as region from nation join region on n_regionkey = r_regionkey
-    join (select n_regionkey as k, '[' || string_agg(n_nationkey::varchar, ',' order by n_nationkey::varchar) || ']' as ns from nation group by 1) on k = r_regionkey where n_nationkey < 5""", over=over_statements)
-ask("stmt_follow", "{id, 'up': follow(id, region, true) where key}", "select 'nation/' || n_nationkey as id, 'region/' || n_regionkey as up from nation", then=joined("up"), over=over_statements)
-ask("txn_id", "{id, 'txn': getTransactionId(name), 'by': getTransactionAuthor(name), 'why': getTransactionComment(name) where key}", "select 'nation/' || n_nationkey as id, 100 + n_nationkey as txn, 'author ' || n_regionkey as by, 'second' as why from nation", over=lambda spark, sf: Catalog(st.entity(nation_statements(spark, sf), log=nation_log(spark, sf))))
-ask("txn_none", "{id, 'txn': getTransactionId(name) where key}", "select 'nation/' || n_nationkey as id, null::varchar as txn from nation", over=over_statements)
-ask("group_multivalue_key", "{nations, 'n': count(*) group by nations}", "select n_nationkey::varchar as nations, count(*) as n from nation group by 1", over=over_statements)
+ask(
+    "stmt_ref_eq",
+    "{id, name where region = @region/1}",
+    "select 'nation/' || n_nationkey as id, n_name as name from nation where n_regionkey = 1",
+    then=values("name"),
+    over=over_statements,
+)
+ask(
+    "stmt_multivalue",
+    "{id, nations where nations != 3 and nations < 8}",
+    "select 'region/' || n_regionkey as id, string_agg(n_nationkey::varchar, '|' order by n_nationkey::varchar) as "
+    "nations from nation group by 1 having bool_or(n_nationkey < 8) and bool_or(n_nationkey <> 3)",
+    then=values("nations"),
+    over=over_statements,
+)
+ask(
+    "stmt_anti",
+    "{id, name where name and not region}",
+    "select 'region/' || r_regionkey as id, r_name as name from region",
+    then=values("name"),
+    over=over_statements,
+)
+ask(
+    "stmt_join",
+    "{id, name, 'of': ?r.name where region = ?r and {?r nations}}",
+    "select 'nation/' || n_nationkey as id, n_name as name, r_name as of from nation join region on n_regionkey = "
+    "r_regionkey",
+    then=values("name", "of"),
+    over=over_statements,
+)
+ask(
+    "stmt_join_values",
+    "{id, 'keys': ?n.name where nations = ?n.key and {?n region}}",
+    "select 'region/' || n_regionkey as id, string_agg(n_name, '|' order by n_name) as keys from nation group by "
+    "n_regionkey",
+    then=values("keys"),
+    over=over_statements,
+)
+ask(
+    "stmt_join_left",
+    "{id, name, 'of': ?r.name where name and maybe region = ?r}",
+    "select 'nation/' || n_nationkey as id, n_name as name, r_name as of from nation join region on n_regionkey = "
+    "r_regionkey union all select 'region/' || r_regionkey, r_name, '' from region",
+    then=lambda df: values("name", "of")(df).withColumn("of", F.coalesce("of", F.lit(""))),
+    over=over_statements,
+)
+ask(
+    "stmt_path",
+    "{id, 'of': region.name}",
+    "select 'nation/' || n_nationkey as id, r_name as of from nation join region on n_regionkey = r_regionkey",
+    then=values("of"),
+    over=over_statements,
+)
+ask(
+    "stmt_or",
+    "{id, name where key = 3 or region = @region/1}",
+    "select 'nation/' || n_nationkey as id, n_name as name from nation where n_nationkey = 3 or n_regionkey = 1",
+    then=values("name"),
+    over=over_statements,
+)
+ask(
+    "stmt_not",
+    "{id, name where region and not (key < 20 or key = 22)}",
+    "select 'nation/' || n_nationkey as id, n_name as name from nation where n_nationkey >= 20 and n_nationkey <> "
+    "22",
+    then=values("name"),
+    over=over_statements,
+)
+ask(
+    "stmt_complex",
+    "{id, name where key * 2 > key + 10}",
+    "select 'nation/' || n_nationkey as id, n_name as name from nation where n_nationkey > 10",
+    then=values("name"),
+    over=over_statements,
+)
+ask(
+    "stmt_sum",
+    "{name, 's': sum(nations), 'n': count(nations), 'a': avg(nations), 'hi': max(nations) group by name}",
+    "select r_name as name, sum(n_nationkey)::double as s, count(*) as n, avg(n_nationkey)::double as a, "
+    "max(n_nationkey)::varchar as hi from nation join region on n_regionkey = r_regionkey group by r_name",
+    then=lambda df: values("hi")(df).where("n > 0"),
+    over=over_statements,
+)
+ask(
+    "stmt_count",
+    "[count(*), count(nations), sum(nations), total(nations) where nations]",
+    "select count(distinct n_regionkey) c0, count(*) c1, sum(n_nationkey)::double c2, sum(n_nationkey)::double c3 "
+    "from nation",
+    over=over_statements,
+)
+ask(
+    "stmt_functions",
+    "[upper(name), key + 1, if(key > 10, 'high', 'low'), isref(region), -key where region]",
+    "select upper(n_name) c0, (n_nationkey + 1)::varchar || '.0' c1, case when n_nationkey > 10 then 'high' else "
+    "'low' end c2, 'true' c3, case when n_nationkey = 0 then '-0.0' else (-n_nationkey)::varchar || '.0' end c4 "
+    "from nation",
+    then=values("c0", "c1", "c2", "c3", "c4"),
+    over=over_statements,
+)
+ask(
+    "list_map",
+    "{id, 'twice': nations * 2}",
+    "select 'region/' || n_regionkey as id, string_agg(t, '|' order by t) as twice from (select n_regionkey, "
+    "(n_nationkey * 2)::varchar || '.0' as t from nation) group by n_regionkey",
+    then=values("twice"),
+    over=over_statements,
+)
+ask(
+    "list_product",
+    "{id, 'sums': nations + nations}",
+    "select 'region/' || a.n_regionkey as id, string_agg(t, '|' order by t) as sums from (select a.n_regionkey, "
+    "(a.n_nationkey + b.n_nationkey)::varchar || '.0' as t from nation a join nation b using (n_regionkey)) a group "
+    "by a.n_regionkey",
+    then=values("sums"),
+    over=over_statements,
+)
+ask(
+    "stmt_star_all",
+    "{* where region}",
+    "select '{\"id\":\"nation/' || n_nationkey || '\",\"properties\":{\"key\":' || n_nationkey || ',\"name\":\"' || n_name || "
+    "'\",\"region\":\"@region/' || n_regionkey || '\"}}' as json from nation",
+    over=over_statements,
+    make=query_json,
+)
+ask(
+    "stmt_order",
+    "{id, key where key order by key desc limit 7}",
+    "select 'nation/' || n_nationkey as id, n_nationkey::varchar as key from nation order by n_nationkey desc limit "
+    "7",
+    then=values("key"),
+    over=over_statements,
+)
+ask(
+    "stmt_semi",
+    "{id, name where region in {name='ASIA'}}",
+    "select 'nation/' || n_nationkey as id, n_name as name from nation join region on n_regionkey = r_regionkey "
+    "where r_name = 'ASIA'",
+    then=values("name"),
+    over=over_statements,
+)
+ask(
+    "stmt_not_semi",
+    "{id, name where region and region not in {name='ASIA'}}",
+    "select 'nation/' || n_nationkey as id, n_name as name from nation join region on n_regionkey = r_regionkey "
+    "where r_name <> 'ASIA'",
+    then=values("name"),
+    over=over_statements,
+)
+ask(
+    "stmt_nested",
+    "{?r id, 'members': [{id, key where region = ?r}] where nations}",
+    "select 'region/' || n_regionkey as id, string_agg('nation/' || n_nationkey, '|' order by 'nation/' || "
+    "n_nationkey) as members from nation group by n_regionkey",
+    then=lambda df: df.withColumn("members", F.array_join("members.id", "|")),
+    over=over_statements,
+)
+ask(
+    "stmt_depth",
+    "{id, region where key < 5 DEPTH 1}",
+    "select 'nation/' || n_nationkey as id, '{\"id\":\"region/' || r_regionkey || '\",\"name\":\"' || r_name || "
+    "'\",\"nations\":' || ns || '}' as region from nation join region on n_regionkey = r_regionkey join (select "
+    "n_regionkey as k, '[' || string_agg(n_nationkey::varchar, ',' order by n_nationkey::varchar) || ']' as ns from "
+    "nation group by 1) on k = r_regionkey where n_nationkey < 5",
+    over=over_statements,
+)
+ask(
+    "stmt_follow",
+    "{id, 'up': follow(id, region, true) where key}",
+    "select 'nation/' || n_nationkey as id, 'region/' || n_regionkey as up from nation",
+    then=joined("up"),
+    over=over_statements,
+)
+ask(
+    "txn_id",
+    "{id, 'txn': getTransactionId(name), 'by': getTransactionAuthor(name), 'why': getTransactionComment(name) where "
+    "key}",
+    "select 'nation/' || n_nationkey as id, 100 + n_nationkey as txn, 'author ' || n_regionkey as by, 'second' as "
+    "why from nation",
+    over=lambda spark, sf: Catalog(st.entity(nation_statements(spark, sf), log=nation_log(spark, sf))),
+)
+ask(
+    "txn_none",
+    "{id, 'txn': getTransactionId(name) where key}",
+    "select 'nation/' || n_nationkey as id, null::varchar as txn from nation",
+    over=over_statements,
+)
+ask(
+    "group_multivalue_key",
+    "{nations, 'n': count(*) group by nations}",
+    "select n_nationkey::varchar as nations, count(*) as n from nation group by 1",
+    over=over_statements,
+)
 SQL["stmt_multivalue"] = "select 'region/' || n_regionkey as id, string_agg(n_nationkey::varchar, '|' order by n_nationkey::varchar) as nations from nation group by n_regionkey having bool_or(n_nationkey < 8) and bool_or(n_nationkey <> 3)"
 
 
