@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.closure import closure
+from ..sources.tables import stored
+
 CHANGE = "origin string, revision long, baserevision long, op string, subject string, predicate string, object string, objecttype string"
 
 
@@ -31,13 +34,16 @@ class Feed:
         return self._read("seen").drop("batch").dropDuplicates().join(self.log().select("origin", "revision").distinct(), ["origin", "revision"], "left_anti")
 
     def merge(self, batch: DataFrame, batch_id: int) -> None:
+        """Applies the batch's changesets, and those pending, that a chain of revisions leads to from what is applied."""
         batch.withColumn("batch", F.lit(batch_id).cast("long")).write.mode("append").parquet(f"{self.folder}/seen")
-        while True:
-            done = self.log().select("origin", "revision").distinct()
-            ready = self.pending().join(done.select("origin", F.col("revision").alias("baserevision")), ["origin", "baserevision"], "left_semi").unionByName(self.pending().where("baserevision = 0"))
-            if ready.isEmpty():
-                return
-            ready.withColumn("batch", F.lit(batch_id).cast("long")).write.mode("append").parquet(f"{self.folder}/log")
+        name = lambda revision: F.concat_ws("@", F.col(revision).cast("string"), "origin")
+        pending = stored(self.pending())
+        edges = pending.select(name("baserevision").alias("src"), name("revision").alias("dst"), F.col("baserevision").alias("base")).distinct()
+        done = self.log().select(name("revision").alias("start"))
+        seeds = edges.where("base = 0").select(F.col("src").alias("start")).union(edges.select(F.col("src").alias("start")).join(done, "start", "left_semi"))
+        found = closure(edges, seeds.distinct(), exclude_initial=True).select(F.col("node").alias("name")).distinct()
+        ready = pending.withColumn("name", name("revision")).join(found, "name", "left_semi").drop("name")
+        ready.withColumn("batch", F.lit(batch_id).cast("long")).write.mode("append").parquet(f"{self.folder}/log")
 
     def start(self, source: str, checkpoint: str):
         """A streaming query over JSON changeset files in source."""
