@@ -537,6 +537,33 @@ ask(
 )
 
 
+# grammar
+ask("quoted_names", "{<n_name>, 'k': <n_nationkey> where <n_nationkey> < 5}", "select n_name, n_nationkey as k from nation where n_nationkey < 5")
+ask(
+    "comments_precedence",
+    "{n_name /* names */ WHERE n_nationkey < 5 // few\n Or n_regionkey = @region/1 AND n_nationkey > 20 # of one region\n}",
+    "select n_name from nation where n_nationkey < 5 or (n_regionkey = 1 and n_nationkey > 20)",
+)
+ask(
+    "nested_star",
+    "{n_name, 'all': * where type='nation'}",
+    "select n_name, n_nationkey, '@region/' || n_regionkey as n_regionkey from nation",
+    then=lambda df: df.select("n_name", "all.n_nationkey", "all.n_regionkey"),
+)
+ask(
+    "not_not_prop",
+    "{doc_id where type='documents' and not not quality}",
+    "select doc_id from documents join labels using (doc_id) where quality is not null",
+    over=with_documents,
+)
+ask(
+    "group_expr_list",
+    "{n_regionkey, 'twice': n_nationkey * 2 where type='nation' group by n_regionkey}",
+    "select '@region/' || n_regionkey as n_regionkey, string_agg(n_nationkey * 2 || '.0', '|' order by n_nationkey) as twice from nation group by 1",
+    then=joined("twice"),
+)
+
+
 # statement layout
 
 
@@ -985,6 +1012,25 @@ def store_history(spark, sf):
     return s.log().where("op = 'add'").select("subject", "object", F.col("rev").cast("int").alias("rev"), "author")
 
 
+@plain("crud_create", f"with {MELT} select * from melt union all select 'copy/' || subject, predicate, object, objecttype from melt where subject like 'region/%'")
+def crud_create(spark, sf):
+    s = nation_statements(spark, sf)
+    return store.create(s, s.where("subject like 'region/%'").withColumn("subject", F.concat(F.lit("copy/"), "subject"))).select(*st.VALUE)
+
+
+@plain("merge_fast_forward", "select 'user/' || user_id as subject, max(event_id) as rev from events where event_id <= 500 group by 1 union all select 'new/' || user_id, max(event_id) + 500 - 599 from events where event_id between 600 and 700 group by 1")
+def merge_fast_forward(spark, sf):
+    """A branch's changes, made on revision 500 on other subjects, follow the log's."""
+    log = changes(spark, sf).drop("ts").where("rev <= 500")
+    branch = changes(spark, sf).drop("ts").where("rev between 600 and 700").withColumn("subject", F.regexp_replace("subject", "user", "new"))
+    return store.merge(log, branch, 500).groupBy("subject").agg(F.max("rev").alias("rev"))
+
+
+@plain("revisions", "select 'user/' || user_id as subject, count(*) as n from events group by 1")
+def revisions(spark, sf):
+    return store.revisions(changes(spark, sf)).select("subject", F.size("revs").cast("long").alias("n"))
+
+
 @plain("crud_update_all", f"with {MELT} select subject, predicate, case when predicate = 'name' and subject like 'nation/%' then 'N:' || object else object end as object, objecttype from melt where subject <> 'region/1'")
 def crud_update_all(spark, sf):
     s = nation_statements(spark, sf)
