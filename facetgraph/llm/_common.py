@@ -58,11 +58,9 @@ def stored_in_small_batches(df: DataFrame, name: str, rows: int = 256) -> DataFr
 def release() -> None:
     """Gives memory that a task has freed back to the machine, as the worker process lives on."""
     import ctypes
-    import gc
 
     import pyarrow as pa
 
-    gc.collect()
     pa.default_memory_pool().release_unused()
     with suppress(OSError, AttributeError):  # not every C library has it
         ctypes.CDLL(None).malloc_trim(0)
