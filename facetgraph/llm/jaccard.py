@@ -112,8 +112,8 @@ def plausible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return mapped(pairs.join(side("a"), "a").join(side("b"), "b"), run, "a long, b long").distinct()
 
 
-def profiles(df: DataFrame, id_col: str, text: str, common: np.ndarray, count: np.ndarray, k: int, percent: int) -> DataFrame:
-    """doc, n, digest (of the set), gkey (of prefix and size), map (of parities), prefix."""
+def profiles(df: DataFrame, id_col: str, text: str, common: np.ndarray, count: np.ndarray, k: int, percent: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc, n, digest (of the set), gkey (of prefix and size), map (of parities), prefix, and the columns ``keep``."""
 
     def run(batches):
         import pyarrow as pa
@@ -128,10 +128,12 @@ def profiles(df: DataFrame, id_col: str, text: str, common: np.ndarray, count: n
                 rows["map"].append(parity(x))
                 rows["prefix"].append(p.view(np.int64))
             some = {x: pa.array(rows[x], pa.binary()) for x in ("digest", "gkey", "map")}
-            yield pa.RecordBatch.from_pydict({"doc": b.column(0), "n": pa.array(rows["n"], pa.int64()), **some, "prefix": pa.array(rows["prefix"], pa.list_(pa.int64()))})
+            kept = {f"k{i}": b.column(2 + i) for i in range(len(keep))}
+            yield pa.RecordBatch.from_pydict({"doc": b.column(0), "n": pa.array(rows["n"], pa.int64()), **some, "prefix": pa.array(rows["prefix"], pa.list_(pa.int64())), **kept})
 
-    texts = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text"))
-    return mapped(texts, run, "doc long, n long, digest binary, gkey binary, map binary, prefix array<long>")
+    texts = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
+    kinds = "".join(f", k{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
+    return mapped(texts, run, "doc long, n long, digest binary, gkey binary, map binary, prefix array<long>" + kinds)
 
 
 def whole_sets(df: DataFrame, id_col: str, text: str, ids: DataFrame, k: int) -> DataFrame:
@@ -231,11 +233,13 @@ def bridges(lists: DataFrame, members: DataFrame, inner: DataFrame, part: DataFr
     return pairs.select(*ordered_pair("a", "b")).distinct()
 
 
-def join(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
-    """id, n_shingles, class_id (the smallest id with an equal set), links_seen, component_id of each row."""
+def join(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = K, percent: int = PERCENT, keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, n_shingles, class_id (the smallest id with an equal set), links_seen, component_id of each row, the columns ``keep``,
+    and group_id, a number of the row's component (an id with different texts may be the smallest of several), null without
+    shingles."""
     c = F.col
     common, count = frequent(df, text, k)
-    p = stored(profiles(df, id_col, text, common, count, k, percent), "profiles")
+    p = stored(profiles(df, id_col, text, common, count, k, percent, keep), "profiles")
     some = p.where("n > 0 and doc is not null")
     # a vertex v per distinct set: its number in the written table
     reps = some.groupBy("digest").agg(F.min("doc").alias("doc"), F.first("gkey").alias("gkey"), F.first("n").alias("n"), F.first("map").alias("map"))
@@ -264,17 +268,23 @@ def join(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = K,
         links = stored(links.union(linked(pairs)), "links")
     comp = components(links)
     least = comp.join(reps.select("v", "doc"), "v").groupBy("component").agg(F.min("doc").alias("component_id"))
-    comp = comp.join(least, "component").select("v", "component_id")
+    comp = comp.join(least, "component").select("v", "component_id", "component")
     degree = links.select(c("a").alias("v")).union(links.select(c("b").alias("v"))).groupBy("v").agg(F.count("*").alias("links_seen"))
     cls = reps.select("digest", "v", c("doc").alias("class_id")).join(comp, "v", "left").join(degree, "v", "left")
-    cls = cls.select("digest", "class_id", F.coalesce("component_id", "class_id").alias("component_id"), F.coalesce("links_seen", F.lit(0)).alias("links_seen"))
-    rows = salted_left_join(p.select("doc", "n", F.when((c("n") > 0) & c("doc").isNotNull(), c("digest")).alias("digest")), cls, "digest", "doc")
+    group = F.coalesce("component", "v").alias("group_id")
+    cls = cls.select("digest", "class_id", F.coalesce("component_id", "class_id").alias("component_id"), F.coalesce("links_seen", F.lit(0)).alias("links_seen"), group)
+    kept = [c(f"k{i}").alias(x) for i, x in enumerate(keep)]
+    rows = p.select("doc", "n", F.when((c("n") > 0) & c("doc").isNotNull(), c("digest")).alias("digest"), *[f"k{i}" for i in range(len(keep))])
+    rows = salted_left_join(rows, cls, "digest", "doc")
     # rows without shingles, but with the id of a row that has some, keep that id as a component of their own
     seen = F.coalesce("links_seen", F.lit(0)).cast("long").alias("links_seen")
     ids = [F.coalesce(x, "doc").alias(x) for x in ("class_id", "component_id")]
-    return rows.select(c("doc").alias(id_col), c("n").alias("n_shingles"), ids[0], seen, ids[1])
+    return rows.select(c("doc").alias(id_col), c("n").alias("n_shingles"), ids[0], seen, ids[1], "group_id", *kept)
 
 
-def survivors(joined: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Of each component the smallest id."""
-    return joined.where(F.col(id_col) == F.col("component_id")).select(id_col)
+def survivors(joined: DataFrame, row: str, id_col: str = "doc_id") -> DataFrame:
+    """``row`` (a column of join()'s ``keep``) of one row of each component, the first of its smallest id, and of all rows
+    that link with nothing: those without an id or without words."""
+    linked = joined.where(F.col("group_id").isNotNull())
+    first = linked.where(F.col(id_col) == F.col("component_id")).groupBy("group_id").agg(F.min(row).alias(row))
+    return first.select(row).unionByName(joined.where(F.col("group_id").isNull()).select(row))
