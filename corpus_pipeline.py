@@ -1,14 +1,14 @@
 """From raw documents to packed training sequences: five stages, each one operator of facetgraph.llm.
 
 1. quality: ordinal grades; documents unlikely to be good go.
-2. dedup: n-gram Jaccard join; of each group of near copies the smallest id stays.
+2. dedup: n-gram Jaccard join; of each group of near copies one row of the smallest id stays.
 3. secrets: live-looking credentials are masked; every row stays.
 4. mix: sources are sampled to target weights; a row for each copy that the mix takes.
 5. pack: sequences of at most 4096 tokens; a row per piece.
 
 Stages 1 to 4 return the columns of documents. Labels come from the folder's labels table. Texts that are null or
-empty pass stages as each operator defines. Rows of one id are one document: in stage 2 all its texts stay or none, equal
-ones once. Rows of a null id are documents each, which stages 1 and 2 judge alone.
+empty pass stages as each operator defines. Rows are judged by their own texts, whatever ids they share; rows of a null id
+are documents each, which link with nothing in stage 2.
 """
 
 from __future__ import annotations
@@ -32,21 +32,6 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.where(F.col("p1") >= queries.KEEP).select(docs.columns)
 
 
-def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard.join(docs, k=WORDS, percent=PERCENT)
-    kept = jaccard.survivors(found).distinct()
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    # equal rows of an id once, with the least of what else they hold
-    stays = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("_rest"))
-    stays = stays.select("doc_id", "text", *[F.col(f"_rest.`{c}`").alias(c) for c in rest]).select(docs.columns)
-    # a row of a null id links with nothing and stays
-    return stays.unionByName(docs.where(F.col("doc_id").isNull()))
-
-
-def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return secrets.mask_secrets(docs)
-
-
 def numbered(docs: DataFrame) -> DataFrame:
     """docs with ``_at``, a row's place in the files that hold it; docs that are no files are written first."""
     place = F.struct("_metadata.file_path", "_metadata.row_index").alias("_at")
@@ -56,6 +41,17 @@ def numbered(docs: DataFrame) -> DataFrame:
         return stored(docs, "docs").select(*docs.columns, place)
 
 
+def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    whole = numbered(docs)
+    found = jaccard.join(whole, k=WORDS, percent=PERCENT, keep=("_at",))
+    kept = stored(jaccard.survivors(found, "_at"), "kept")
+    return whole.join(kept.hint("merge"), "_at", "left_semi").select(docs.columns)
+
+
+def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.mask_secrets(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # rows are mixed by their places, so that those of a null id stay what was counted and texts pass one shuffle
     whole = numbered(docs)
