@@ -10,7 +10,7 @@ once few are. The survivors' scores are computed anew from the original vectors
 Lists are joined into groups of at most about CELL vectors and split where they hold more; a task scans one group for
 one block of queries and returns k of each query, and these are merged. Vectors travel once for each block of
 queries that looks into their group. Equal vectors of a task are scanned as one. A query looks into a share ``probes``
-of the lists, 8 at least, and into as many as hold k other vectors. Ties go to the smaller id.
+of the lists, 8 at least, and into as many as hold HELD vectors (k others, if that is more). Ties go to the smaller id.
 
 Vectors of over LONG times the median norm would leave the others' distances without digits: they form a list of their
 own, of which every query computes the inner products.
@@ -38,6 +38,8 @@ BLOCK = 16
 #: by the factor (1 + EPSILON / sqrt(dimensions seen))^2.
 EPSILON = 2.1
 PROBES = 0.65
+#: Vectors that a query is compared with, at least.
+HELD = 2048
 #: Lists, at most: what the sample can tell apart. Larger lists are split over tasks.
 MOST_LISTS = SAMPLE // 8
 LONG = 1024.0
@@ -178,7 +180,7 @@ class Index:
         order = np.argsort(self.norms - 2 * q @ self.centres.T, axis=1, kind="stable")
         held = self.sizes[n] + self.sizes[order].cumsum(axis=1)
         least = min(n, max(8, round(n * self.share)))
-        most = np.maximum(least, (held < self.k + 1).sum(axis=1) + 1)
+        most = np.maximum(least, (held < max(self.k + 1, HELD)).sum(axis=1) + 1)
         out = np.zeros((len(q), n + 1), dtype=bool)
         np.put_along_axis(out, order, np.arange(n) < most[:, None], axis=1)
         out[:, n] = True
