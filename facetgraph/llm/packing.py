@@ -19,7 +19,8 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
-from collections import deque
+from array import array
+from collections import ChainMap, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,37 +56,54 @@ class Tokens:
         self.known: dict[str, bytes] = {}
 
     def _encoded(self, words: list[str]) -> dict[str, bytes]:
-        return {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(words, self.tok.encode_batch_fast(words, add_special_tokens=False), strict=True)}
+        made = self.tok.encode_batch_fast(words, add_special_tokens=False)
+        return {w: array("I", e.ids).tobytes() for w, e in zip(words, made, strict=True)}
 
     def _learn(self, words: set[str]) -> dict[str, bytes]:
         """Bytes of ids of words, kept in ``known`` while there is room."""
-        parts = {}
+        known, parts, need = self.known, [], set()
         for w in words:
             core = w.rstrip(_MARKS)
-            low = core.lower() if core.isascii() else unicodedata.normalize("NFC", core).lower()
-            parts[w] = (low if core.isascii() else core, w[len(core) :]) if low.isalpha() else (w, "")
-        need = {x for p in parts.values() for x in p if x} - self.known.keys()
+            if core.isascii():
+                core, n = core.lower(), len(core)
+                plain = core.isalpha()
+            else:
+                plain, n = unicodedata.normalize("NFC", core).lower().isalpha(), len(core)
+            tail = w[n:]
+            if not plain:
+                core, tail = w, ""
+            parts.append((w, core, tail))
+            if core not in known:
+                need.add(core)
+            if tail and tail not in known:
+                need.add(tail)
         new = self._encoded(list(need))
-        get = lambda x: (new.get(x) or self.known.get(x) or b"") if x else b""
-        out = {w: get(a) + get(b) for w, (a, b) in parts.items()}
-        if len(self.known) < self.remember:
-            self.known.update(new)
-            self.known.update(out)
+        both = ChainMap(new, known) if len(known) >= self.remember else known
+        if both is known:
+            known.update(new)
+        out = {w: both[core] + both[tail] if tail else both[core] for w, core, tail in parts}
+        if both is known:
+            known.update(out)
         return out
 
     def of(self, texts: list[str], chunk: int = 1024) -> Iterator[np.ndarray]:
-        find = self.known.get
+        known = self.known
         for at in range(0, len(texts), chunk):
             split = [None if any(c in t for c in _APART) else t.split() for t in texts[at : at + chunk]]
-            found = [list(map(find, words or ())) for words in split]
-            new = {w for words, ids in zip(split, found, strict=True) if None in ids for w, x in zip(words, ids, strict=True) if x is None}
+            found = [list(map(known.get, words or ())) for words in split]
+            new: set[str] = set()
+            for words, ids in zip(split, found, strict=True):
+                if None in ids:
+                    new.update(set(words).difference(known))
             extra = self._learn(new) if new else {}
             for text, words, ids in zip(texts[at : at + chunk], split, found, strict=True):
                 if words is None:
                     yield np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4")
                     continue
                 if None in ids:
-                    ids = [extra[w] if x is None else x for w, x in zip(words, ids, strict=True)]
+                    ids = list(map(known.get, words))
+                    if None in ids:  # there was no room
+                        ids = [extra[w] if x is None else x for w, x in zip(words, ids, strict=True)]
                 yield np.frombuffer(b"".join(ids), dtype="<u4")
 
 
