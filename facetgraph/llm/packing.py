@@ -91,22 +91,29 @@ class Tokens:
         for at in range(0, len(texts), chunk):
             split = [None if any(c in t for c in _APART) else t.split() for t in texts[at : at + chunk]]
             found = [list(map(known.get, words or ())) for words in split]
-            new: set[str] = set()
-            for words, ids in zip(split, found, strict=True):
-                if None in ids:
-                    new.update(set(words).difference(known))
+            holes = [_holes(ids) for ids in found]
+            new = {words[i] for words, at_ in zip(split, holes, strict=True) for i in at_}
             extra = self._learn(new) if new else {}
-            for text, words, ids in zip(texts[at : at + chunk], split, found, strict=True):
+            for text, words, ids, at_ in zip(texts[at : at + chunk], split, found, holes, strict=True):
                 if words is None:
                     yield np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4")
                     continue
-                if None in ids:
-                    ids = list(map(known.get, words))
-                    if None in ids:  # there was no room
-                        ids = [extra[w] if x is None else x for w, x in zip(words, ids, strict=True)]
+                for i in at_:
+                    ids[i] = extra[words[i]]
                 yield np.frombuffer(b"".join(ids), dtype="<u4")
 
 
+def _holes(ids: list) -> list[int]:
+    """The places of None."""
+    out, i = [], -1
+    try:
+        while True:
+            i = ids.index(None, i + 1)
+            out.append(i)
+    except ValueError:
+        return out
+
+
 #: One per worker process and file: tasks that follow find the words there.
 _TOKENS: dict[str, Tokens] = {}
 
