@@ -5,20 +5,26 @@ subsequences of at least T tokens into compact windows (l, c, r): every subseque
 [c, r] has its least hash at c. There are about 2 n / T of them. Passages of likeness J have their least hash at the same
 token with probability J, exact repeats always; ``FUNCTIONS`` functions are tried.
 
-A window's signatures are its least token with the SIDE tokens behind it, and with those before it. Two passages of T
-tokens and likeness 0.8 differ by an edit for 45 tokens at most, so around most of their shared tokens they are equal for 20
-tokens, and one of the two sides is; a frequent short phrase doesn't make a signature. Windows that share a signature
-are compared with the one of the smallest document, its representative. The windows of all functions that put two
-documents on nearby diagonals are joined as intervals, and each place that isn't inside a verified passage is
-verified on tokens: an equal run of T tokens is a repeat; else the segments reach as far as tokens are found on the other
-side, with few between that aren't, and must have T tokens and Jaccard likeness of 0.8 or more.
-
-Occurrences that fail against their representative are grouped anew: by each equal passage of T tokens around them, so that
-what two documents share without an edit is always found; and by more of the tokens on either side than they share with
-the representative, in STEPS. Each group has a representative of its own, and no place goes through a step of a side twice,
-so that a few rounds leave no group of two documents. So nothing is paired within a group, and no group has to meet in
-one task. Edited repeats that no representative is alike to may be missed if they end before the next step, at each of
-their signatures.
+A passage of likeness 0.8 has an edit for 45 tokens at most, so two such passages are equal for ``RUN`` tokens somewhere. The
+least of every WIDTH tokens, by the hash of the SIDE tokens behind it and its own, is the least token of a compact window of
+that length; that hash is its signature. So two texts share a signature at each place where they are equal for RUN tokens,
+whatever the hash function. Tokens here and below are words' shingles; passages whose own tokens repeat may be alike with
+shorter equal runs.
+
+Places of a signature are compared in three rounds:
+
+* with the one of the smallest document, the signature's representative. Hits that put two documents on nearby diagonals are
+  joined as intervals, and each place that isn't inside a verified passage is verified on tokens: an equal run of T tokens is a
+  repeat; else the segments reach as far as tokens are found on the other side, with few between that aren't, and must have T
+  tokens and Jaccard likeness of 0.8 or more;
+* places that aren't copies of their representative, an equal run of T tokens, alike to it or not: with the representative of
+  equal passages of T tokens around them. This only makes copies of most that are some;
+* places that are no copies still: all of a signature with each other.
+
+So copies are members of a representative's class, by a row each, and all other places of a signature are compared in pairs.
+What is left out: a copy meets places that are none only through its representative. If such a place is alike to it by tokens
+beyond their copied run, that pair has a row only if they share another signature there. The pairs of the last round grow
+with the square of a signature's places that are no copies.
 
 Equal texts are grouped first and reported with the smallest id.
 
@@ -30,7 +36,6 @@ repeat an id count once, with the least of their texts; rows of a null id take n
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,13 +44,18 @@ from ._common import WORD, bitmap, in_bitmap, mapped, mixed, shingles, sliced, s
 K = 5
 #: Tokens of a passage, at least: 50 words.
 T = 46
-FUNCTIONS = 3
 LIKE = 0.8
-#: Tokens beside the least one in a signature. Tokens overlap by K - 1 words, so every K-th one tells them all.
+#: Tokens behind the least one in a signature, and places of which one is the least. Tokens overlap by K - 1 words, so every
+#: K-th one tells them all.
 SIDE = 10
+WIDTH = 11
+#: Tokens that two passages must be equal for to share a signature.
+RUN = WIDTH + SIDE
 MAP_BITS = 24
-#: Tokens on a side, with the least one, that groups share which open places are compared in again.
-STEPS = tuple(range(SIDE + 9, T, 8))
+#: Equal tokens that places share which meet a representative, by round.
+STEPS = (SIDE + 1, T)
+#: Tokens around a place that are compared, on either side; those within half a passage join places to islands.
+AROUND = T + T // 2
 #: Diagonals that an edit within a passage may lie apart.
 SHIFT = 16
 
@@ -80,27 +90,23 @@ def windows(v: np.ndarray, t: int = T, starts: np.ndarray | None = None) -> np.n
     return np.concatenate(out) if out else np.zeros((0, 3), dtype=np.int64)
 
 
-def anchors(texts: list[np.ndarray], t: int = T, functions: int = FUNCTIONS) -> tuple[np.ndarray, ...]:
-    """(text, signature, c, tokens before and after c that its windows hold) of the tokens of several texts: for each place that
-    is the least of a window, the widest such window and a row per side."""
-    sizes = np.array([len(x) for x in texts], dtype=np.int64)
-    tokens, starts = np.concatenate([*texts, np.zeros(0, np.uint64)]), np.cumsum(sizes) - sizes
-    w = np.concatenate([windows(mixed(tokens ^ np.uint64(0xA5A5_0001 + f)), t, starts) for f in range(functions)])
-    w = w[np.argsort(w[:, 1], kind="stable")]
-    c, first = np.unique(w[:, 1], return_index=True)
-    if not len(c):
-        return (np.zeros(0, np.int64),) * 5
-    before = c - np.minimum.reduceat(w[:, 0], first)
-    after = np.maximum.reduceat(w[:, 2], first) - c
+def runs(tokens: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of n tokens, by their place; of the tokens' upper 32 bits, or of 32-bit tokens."""
+    x = tokens >> np.uint64(32) if tokens.dtype == np.uint64 else tokens.astype(np.uint64)
+    h = np.full(max(0, len(x) - n + 1), n, dtype=np.uint64)
+    for i in sorted({*range(0, n, K), n - 1}):
+        h = mixed(h + x[i : i + len(h)])
+    return h
+
+
+def anchors(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, signature, place) of several texts' tokens: those that are the least of WIDTH places by their signature."""
+    h = [runs(x, SIDE + 1) for x in texts]
+    sizes = np.array([len(x) for x in h], dtype=np.int64)
+    v, starts = np.concatenate([*h, np.zeros(0, np.uint64)]), np.cumsum(sizes) - sizes
+    c = np.unique(windows(v, WIDTH, starts)[:, 1])
     text = np.searchsorted(starts, c, "right") - 1
-    at = c - starts[text]
-    rows = []
-    for side, fits in ((1, at + SIDE < sizes[text]), (-1, at >= SIDE)):
-        p, h = c[fits], np.full(int(fits.sum()), side + 1, dtype=np.uint64)
-        for i in range(0, SIDE + 1, K):
-            h = mixed(h + tokens[p + side * i])
-        rows.append((text[fits], h.view(np.int64), at[fits], before[fits], after[fits]))
-    return tuple(np.concatenate(x) for x in zip(*rows, strict=True))
+    return text, v[c].view(np.int64), c - starts[text]
 
 
 def grown(hit: np.ndarray, c: int) -> tuple[int, int]:
@@ -159,33 +165,30 @@ def _alike(x: np.ndarray, cx: int, y: np.ndarray, cy: int, t: int, like: float,
     return None
 
 
-def islands(hits: list[tuple]) -> list[list[tuple]]:
-    """hits (c, oc, l, r, ol, or, ..) of a pair of documents in groups: those whose windows, on diagonals no more than SHIFT
-    apart, overlap in a chain. Of the groups near a diagonal the last one is looked at."""
+def islands(hits: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """hits (c, oc) of a pair of documents in groups: those within T tokens, on diagonals no more than SHIFT apart, in a chain. Of
+    the groups near a diagonal the last one is looked at."""
     out: list[list] = []
     last: dict[int, list] = {}
-    for h in sorted(hits, key=lambda h: h[0] - max(h[2], h[4])):
-        lo, hi, d = h[0] - max(h[2], h[4]), h[0] + max(h[3], h[5]), h[0] - h[1]
+    for c, oc in sorted(hits):
+        d = c - oc
         at = d // SHIFT
         near = (last.get(k) for k in (at, at - 1, at + 1))
-        g = next((g for g in near if g and g[0] >= lo and abs(g[1] - d) <= SHIFT), None)
+        g = next((g for g in near if g and c - g[0] <= T and abs(g[1] - d) <= SHIFT), None)
         if g is None:
-            g = [hi, d, []]
+            g = [c, d, []]
             out.append(g)
-        g[0], g[1] = max(g[0], hi), d
-        g[2].append(h)
+        g[0], g[1] = c, d
+        g[2].append((c, oc))
         last[at] = g
-    return [sorted(g[2]) for g in out]
+    return [g[2] for g in out]
 
 
-def compared(x: np.ndarray, x0: int, y: np.ndarray, y0: int, hits: list[tuple], t: int = T, like: float = LIKE) -> tuple[list, list]:
-    """Verified passages (start, end, other start, other end, likeness) of an island's hits, in tokens, and the hits left open,
-    each with the equal run around c. x and y: the tokens from x0 and y0 on."""
-    met, left, memo, breaks = [], [], {}, {}
-    for h in hits:
-        c, oc = h[:2]
-        if any(s <= c < e and os <= oc < oe for s, e, os, oe, _ in met):
-            continue
+def compared(x: np.ndarray, x0: int, y: np.ndarray, y0: int, hits: list[tuple], t: int = T, like: float = LIKE) -> tuple[list, list, list]:
+    """Verified passages (start, end, other start, other end, likeness) of an island's hits, in tokens; the places c of hits that
+    are copies, in an equal run of t tokens; and of those that are none. x and y: the tokens from x0 and y0 on."""
+    met, copies, others, memo, breaks, known = [], [], [], {}, {}, set()
+    for c, oc in hits:
         i, j = c - x0, oc - y0
         if not (0 <= i < len(x) and 0 <= j < len(y)):
             continue
@@ -199,14 +202,17 @@ def compared(x: np.ndarray, x0: int, y: np.ndarray, y0: int, hits: list[tuple],
             continue
         s, e = b + int(cuts[at - 1]) + 1, b + int(cuts[at])
         if e - s >= t:
-            met.append((s + x0, e + x0, s + x0 - c + oc, e + x0 - c + oc, 1.0))
+            copies.append(c)
+            if (i - j, s) not in known and not any(p <= s + x0 and e + x0 <= q and op <= s + x0 - c + oc and e + x0 - c + oc <= oq for p, q, op, oq, _ in met):
+                met.append((s + x0, e + x0, s + x0 - c + oc, e + x0 - c + oc, 1.0))
+            known.add((i - j, s))
             continue
-        got = alike(x, i, y, j, t, like, memo)
-        if got:
-            met.append((got[0] + x0, got[1] + x0, got[2] + y0, got[3] + y0, got[4]))
-        else:
-            left.append((h, (s + x0, e + x0)))
-    return met, [(h, run) for h, run in left if not any(s <= h[0] < e for s, e, *_ in met)]
+        others.append(c)
+        if not any(p <= c < q and op <= oc < oq for p, q, op, oq, _ in met):
+            got = alike(x, i, y, j, t, like, memo)
+            if got:
+                met.append((got[0] + x0, got[1] + x0, got[2] + y0, got[3] + y0, got[4]))
+    return met, copies, others
 
 
 def copies_of(docs: DataFrame, t: int) -> DataFrame:
@@ -233,7 +239,7 @@ def without(docs: DataFrame, copies: DataFrame) -> DataFrame:
     return marked.where(~hit).select("doc", "text").unionByName(maybe)
 
 
-def repeated(df: DataFrame, id_col: str = "doc_id", text: str = "text", t: int = T, functions: int = FUNCTIONS, like: float = LIKE) -> DataFrame:
+def repeated(df: DataFrame, id_col: str = "doc_id", text: str = "text", t: int = T, like: float = LIKE) -> DataFrame:
     """doc_id, other_id, start, end, other_start, other_end (words), similarity of each verified repeat."""
     c = F.col
     docs = df.where(c(id_col).isNotNull()).select(c(id_col).cast("long").alias("doc"), F.coalesce(text, F.lit("")).alias("text"))
@@ -249,49 +255,66 @@ def repeated(df: DataFrame, id_col: str = "doc_id", text: str = "text", t: int =
             for b in sliced(batches):
                 hashes = word_hashes(b.column(1))
                 long = [i for i, w in enumerate(hashes) if len(w) >= t + K - 1]
-                at, key, place, before, after = anchors([shingles(hashes[i], K) for i in long], t, functions)
+                at, key, place = anchors([shingles(hashes[i], K) for i in long])
                 if mask is None:
                     yield pa.RecordBatch.from_pydict({"key": key})
                     continue
                 s = key & ((1 << MAP_BITS) - 1)
                 keep = (mask[s >> 6] >> (s & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
                 doc = np.asarray(b.column(0))[np.array(long, dtype=np.int64)[at[keep]]] if keep.any() else np.zeros(0, np.int64)
-                ints = {k: v[keep].astype(np.int32) for k, v in (("c", place), ("l", before), ("r", after))}
-                yield pa.RecordBatch.from_pydict({"key": key[keep], "doc": doc, **ints})
+                yield pa.RecordBatch.from_pydict({"key": key[keep], "doc": doc, "c": place[keep].astype(np.int32)})
 
         return run
 
     shared = mapped(own, found(None), "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     mask = np.array(bitmap(shared, MAP_BITS, hashed=True).first().bm, dtype=np.int64).view(np.uint64)  # of fixed size
-    open_ = stored(mapped(own, found(mask), "key long, doc long, c int, l int, r int"), "signatures").withColumns({"right": F.lit(0), "left": F.lit(0)})
+    open_ = stored(mapped(own, found(mask), "key long, doc long, c int"), "signatures")
     names = [id_col, "other_id", "start", "end", "other_start", "other_end", "similarity"]
-    verified, tokens = [], None
-    while not (cand := candidates(open_)).isEmpty():
-        tokens = stored_in_small_batches(tokens_of(own, cand, t), "tokens") if tokens is None else tokens
-        checked = stored_in_small_batches(checks(cand, tokens, t, like, exact=not verified), "checked")
-        verified.append(checked.where("similarity is not null").select(c("doc").alias(id_col), c("other").alias("other_id"), *names[2:]))
-        open_ = checked.where("key is not null").select("key", "doc", "c", "l", "r", "right", "left")
+    rounds = []  # the tables of checks
+    for step in STEPS:
+        if (cand := candidates(open_)).isEmpty():
+            break
+        if not rounds:
+            tokens = stored_in_small_batches(tokens_of(own, cand, t), "tokens")
+        rounds.append(stored_in_small_batches(checks(cand, tokens, t, like, step), "checked"))
+        open_ = rounds[-1].where(c("step") == T).select("key", "doc", "c")
+    if rounds:
+        rest = rounds[0].where(c("step") == STEPS[0]).select("key", "doc", "c")
+        for x in rounds[1:]:
+            rest = rest.join(x.where("step = 0").select("doc", "c").distinct(), ["doc", "c"], "left_anti")
+        rounds.append(stored_in_small_batches(checks(pairs(stored(rest, "rest")), tokens, t, like, 0), "checked"))
     whole = copies.select(c("doc").alias(id_col), c("other").alias("other_id"), F.lit(0).alias("start"), c("n").alias("end"), F.lit(0).alias("other_start"), c("n").alias("other_end"), F.lit(1.0).alias("similarity"))
-    for x in verified:
-        whole = whole.unionByName(x)
+    for x in rounds:
+        whole = whole.unionByName(x.where("similarity is not null").select(c("doc").alias(id_col), c("other").alias("other_id"), *names[2:]))
     kinds = [c(n).cast("long").alias(n) for n in names[:6]]
     return whole.select(*kinds, "similarity").dropDuplicates(names[:6])
 
 
 def candidates(rows: DataFrame) -> DataFrame:
-    """doc, other, hits and the bounds of their windows: occurrences (key, doc, c, l, r) with their key's representative, its
-    least document and place there. The other places of the representative's document come too, as pairs of it with itself."""
+    """doc, other, hits and their bounds: places (key, doc, c) with their key's representative, its least document and place there.
+    The other places of the representative's document come too, as pairs of it with itself."""
     c = F.col
-    spots = rows.groupBy("key").agg(F.min(F.struct("doc", "c", "l", "r")).alias("o"), F.max("doc").alias("last")).where("o.doc < last").select("key", "o")
+    spots = rows.groupBy("key").agg(F.min(F.struct("doc", "c")).alias("o"), F.max("doc").alias("last")).where("o.doc < last")
+    spots = spots.select("key", c("o.doc").alias("other"), c("o.c").alias("oc"))
     # spots has a row per key; as a table it is shuffled apart from rows, so that adaptive execution can split a frequent key's
-    hits = rows.join(stored(spots, "spots"), "key").where("doc != o.doc or c != o.c")
-    hit = F.struct("c", c("o.c").alias("oc"), "l", "r", c("o.l").alias("ol"), c("o.r").alias("or"), "right", "left")
-    hits = hits.select("doc", c("o.doc").alias("other"), hit.alias("h"))
-    # a passage may reach beyond the window of its least token: both sides are compared this far, and T tokens more
-    before, after = F.greatest("h.l", "h.ol") + T, F.greatest("h.r", "h.or") + T
-    low, high = (lambda x: F.greatest(F.lit(0), F.min(c(x) - before))), (lambda x: F.max(c(x) + after))
-    bounds = [low("h.c").alias("x0"), high("h.c").alias("x1"), low("h.oc").alias("y0"), high("h.oc").alias("y1")]
-    return stored(hits.groupBy("doc", "other").agg(F.collect_set("h").alias("hits"), *bounds), "candidates")
+    return gathered(rows.join(stored(spots, "spots"), "key").where("doc != other or c != oc"))
+
+
+def pairs(rows: DataFrame) -> DataFrame:
+    """doc, other, hits and their bounds: all places (key, doc, c) of a key, in pairs of documents. A table of their own on
+    one side, as in candidates()."""
+    c = F.col
+    several = rows.groupBy("key").agg(F.min("doc").alias("other"), F.max("doc").alias("last")).where("other < last").select("key")
+    some = stored(rows.join(several, "key", "left_semi").select("key", c("doc").alias("other"), c("c").alias("oc")), "some")
+    return gathered(rows.join(some, "key").where("other < doc"))
+
+
+def gathered(hits: DataFrame) -> DataFrame:
+    """doc, other, hits and the bounds of what is compared around them, of rows (doc, other, c, oc)."""
+    c = F.col
+    low, high = (lambda x: F.greatest(F.lit(0), F.min(x) - AROUND)), (lambda x: F.max(x) + AROUND)
+    bounds = [low("c").alias("x0"), high("c").alias("x1"), low("oc").alias("y0"), high("oc").alias("y1")]
+    return stored(hits.groupBy("doc", "other").agg(F.collect_set(F.struct("c", "oc")).alias("hits"), *bounds), "candidates")
 
 
 def tokens_of(docs: DataFrame, cand: DataFrame, t: int) -> DataFrame:
@@ -310,49 +333,49 @@ def tokens_of(docs: DataFrame, cand: DataFrame, t: int) -> DataFrame:
     return mapped(some, run, "doc long, k binary")
 
 
-def checks(cand: DataFrame, tokens: DataFrame, t: int, like: float, exact: bool) -> DataFrame:
-    """Rows of verified passages (words) and of what is left open, with the keys that its next groups share."""
+def checks(cand: DataFrame, tokens: DataFrame, t: int, like: float, step: int) -> DataFrame:
+    """Rows of verified passages (words), and of places by ``step``. After the first round: STEPS[0] for those that are no
+    copies, with their signature, and T for the same with passages of T tokens around them. After the second: 0 for copies."""
     c = F.col
     part = lambda k, a, b: F.substring(k, a * 4 + 1, (b - a + 1) * 4)
     x = cand.join(tokens, "doc").withColumn("kx", part(c("k"), c("x0"), c("x1"))).drop("k")
     x = x.join(tokens.select(c("doc").alias("other"), "k"), "other").withColumn("ky", part(c("k"), c("y0"), c("y1"))).drop("k")
 
-    def next_keys(run, x, x0, at, right, left):
-        """(key, right, left) under which an open place is compared again, and the steps that it has taken then: the equal
-        run's tokens and those behind it up to a step, on either side, and with ``exact`` all passages of T tokens around."""
-        i, raw = at - x0, x.tobytes()
-        for side, held, taken in ((1, run[1] - at, right), (-1, at + 1 - run[0], left)):
-            n = next((k for k, n in enumerate(STEPS) if k >= taken and n > held), None)
-            a, b = (0, 0) if n is None else (i, i + STEPS[n]) if side > 0 else (i + 1 - STEPS[n], i + 1)
-            if n is not None and 0 <= a and b <= len(x):
-                key = xxhash.xxh3_64_intdigest(raw[4 * a : 4 * b], seed=side + 2) - 2**63
-                yield key, n + 1 if side > 0 else right, n + 1 if side < 0 else left
-        if exact:
-            for k in range(max(0, i - t + 1), min(i, len(x) - t) + 1):
-                yield xxhash.xxh3_64_intdigest(raw[4 * k : 4 * (k + t)]) - 2**63, len(STEPS), len(STEPS)
+    def passages_at(x, x0, places):
+        """(hash, place) of passages of t tokens that hold the places: those that are the least of WIDTH in a row."""
+        v = runs(x, t)
+        if len(v) and places:
+            wide = np.lib.stride_tricks.sliding_window_view(v, min(WIDTH, len(v)))
+            least = np.unique(wide.argmin(axis=1) + np.arange(len(wide)))
+            for p in places:
+                for k in least[np.searchsorted(least, p - x0 - t, "right") : np.searchsorted(least, p - x0, "right")]:
+                    yield int(v[k].view(np.int64)), p
 
     def run(batches):
         import pyarrow as pa
 
-        fields = ["doc", "other", "start", "end", "other_start", "other_end", "similarity", "key", "c", "l", "r", "right", "left"]
-        kinds = [pa.int64()] * 6 + [pa.float64(), pa.int64()] + [pa.int32()] * 5
+        fields = ["doc", "other", "start", "end", "other_start", "other_end", "similarity", "key", "c", "step"]
+        kinds = [pa.int64()] * 6 + [pa.float64(), pa.int64()] + [pa.int32()] * 2
         for b in sliced(batches):
             out = []
             col = (b.column(k).to_pylist() for k in ("doc", "other", "hits", "x0", "y0", "kx", "ky"))
             for doc, other, hits, x0, y0, kx, ky in zip(*col, strict=True):
                 u, v = np.frombuffer(kx, "<u4"), np.frombuffer(ky, "<u4")
-                for hs in islands([tuple(h.values()) for h in hits]):
+                for hs in islands([(h["c"], h["oc"]) for h in hits]):
                     # the island's own part of the texts
-                    before, after = [max(h[2], h[4]) + T for h in hs], [max(h[3], h[5]) + T + 1 for h in hs]
-                    (a, e), (oa, oe) = ((max(z, min(h[i] - n for h, n in zip(hs, before, strict=True))), max(h[i] + n for h, n in zip(hs, after, strict=True))) for i, z in ((0, x0), (1, y0)))
+                    (a, e), (oa, oe) = ((max(z, min(h[i] for h in hs) - AROUND), max(h[i] for h in hs) + AROUND + 1) for i, z in ((0, x0), (1, y0)))
                     xs, ys = u[a - x0 : e - x0], v[oa - y0 : oe - y0]
-                    met, left = compared(xs, a, ys, oa, hs, t, like)
+                    met, copied, others = compared(xs, a, ys, oa, hs, t, like)
                     if doc != other:
-                        out += [(doc, other, s, n + K - 1, os, on + K - 1, j, *[None] * 6) for s, n, os, on, j in met]
-                    for (at, _, before, after, _, _, *taken), run in left:
-                        out += [(doc, other, *[None] * 5, key, at, before, after, *steps) for key, *steps in next_keys(run, xs, a, at, *taken)]
+                        out += [(doc, other, s, n + K - 1, os, on + K - 1, j, *[None] * 3) for s, n, os, on, j in met]
+                    if step == STEPS[0] and others:
+                        keys = runs(xs, SIDE + 1).view(np.int64)
+                        out += [(doc, other, *[None] * 5, int(keys[p - a]), p, step) for p in others]
+                        out += [(doc, other, *[None] * 5, key, p, t) for key, p in passages_at(xs, a, others)]
+                    elif step == T:
+                        out += [(doc, other, *[None] * 5, None, p, 0) for p in set(copied)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(z, kind) for z, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=fields)
 
-    schema = "doc long, other long, start long, end long, other_start long, other_end long, similarity double, key long, c int, l int, r int, right int, left int"
+    schema = "doc long, other long, start long, end long, other_start long, other_end long, similarity double, key long, c int, step int"
     return mapped(x, run, schema)

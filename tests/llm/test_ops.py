@@ -194,6 +194,23 @@ def test_repeated_passages_of_a_group_of_near_copies(spark, tmp_path, monkeypatc
     assert len(rounds) <= 2 * len(passages.STEPS) + 2
 
 
+def test_repeated_passages_alike_to_others_than_their_representatives(spark, tmp_path):
+    """The third and fourth document of each four are alike. One of the first two has each signature that they share, and is alike
+    to the third but not to the fourth."""
+    rng, rows, want = np.random.default_rng(14), [], set()
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    for i in range(40):
+        p = word(60)
+        for j, edit in enumerate((12, 48, None, 30)):
+            x = list(p)
+            if edit is not None:
+                x[edit : edit + 1] = word(1)
+            rows.append((4 * i + j, " ".join(word(50) + x + word(50))))
+        want |= {(4 * i + 2, 4 * i), (4 * i + 2, 4 * i + 1), (4 * i + 3, 4 * i + 2)}
+    got = {(r.doc_id, r.other_id) for r in queries.op4_substring_dedup(spark, docs_of(spark, tmp_path, rows)).collect()}
+    assert got == want
+
+
 def test_windows_of_equal_words():
     w = passages.windows(np.zeros(200_000, np.uint64), 46)
     assert len(w) < 10_000 and (w[:, 0] <= w[:, 1]).all() and (w[:, 1] <= w[:, 2]).all()
