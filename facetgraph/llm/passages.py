@@ -19,12 +19,13 @@ Places of a signature are compared in three rounds:
   tokens and Jaccard likeness of 0.8 or more;
 * places that aren't copies of their representative, an equal run of T tokens, alike to it or not: with the representative of
   equal passages of T tokens around them. This only makes copies of most that are some;
-* places that are no copies still: all of a signature with each other.
+* places that are no copies still: all of a signature with each other, and with the copies whose copied run ends within T
+  tokens, as they may be alike by what is beyond it.
 
 So copies are members of a representative's class, by a row each, and all other places of a signature are compared in pairs.
-What is left out: a copy meets places that are none only through its representative. If such a place is alike to it by tokens
-beyond their copied run, that pair has a row only if they share another signature there. The pairs of the last round grow
-with the square of a signature's places that are no copies.
+What is left out: two copies meet only through their representatives. If they are alike by tokens beyond their copied runs, that
+pair has a row only if they share another signature there. The pairs of the last round grow with the square of a signature's
+places.
 
 Equal texts are grouped first and reported with the smallest id.
 
@@ -185,8 +186,8 @@ def islands(hits: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
 
 
 def compared(x: np.ndarray, x0: int, y: np.ndarray, y0: int, hits: list[tuple], t: int = T, like: float = LIKE) -> tuple[list, list, list]:
-    """Verified passages (start, end, other start, other end, likeness) of an island's hits, in tokens; the places c of hits that
-    are copies, in an equal run of t tokens; and of those that are none. x and y: the tokens from x0 and y0 on."""
+    """Verified passages (start, end, other start, other end, likeness) of an island's hits, in tokens; (c, whether less than t
+    tokens are equal on a side) of hits that are copies, in an equal run of t tokens; and c of those that are none. x and y: the tokens from x0 and y0 on."""
     met, copies, others, memo, breaks, known = [], [], [], {}, {}, set()
     for c, oc in hits:
         i, j = c - x0, oc - y0
@@ -202,7 +203,7 @@ def compared(x: np.ndarray, x0: int, y: np.ndarray, y0: int, hits: list[tuple],
             continue
         s, e = b + int(cuts[at - 1]) + 1, b + int(cuts[at])
         if e - s >= t:
-            copies.append(c)
+            copies.append((c, i - s < t or e - i <= t))
             if (i - j, s) not in known and not any(p <= s + x0 and e + x0 <= q and op <= s + x0 - c + oc and e + x0 - c + oc <= oq for p, q, op, oq, _ in met):
                 met.append((s + x0, e + x0, s + x0 - c + oc, e + x0 - c + oc, 1.0))
             known.add((i - j, s))
@@ -280,9 +281,13 @@ def repeated(df: DataFrame, id_col: str = "doc_id", text: str = "text", t: int =
         open_ = rounds[-1].where(c("step") == T).select("key", "doc", "c")
     if rounds:
         rest = rounds[0].where(c("step") == STEPS[0]).select("key", "doc", "c")
+        members = rounds[0].where("step = 0").select("key", "doc", "c")
         for x in rounds[1:]:
-            rest = rest.join(x.where("step = 0").select("doc", "c").distinct(), ["doc", "c"], "left_anti")
-        rounds.append(stored_in_small_batches(checks(pairs(stored(rest, "rest")), tokens, t, like, 0), "checked"))
+            copied = stored(x.where("step = 0").select("doc", "c").distinct(), "copied")
+            members = members.unionByName(rest.join(copied, ["doc", "c"], "left_semi"))
+            rest = rest.join(copied, ["doc", "c"], "left_anti")
+        cand = pairs(stored(rest.distinct(), "rest"), stored(members.distinct(), "members"))
+        rounds.append(stored_in_small_batches(checks(cand, tokens, t, like, 0), "checked"))
     whole = copies.select(c("doc").alias(id_col), c("other").alias("other_id"), F.lit(0).alias("start"), c("n").alias("end"), F.lit(0).alias("other_start"), c("n").alias("other_end"), F.lit(1.0).alias("similarity"))
     for x in rounds:
         whole = whole.unionByName(x.where("similarity is not null").select(c("doc").alias(id_col), c("other").alias("other_id"), *names[2:]))
@@ -300,13 +305,16 @@ def candidates(rows: DataFrame) -> DataFrame:
     return gathered(rows.join(stored(spots, "spots"), "key").where("doc != other or c != oc"))
 
 
-def pairs(rows: DataFrame) -> DataFrame:
-    """doc, other, hits and their bounds: all places (key, doc, c) of a key, in pairs of documents. A table of their own on
-    one side, as in candidates()."""
+def pairs(rest: DataFrame, members: DataFrame) -> DataFrame:
+    """doc, other, hits and their bounds: all places (key, doc, c) of a key in rest, in pairs of documents with each other and with
+    those in members. Both are tables, so that adaptive execution can split a frequent key's rows."""
     c = F.col
-    several = rows.groupBy("key").agg(F.min("doc").alias("other"), F.max("doc").alias("last")).where("other < last").select("key")
-    some = stored(rows.join(several, "key", "left_semi").select("key", c("doc").alias("other"), c("c").alias("oc")), "some")
-    return gathered(rows.join(some, "key").where("other < doc"))
+    other = lambda x: x.select("key", c("doc").alias("other"), c("c").alias("oc"))
+    names = ("doc", "other", "c", "oc")
+    both = rest.join(other(members), "key").where("doc != other")
+    hits = rest.join(other(rest), "key").where("other < doc").select(*names)
+    hits = hits.unionByName(both.where("other < doc").select(*names))
+    return gathered(hits.unionByName(both.where("doc < other").select(*(c(x).alias(n) for x, n in zip(("other", "doc", "oc", "c"), names, strict=True)))))
 
 
 def gathered(hits: DataFrame) -> DataFrame:
@@ -335,7 +343,8 @@ def tokens_of(docs: DataFrame, cand: DataFrame, t: int) -> DataFrame:
 
 def checks(cand: DataFrame, tokens: DataFrame, t: int, like: float, step: int) -> DataFrame:
     """Rows of verified passages (words), and of places by ``step``. After the first round: STEPS[0] for those that are no
-    copies, with their signature, and T for the same with passages of T tokens around them. After the second: 0 for copies."""
+    copies, with their signature, T for the same with passages of T tokens around them, and 0 for copies whose run ends within T
+    tokens, with their signature. After the second: 0 for copies."""
     c = F.col
     part = lambda k, a, b: F.substring(k, a * 4 + 1, (b - a + 1) * 4)
     x = cand.join(tokens, "doc").withColumn("kx", part(c("k"), c("x0"), c("x1"))).drop("k")
@@ -372,8 +381,11 @@ def checks(cand: DataFrame, tokens: DataFrame, t: int, like: float, step: int) -
                         keys = runs(xs, SIDE + 1).view(np.int64)
                         out += [(doc, other, *[None] * 5, int(keys[p - a]), p, step) for p in others]
                         out += [(doc, other, *[None] * 5, key, p, t) for key, p in passages_at(xs, a, others)]
+                    if step == STEPS[0] and any(ends for _, ends in copied):
+                        keys = runs(xs, SIDE + 1).view(np.int64)
+                        out += [(doc, other, *[None] * 5, int(keys[p - a]), p, 0) for p, ends in copied if ends]
                     elif step == T:
-                        out += [(doc, other, *[None] * 5, None, p, 0) for p in set(copied)]
+                        out += [(doc, other, *[None] * 5, None, p, 0) for p in {p for p, _ in copied}]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(z, kind) for z, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=fields)
 
