@@ -17,15 +17,20 @@ Places of a signature are compared in three rounds:
   joined as intervals, and each place that isn't inside a verified passage is verified on tokens: an equal run of T tokens is a
   repeat; else the segments reach as far as tokens are found on the other side, with few between that aren't, and must have T
   tokens and Jaccard likeness of 0.8 or more;
-* places that aren't copies of their representative, an equal run of T tokens, alike to it or not: with the representative of
-  equal passages of T tokens around them. This only makes copies of most that are some;
-* places that are no copies still: all of a signature with each other, and with the copies whose copied run ends within T
-  tokens, as they may be alike by what is beyond it.
+* places that are neither copies of their representative, an equal run of T tokens, nor alike to it are open: they meet the
+  representative of equal passages of T tokens around them. This only makes copies of most that are some;
+* places that are open still: all of a signature with each other, and with those of known classes, which are alike to the
+  representative or copies whose copied run ends within T tokens, as they may be alike by what is beyond it.
 
-So copies are members of a representative's class, by a row each, and all other places of a signature are compared in pairs.
-What is left out: two copies meet only through their representatives. If they are alike by tokens beyond their copied runs, that
-pair has a row only if they share another signature there. The pairs of the last round grow with the square of a signature's
-places.
+A signature's classes are the places that rows join in chains. Copies and places alike to a representative are members of its
+class by a row each. In the last round pairs are taken by the tokens they share, the most first, those of one class aren't compared
+again, and those whose tokens can't make a passage are left out by a bound that holds for all that ``alike`` finds. So two places
+that are alike are in one class, and have a row of their own or a chain of rows at the signature. Other places of the
+representative's document have no row with it, so they are open.
+
+What is left out: two copies of the second round meet only through their representatives. If they are alike by tokens beyond their
+copied runs, that pair has a chain only if they share another signature there. The pairs that the last round bounds or compares
+grow with the square of a signature's open places, in blocks.
 
 Equal texts are grouped first and reported with the smallest id.
 
@@ -37,7 +42,7 @@ repeat an id count once, with the least of their texts; rows of a null id take n
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import WORD, bitmap, in_bitmap, mapped, mixed, shingles, sliced, stored, stored_in_small_batches, word_hashes
@@ -57,6 +62,8 @@ MAP_BITS = 24
 STEPS = (SIDE + 1, T)
 #: Tokens around a place that are compared, on either side; those within half a passage join places to islands.
 AROUND = T + T // 2
+#: Chains of a signature that one task compares with as many others.
+BLOCK = 256
 #: Diagonals that an edit within a passage may lie apart.
 SHIFT = 16
 
@@ -185,10 +192,11 @@ def islands(hits: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
     return [g[2] for g in out]
 
 
-def compared(x: np.ndarray, x0: int, y: np.ndarray, y0: int, hits: list[tuple], t: int = T, like: float = LIKE) -> tuple[list, list, list]:
-    """Verified passages (start, end, other start, other end, likeness) of an island's hits, in tokens; (c, whether less than t
-    tokens are equal on a side) of hits that are copies, in an equal run of t tokens; and c of those that are none. x and y: the tokens from x0 and y0 on."""
-    met, copies, others, memo, breaks, known = [], [], [], {}, {}, set()
+def compared(x: np.ndarray, x0: int, y: np.ndarray, y0: int, hits: list[tuple], t: int = T, like: float = LIKE) -> tuple[list, list, list, list]:
+    """Verified passages (start, end, other start, other end, likeness) of an island's hits, in tokens; (c, oc, whether less than t
+    tokens are equal on a side) of hits that are copies, in an equal run of t tokens; c of those that are alike; and c of those
+    that are neither. x and y: the tokens from x0 and y0 on."""
+    met, copies, near, others, memo, breaks, known = [], [], [], [], {}, {}, set()
     for c, oc in hits:
         i, j = c - x0, oc - y0
         if not (0 <= i < len(x) and 0 <= j < len(y)):
@@ -203,17 +211,17 @@ def compared(x: np.ndarray, x0: int, y: np.ndarray, y0: int, hits: list[tuple],
             continue
         s, e = b + int(cuts[at - 1]) + 1, b + int(cuts[at])
         if e - s >= t:
-            copies.append((c, i - s < t or e - i <= t))
+            copies.append((c, oc, i - s < t or e - i <= t))
             if (i - j, s) not in known and not any(p <= s + x0 and e + x0 <= q and op <= s + x0 - c + oc and e + x0 - c + oc <= oq for p, q, op, oq, _ in met):
                 met.append((s + x0, e + x0, s + x0 - c + oc, e + x0 - c + oc, 1.0))
             known.add((i - j, s))
             continue
-        others.append(c)
-        if not any(p <= c < q and op <= oc < oq for p, q, op, oq, _ in met):
-            got = alike(x, i, y, j, t, like, memo)
-            if got:
-                met.append((got[0] + x0, got[1] + x0, got[2] + y0, got[3] + y0, got[4]))
-    return met, copies, others
+        found = any(p <= c < q and op <= oc < oq for p, q, op, oq, _ in met)
+        if not found and (got := alike(x, i, y, j, t, like, memo)):
+            met.append((got[0] + x0, got[1] + x0, got[2] + y0, got[3] + y0, got[4]))
+            found = True
+        (near if found else others).append(c)
+    return met, copies, near, others
 
 
 def copies_of(docs: DataFrame, t: int) -> DataFrame:
@@ -280,14 +288,15 @@ def repeated(df: DataFrame, id_col: str = "doc_id", text: str = "text", t: int =
         rounds.append(stored_in_small_batches(checks(cand, tokens, t, like, step), "checked"))
         open_ = rounds[-1].where(c("step") == T).select("key", "doc", "c")
     if rounds:
-        rest = rounds[0].where(c("step") == STEPS[0]).select("key", "doc", "c")
-        members = rounds[0].where("step = 0").select("key", "doc", "c")
+        rest = rounds[0].where(c("step") == STEPS[0]).select("key", "doc", "c").distinct()
+        known = rounds[0].where("step = 0").select("key", "doc", "c", F.lit(0).cast("long").alias("cls"))
         for x in rounds[1:]:
-            copied = stored(x.where("step = 0").select("doc", "c").distinct(), "copied")
-            members = members.unionByName(rest.join(copied, ["doc", "c"], "left_semi"))
-            rest = rest.join(copied, ["doc", "c"], "left_anti")
-        cand = pairs(stored(rest.distinct(), "rest"), stored(members.distinct(), "members"))
-        rounds.append(stored_in_small_batches(checks(cand, tokens, t, like, 0), "checked"))
+            copied = x.where("step = 0").groupBy("doc", "c").agg(F.min(F.xxhash64("other", "key")).alias("cls"))
+            rest = rest.join(stored(copied, "copied"), ["doc", "c"], "left")
+            known = known.unionByName(rest.where("cls is not null").select("key", "doc", "c", "cls"))
+            rest = rest.where("cls is null").select("key", "doc", "c")
+        spots = chains(rest.withColumn("cls", F.lit(None).cast("long")).unionByName(known))
+        rounds.append(stored_in_small_batches(linked(spots, tokens, t, like), "linked"))
     whole = copies.select(c("doc").alias(id_col), c("other").alias("other_id"), F.lit(0).alias("start"), c("n").alias("end"), F.lit(0).alias("other_start"), c("n").alias("other_end"), F.lit(1.0).alias("similarity"))
     for x in rounds:
         whole = whole.unionByName(x.where("similarity is not null").select(c("doc").alias(id_col), c("other").alias("other_id"), *names[2:]))
@@ -305,16 +314,121 @@ def candidates(rows: DataFrame) -> DataFrame:
     return gathered(rows.join(stored(spots, "spots"), "key").where("doc != other or c != oc"))
 
 
-def pairs(rest: DataFrame, members: DataFrame) -> DataFrame:
-    """doc, other, hits and their bounds: all places (key, doc, c) of a key in rest, in pairs of documents with each other and with
-    those in members. Both are tables, so that adaptive execution can split a frequent key's rows."""
+def chains(places: DataFrame) -> DataFrame:
+    """key, doc, c, last, open, cls: places (key, doc, c, cls) of signatures that have open ones, those without a class. Places of
+    one signature whose tokens touch hold the same tokens and no other, so all of them find the same segments: they are one."""
+    c = F.col
+    by = Window.partitionBy("key", "doc").orderBy("c")
+    sums = places.groupBy("key").agg(F.max(c("cls").isNull()).alias("some"), F.min("doc").alias("least"), F.max("doc").alias("most"))
+    places = places.join(stored(sums.where("some and least < most").select("key"), "keys"), "key", "left_semi")
+    places = places.withColumn("new", F.coalesce(c("c") - F.lag("c").over(by) > SIDE + 1, F.lit(True)).cast("int"))
+    places = places.withColumn("chain", F.sum("new").over(by))
+    ends = [F.min("c").alias("c"), F.max("c").alias("last"), F.max(c("cls").isNull()).alias("open"), F.max("cls").alias("cls")]
+    return stored(places.groupBy("key", "doc", "chain").agg(*ends).drop("chain"), "chains")
+
+
+def linked(spots: DataFrame, tokens: DataFrame, t: int, like: float) -> DataFrame:
+    """Rows of verified passages (words) that link the chains of each signature: open ones with each other and with those of known
+    classes. Blocks of chains meet in pairs, so that no task has a whole signature; what is linked already isn't compared again."""
     c = F.col
-    other = lambda x: x.select("key", c("doc").alias("other"), c("c").alias("oc"))
-    names = ("doc", "other", "c", "oc")
-    both = rest.join(other(members), "key").where("doc != other")
-    hits = rest.join(other(rest), "key").where("other < doc").select(*names)
-    hits = hits.unionByName(both.where("other < doc").select(*names))
-    return gathered(hits.unionByName(both.where("doc < other").select(*(c(x).alias(n) for x, n in zip(("other", "doc", "oc", "c"), names, strict=True)))))
+    n = spots.groupBy("key").agg(F.count_if("open").alias("n"), F.count_if(~c("open")).alias("m"))
+    block = lambda k: F.pmod(F.xxhash64("doc", "c"), k).cast("int")
+    many = lambda k: F.greatest(F.lit(1), F.ceil(c(k) / BLOCK)).cast("int")
+    n = stored(n.select("key", many("n").alias("n"), many("m").alias("m")), "sizes")
+    x = spots.join(n, "key").withColumn("block", F.when(c("open"), block(c("n"))).otherwise(block(c("m"))))
+    pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    up_to = lambda k, f: F.transform(F.sequence(F.lit(0), c(k) - 1), f)
+    # a block of open chains meets those of known classes, as (block, -1 - block), and the other open ones
+    others = F.filter(up_to("n", lambda i: pair(F.least(i, c("block")), F.greatest(i, c("block")))), lambda z: z["a"] < z["b"])
+    of_open = F.concat(up_to("m", lambda i: pair(c("block"), -1 - i)), others)
+    x = x.withColumn("at", F.explode(F.when(c("open"), of_open).otherwise(up_to("n", lambda i: pair(i, -1 - c("block"))))))
+    x0 = F.greatest(F.lit(0), c("c") - AROUND)
+    x = x.join(tokens, "doc").withColumn("k", F.substring("k", x0 * 4 + 1, (c("last") + AROUND + 1 - x0) * 4))
+    spot = F.struct("doc", "c", "last", "open", "cls", "block", "k")
+    # the largest groups are bounded by blocks; groups of one chain have nothing to compare
+    x = x.groupBy("key", c("at.a").alias("a"), c("at.b").alias("b")).agg(F.collect_list(spot).alias("spots")).where(F.size("spots") > 1)
+
+    def run(batches):
+        import pyarrow as pa
+
+        names = ["doc", "other", "start", "end", "other_start", "other_end", "similarity"]
+        kinds = [pa.int64()] * 6 + [pa.float64()]
+        for b in sliced(batches):
+            out = []
+            for a, z, group in zip(*(b.column(k).to_pylist() for k in ("a", "b", "spots")), strict=True):
+                for doc, other, (s, e, os, oe, j) in links(group, a, z, t, like):
+                    out.append((doc, other, s, e + K - 1, os, oe + K - 1, j))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(z, kind) for z, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+    return mapped(x, run, "doc long, other long, start long, end long, other_start long, other_end long, similarity double")
+
+
+def hopeful(texts: list[np.ndarray], places: list[int], t: int) -> tuple[np.ndarray, np.ndarray]:
+    """[i, j]: whether alike() may find a passage around the places of texts i and j, which is so wherever it does; and the tokens
+    of text i that are in text j. What grown() and longest() find in all of a text is as long as in a part at least."""
+    n = len(texts)
+    _, token = np.unique(np.concatenate(texts), return_inverse=True)
+    ends = np.cumsum([len(x) for x in texts])
+    owner = np.repeat(np.arange(n), [len(x) for x in texts])
+    has = np.zeros((int(token.max()) + 1, n), bool)
+    has[token, owner] = True
+    by_gain, by_score, hits = (np.zeros((n, n), kind) for kind in (bool, bool, np.int32))
+    for i, p in enumerate(places):
+        hit = has[token[ends[i] - len(texts[i]) : ends[i]]]
+        hits[i] = hit.sum(axis=0)
+        # grown(): the last place of the highest sum on either side
+        gain = np.where(hit, np.int32(1), np.int32(-4))
+        sides = [np.cumsum(x, axis=0)[::-1] for x in (gain[p:], gain[p::-1])]
+        by_gain[i] = sum(len(x) - x.argmax(axis=0) for x in sides) - 1 >= t
+        # longest(): a segment of t tokens at least whose score isn't below 0; by the tokens on either side
+        score = np.where(hit, np.int32(1), np.int32(-8))
+        right, left = (np.maximum.accumulate(np.cumsum(x, axis=0)[::-1], axis=0)[::-1] for x in (score[p:], score[p::-1]))
+        k = np.arange(max(1, t - len(left) + 1), min(t, len(right)) + 1)  # on the right, with the place
+        if len(k):
+            by_score[i] = (right[k - 1] + left[t - k] >= np.where(hit[p], 1, -8)).any(axis=0)
+    return (by_gain & by_gain.T) | (by_score & by_score.T), hits
+
+
+def links(group: list[dict], a: int, b: int, t: int, like: float):
+    """(doc, other, passage) of chains that are alike, the nearest first, until no two classes have any that are left to compare."""
+    group = sorted(group, key=lambda x: (x["doc"], x["c"]))
+    texts = [np.frombuffer(x["k"], "<u4") for x in group]
+    doc, is_open, block = (np.array([x[k] for x in group]) for k in ("doc", "open", "block"))
+    if b >= 0:
+        wanted = block[:, None] != block[None]
+    else:
+        wanted = (is_open[:, None] | is_open[None]) if b == -1 else (is_open[:, None] != is_open[None])
+    wanted = np.tril(wanted & (doc[:, None] != doc[None]))
+    if not wanted.any():
+        return
+    may, hits = hopeful(texts, [min(x["c"], AROUND) for x in group], t)
+    hits = np.minimum(hits, hits.T)
+    i, j = np.nonzero(wanted & may)
+    if not len(i):
+        return
+    root = list(range(len(group)))
+
+    def find(k):
+        while root[k] != k:
+            root[k] = k = root[root[k]]
+        return k
+
+    first: dict = {}
+    for k, x in enumerate(group):
+        if x["cls"] is not None:
+            root[find(k)] = find(first.setdefault(x["cls"], k))
+    for k in np.lexsort((j, i, -hits[i, j])):
+        x, y = int(i[k]), int(j[k])
+        if find(x) == find(y):
+            continue
+        u, v = group[x], group[y]
+        places = sorted({(p, q) for p in (u["c"], u["last"]) for q in (v["c"], v["last"])})
+        met, *_ = compared(texts[x], max(0, u["c"] - AROUND), texts[y], max(0, v["c"] - AROUND), places, t, like)
+        if met:
+            root[find(x)] = find(y)
+            for m in met:
+                yield u["doc"], v["doc"], m
 
 
 def gathered(hits: DataFrame) -> DataFrame:
@@ -342,9 +456,8 @@ def tokens_of(docs: DataFrame, cand: DataFrame, t: int) -> DataFrame:
 
 
 def checks(cand: DataFrame, tokens: DataFrame, t: int, like: float, step: int) -> DataFrame:
-    """Rows of verified passages (words), and of places by ``step``. After the first round: STEPS[0] for those that are no
-    copies, with their signature, T for the same with passages of T tokens around them, and 0 for copies whose run ends within T
-    tokens, with their signature. After the second: 0 for copies."""
+    """Rows of verified passages (words), and of places by ``step``. After the first round: STEPS[0] for open ones, with their signature, T for the same with passages of T tokens around them, and 0 for those that are alike and
+    copies whose run ends within T tokens, with their signature. After the second: 0 for copies, with their representative's place."""
     c = F.col
     part = lambda k, a, b: F.substring(k, a * 4 + 1, (b - a + 1) * 4)
     x = cand.join(tokens, "doc").withColumn("kx", part(c("k"), c("x0"), c("x1"))).drop("k")
@@ -374,18 +487,19 @@ def checks(cand: DataFrame, tokens: DataFrame, t: int, like: float, step: int) -
                     # the island's own part of the texts
                     (a, e), (oa, oe) = ((max(z, min(h[i] for h in hs) - AROUND), max(h[i] for h in hs) + AROUND + 1) for i, z in ((0, x0), (1, y0)))
                     xs, ys = u[a - x0 : e - x0], v[oa - y0 : oe - y0]
-                    met, copied, others = compared(xs, a, ys, oa, hs, t, like)
+                    met, copied, near, others = compared(xs, a, ys, oa, hs, t, like)
                     if doc != other:
                         out += [(doc, other, s, n + K - 1, os, on + K - 1, j, *[None] * 3) for s, n, os, on, j in met]
-                    if step == STEPS[0] and others:
-                        keys = runs(xs, SIDE + 1).view(np.int64)
-                        out += [(doc, other, *[None] * 5, int(keys[p - a]), p, step) for p in others]
-                        out += [(doc, other, *[None] * 5, key, p, t) for key, p in passages_at(xs, a, others)]
-                    if step == STEPS[0] and any(ends for _, ends in copied):
-                        keys = runs(xs, SIDE + 1).view(np.int64)
-                        out += [(doc, other, *[None] * 5, int(keys[p - a]), p, 0) for p, ends in copied if ends]
-                    elif step == T:
-                        out += [(doc, other, *[None] * 5, None, p, 0) for p in {p for p, _ in copied}]
+                    keys = runs(xs, SIDE + 1).view(np.int64)
+                    if step == STEPS[0]:
+                        # places of the representative's document have no row with it: they stay open
+                        known = [*near, *(p for p, _, ends in copied if ends)] if doc != other else []
+                        open_ = others if doc != other else [*others, *near, *(p for p, *_ in copied)]
+                        out += [(doc, other, *[None] * 5, int(keys[p - a]), p, step) for p in open_]
+                        out += [(doc, other, *[None] * 5, key, p, t) for key, p in passages_at(xs, a, others if doc != other else [*others, *near])]
+                        out += [(doc, other, *[None] * 5, int(keys[p - a]), p, 0) for p in known]
+                    elif step == T and doc != other:  # the representative's place tells the class
+                        out += [(doc, other, *[None] * 5, op, p, 0) for p, op, _ in copied]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(z, kind) for z, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=fields)
 

@@ -211,6 +211,47 @@ def test_repeated_passages_alike_to_others_than_their_representatives(spark, tmp
     assert got == want
 
 
+def test_repeated_passages_of_a_class_are_linked_without_all_pairs(spark, tmp_path, monkeypatch):
+    """Two groups of passages that are alike in all pairs and no copies. The representative of the second group's first signatures has
+    but a line of it, so its members meet each other, in blocks."""
+    monkeypatch.setattr(passages, "BLOCK", 4)
+    rng, rows, n = np.random.default_rng(15), [], 30
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    p, q = word(60), word(60)
+    rows += [(i, " ".join(word(50) + p[:30] + word(1) + p[31:] + word(50))) for i in range(n)]
+    rows += [(n, " ".join(word(50) + q[:30] + word(50)))]
+    rows += [(n + 1 + i, " ".join(word(50) + q[:38] + word(1) + q[39:] + word(50))) for i in range(n)]
+    got = {(r.doc_id, r.other_id) for r in queries.op4_substring_dedup(spark, docs_of(spark, tmp_path, rows)).collect()}
+    assert {x for x in got if x[0] < n} >= {(i, 0) for i in range(1, n)}
+    met = {n + 1}
+    for _ in range(n):
+        met |= {x for pair in got if met & set(pair) for x in pair}
+    assert met == set(range(n + 1, 2 * n + 1))
+    assert len(got) < n * (n - 1) / 2
+
+
+def test_pairs_that_are_not_hopeful_are_not_alike():
+    rng, found, kept, n = np.random.default_rng(16), 0, 0, 0
+    for _ in range(60):
+        base = rng.integers(0, int(rng.choice([2, 5, 60, 10**6])), 139).astype("<u4")
+        texts, places = [], []
+        for _ in range(6):
+            x = base.copy()
+            for j in rng.integers(0, 139, int(rng.integers(0, 5))):
+                x[j : j + 5] = rng.integers(2 * 10**6, 4 * 10**6, len(x[j : j + 5]))
+            a, b, cut = int(rng.integers(0, 60)), int(rng.integers(80, 139)), int(rng.integers(0, 40))
+            x[:a], x[b:] = rng.integers(4 * 10**6, 8 * 10**6, a), rng.integers(4 * 10**6, 8 * 10**6, 139 - b)
+            x[69] = base[69]
+            texts.append(x[cut:])
+            places.append(69 - cut)
+        may, _ = passages.hopeful(texts, places, passages.T)
+        for i, j in np.argwhere(~np.eye(6, dtype=bool)):
+            alike = bool(passages.alike(texts[i], places[i], texts[j], places[j]))
+            assert may[i, j] or not alike
+            found, kept, n = found + alike, kept + bool(may[i, j]), n + 1
+    assert 100 < found <= kept < n
+
+
 def test_windows_of_equal_words():
     w = passages.windows(np.zeros(200_000, np.uint64), 46)
     assert len(w) < 10_000 and (w[:, 0] <= w[:, 1]).all() and (w[:, 1] <= w[:, 2]).all()
