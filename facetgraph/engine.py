@@ -34,6 +34,9 @@ FOLLOW = ("follow", "rfollow")
 NUMERIC = {"add", "sub", "mul", "div", "mod", "negate", "number"}
 #: Functions of the history, and the log's columns that they read.
 HISTORY = {"getTransactionId": "txn", "getTransactionTime": "ts", "getTransactionAuthor": "author", "getTransactionComment": "comment"}
+#: Aggregates that follow from those of parts of their rows, and the parts' aggregates.
+FOLDED = {"count": ("count",), "sum": ("sum",), "total": ("sum",), "avg": ("sum", "count"), "min": ("min",), "max": ("max",)}
+BUILT_IN = {n: AGGREGATE[n] for n in FOLDED}
 
 
 @dataclass
@@ -102,6 +105,7 @@ class Plan:
         self.within: list = []  # (node, call, negated): one of both is a constant
         self.alias: dict[str, str] = {}
         self.many = False
+        self.fold: Fold | None = None
 
     # analysis
 
@@ -425,7 +429,9 @@ class Plan:
                     raise QueryError(f"{e.name}() has no place here")
                 x = e.args[0] if e.args else Star()
                 if isinstance(x, Star):
-                    return F.count(F.lit(1))
+                    return self.count_rows()
+                if self.fold and self.fold.used:
+                    return self.fold.total(e.name, x)
                 if self.multi(x):
                     return self.over_values(e.name, self.values(x))
                 return AGGREGATE[e.name](self.col(x))
@@ -445,6 +451,9 @@ class Plan:
             return self.chosen(e, agg) if e.name in ("and", "or") else self.logic(e, agg)
         raise QueryError(f"can't evaluate {e}")
 
+    def count_rows(self) -> Column:
+        return F.coalesce(F.sum(Fold.ROWS), F.lit(0)) if self.fold and self.fold.used else F.count(F.lit(1))
+
     def is_ref(self, e) -> Column:
         """Of a table's columns those of the catalog's references are references, whatever a text looks like."""
         if isinstance(e, Prop) and e.path:
@@ -577,6 +586,9 @@ class Plan:
         self.bind()
         done = {me} if me in self.labels else set()
         df = self.frame(self.labels[me]) if done else None
+        if self.paths or any(v.entity.multi for v in self.labels.values()):
+            self.fold = None
+        single = {n for n in done if self.labels[n].entity.key}  # labels whose objects are in one row of df each
         todo = [n for n in self.labels if n not in done]
         joins = [j for j in self.joins if not ({p.label for p in _props(j[0])} & set(self.outer))]
         self.correlated = [j for j in self.joins if j not in joins]
@@ -609,12 +621,18 @@ class Plan:
                 joins = [j for j in joins if j not in on]
             elif on:
                 how = "left" if any(m for _, m in on) else "inner"
-                df = df.join(right, reduce(lambda a, b: a & b, [self.test(c) for c, _ in on]), how)
-                self.many |= not any(self.to_one(c, n) for c, _ in on)
+                test = reduce(lambda a, b: a & b, [self.test(c) for c, _ in on])
+                one, of_one = any(self.to_one(c, n) for c, _ in on), any(self.to_one(c, m) for c, _ in on for m in single)
+                if self.fold and not one and not of_one:
+                    df = self.fold.join(df, right, n, done, [c for c, _ in joins], test, how)
+                else:
+                    df = df.join(right, test, how)
+                self.many |= not one
+                single = (single if one else set()) | ({n} if of_one and self.labels[n].entity.key else set())
                 joins = [j for j in joins if j not in on]
             else:
-                df = df.crossJoin(right)
-                self.many = True
+                df = self.fold.join(df, right, n, done, [c for c, _ in joins]) if self.fold else df.crossJoin(right)
+                self.many, single = True, set()
             todo.remove(n)
             done.add(n)
         for left, s, negated in self.semis:
@@ -628,6 +646,8 @@ class Plan:
             sub.add(s.where, name)
             found = sub.whole(name).limit(1).select(F.lit(1).alias("_one"))
             df = df.crossJoin(F.broadcast(found)).drop("_one")
+        if self.fold:
+            self.fold.have = df.columns
         return df
 
     def by_values(self, c, n: str) -> bool:
@@ -780,6 +800,78 @@ class Plan:
         return native(a), native(b)
 
 
+class Fold:
+    """Aggregates of joined objects without their pairs. Before a join in which both sides may match several rows, the rows of
+    each side that are alike in all that is still needed of them become one row, with their number and its parts of the
+    aggregates; a pair of such rows stands for the product of their numbers. The join's size is that of the different
+    rows, not of the pairs."""
+
+    ROWS = "_rows"
+
+    def __init__(self, plan: Plan, calls: list[Call], needed: list):
+        """calls: the aggregates; needed: expressions whose columns are needed beside them."""
+        self.plan, self.needed = plan, needed
+        found = {(kind, repr(c.args[0])): c.args[0] for c in calls if c.args and not isinstance(c.args[0], Star) for kind in FOLDED[c.name]}
+        self.parts = {k: (f"_part{i}", x) for i, (k, x) in enumerate(found.items())}
+        self.have: list[str] = []  # the columns of the joined rows
+
+    @property
+    def used(self) -> bool:
+        return self.ROWS in self.have
+
+    def columns(self, exprs: list) -> set[str]:
+        return {f"{q.label}${k}" for e in exprs for q in _props(e) for k in (q.path[:1] or self.plan.label(q.label).entity.key)}
+
+    @staticmethod
+    def merged(kind: str, name: str) -> Column:
+        return {"min": F.min, "max": F.max}.get(kind, F.sum)(name)
+
+    def part(self, kind: str, x, have: list[str]) -> Column:
+        """The aggregate of rows that have no column of it yet."""
+        c, rows = self.plan.col(x), F.col(self.ROWS) if self.ROWS in have else F.lit(1)
+        if kind == "count":
+            return F.sum(F.when(c.isNotNull(), rows))
+        return F.sum(number(c) * rows) if kind == "sum" else F.min(c) if kind == "min" else F.max(c)
+
+    def folded(self, df: DataFrame, labels: set, conds: list, optional: bool) -> DataFrame:
+        """df with a row for each combination of what is needed of its labels. optional: an outer join may find none, which is
+        null to properties, but perhaps not to expressions of them."""
+        have, needed, aggs = df.columns, [*conds, *self.needed], []
+        for (kind, _), (name, x) in self.parts.items():
+            of = {q.label for q in _props(x)}
+            if name in have:
+                aggs.append(self.merged(kind, name).alias(name))
+            elif of and of <= labels and (isinstance(x, Prop) or not optional):
+                aggs.append(self.part(kind, x, have).alias(name))
+            else:
+                needed.append(x)
+        wanted = self.columns(needed)
+        keys = [F.col(f"`{c}`") for c in have if c in wanted]
+        rows = F.sum(self.ROWS) if self.ROWS in have else F.count(F.lit(1))
+        got = df.groupBy(*keys).agg(rows.alias(self.ROWS), *aggs)
+        return got if keys else got.where(F.col(self.ROWS) > 0)  # of no rows there is one without keys
+
+    def join(self, df: DataFrame, right: DataFrame, n: str, done: set, conds: list, test: Column | None = None, how: str = "inner") -> DataFrame:
+        """df joined to label n's frame; conds: conditions that aren't tested yet."""
+        df = self.folded(df, done, conds, False)
+        right = self.folded(right, {n}, conds, how == "left").withColumnRenamed(self.ROWS, "_more")
+        mine, rows, more = df.columns, F.col(self.ROWS), F.coalesce("_more", F.lit(1))
+        df = df.crossJoin(right) if test is None else df.join(right, test, how)
+        sums = [name for (kind, _), (name, _) in self.parts.items() if kind in ("count", "sum") and name in df.columns]
+        return df.withColumns({self.ROWS: rows * more, **{s: F.col(s) * (more if s in mine else rows) for s in sums}}).drop("_more")
+
+    def total(self, name: str, x) -> Column:
+        """The aggregate of the joined rows."""
+        got = {}
+        for kind in FOLDED[name]:
+            at, _ = self.parts[kind, repr(x)]
+            got[kind] = self.merged(kind, at) if at in self.have else self.part(kind, x, self.have)
+        if name == "avg":
+            return got["sum"] / got["count"]  # null where there is none
+        (c,) = got.values()
+        return F.coalesce(c, F.lit(0 if name == "count" else 0.0)) if name in ("count", "total") else c
+
+
 def _has_agg(e) -> bool:
     return any(isinstance(x, Call) and x.name in AGGREGATE for x in _walk(e))
 
@@ -896,6 +988,7 @@ class Builder:
                 else:
                     p.label(self.me).used |= set(e.props)
         self.prepare_nested()
+        p.fold = self.foldable()
         df = p.whole(self.me)
         if self.group is not None:
             return self.page(self.grouped(df), None)
@@ -961,6 +1054,33 @@ class Builder:
         df = self.sorted(df)
         return self.page(df.select(*[x.alias(n) for x, n in zip(out, self.column_names(names), strict=True)]), None)
 
+    def foldable(self) -> Fold | None:
+        """How the aggregates follow from those of parts of the rows, if nothing else is shown."""
+        p = self.plan
+        shown = [i.value for i in self.items if self.group is None or i.value != self.group]
+        if self.in_outer or any(isinstance(v, Construct | Star) or not _has_agg(v) for v in shown):
+            return None
+        calls, beside = [], []
+
+        def split(e) -> None:
+            if isinstance(e, Call) and e.name in AGGREGATE:
+                calls.append(e)
+            elif isinstance(e, Op | Call):
+                for a in e.args:
+                    for x in a if isinstance(a, tuple) else (a,):
+                        split(x)
+            else:
+                beside.append(e)
+
+        for v in shown:
+            split(v)
+        if any(c.name not in FOLDED or AGGREGATE[c.name] is not BUILT_IN[c.name] for c in calls):
+            return None
+        beside += [self.group] * (self.group is not None) + [e for e, _ in self.order] + [left for left, _, _ in p.semis]
+        for node, call, _ in p.within:
+            beside += [y for x in (node, call.args[0]) if isinstance(x, Prop) for y in (x, Prop((), x.label))]
+        return Fold(p, calls, beside)
+
     def output_items(self, out: list) -> list:
         """For each output column the (label, property) it shows, or None."""
         found, p = [], self.plan
@@ -1079,7 +1199,7 @@ class Builder:
                 out.append(None)
             elif _has_agg(i.value):
                 if any(isinstance(x, Call) and x.name == "count" and x.args and x.args[0] == self.group for x in _walk(i.value)):
-                    out.append(F.count(F.lit(1)))
+                    out.append(p.count_rows())
                 else:
                     out.append(p.col(i.value, True))
             elif p.multi(i.value) and not (isinstance(i.value, Prop) and not i.value.path):
